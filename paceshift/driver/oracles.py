@@ -395,8 +395,8 @@ T975 = """z + (pow(z,3) + z) / (4*df) + (5*pow(z,5) + 16*pow(z,3) + 3*z) / (96*p
 
 def add_fit(name: str, source: str, y: str, x: str, **steps: str) -> None:
     add(name, ["star"],
-        f"""SELECT pitch_code, CAST(i AS INTEGER) AS point, {r('px')} AS x, {r('fit')} AS fit,
-        {r('fit - half')} AS lower, {r('fit + half')} AS upper FROM (
+        f"""SELECT pitch_code, CAST(i AS INTEGER) AS point, {r('px')} AS x, {r(r('fit', 3))} AS fit,
+        {r(r('fit - half', 3))} AS lower, {r(r('fit + half', 3))} AS upper FROM (
         SELECT *, b0 + b1 * px AS fit, t * sqrt(s2 * (1.0 / n + pow(px - mx, 2) / sxx)) AS half FROM (
         SELECT *, lo + i * (hi - lo) / 79.0 AS px FROM line, (SELECT range AS i FROM range(80)) p))""",
         **steps,

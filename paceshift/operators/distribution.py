@@ -103,17 +103,14 @@ def kernel_density(
 
         return F.aggregate(F.col("cells"), F.lit(0.0), add) * F.lit(GAUSS_NORM) / F.col("bw")
 
-    curve = gathered.select(
-        *keys, "__n", "bw", F.transform(F.sequence(F.lit(0), F.lit(lattice - 1)), smooth).alias("curve")
-    )
-    points_at = curve.select(
-        *keys, "__n", "bw", "curve", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
+    at_points = gathered.select(
+        *keys, "__n", "bw", "cells", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     )
     x = F.lit(low) + F.col("i") * F.lit((high - low) / (points - 1))
-    located = points_at.withColumn("x", x).withColumn("__at", (F.col("x") - start) / step)
-    k = F.least(F.floor("__at"), F.lit(lattice - 2)).cast("int")
-    part = F.col("__at") - k
-    here, there = F.get(F.col("curve"), k), F.get(F.col("curve"), k + 1)
+    located = at_points.withColumn("x", x).withColumn("__at", (F.col("x") - start) / step)
+    located = located.withColumn("__k", F.least(F.floor("__at"), F.lit(lattice - 2)))
+    here, there = smooth(F.col("__k")), smooth(F.col("__k") + 1)
+    part = F.col("__at") - F.col("__k")
     return located.select(
-        *keys, F.col("i"), "x", (here + part * (there - here)).alias("density"), F.col("__n").alias("n"), "bw"
+        *keys, F.col("i"), "x", ((1.0 - part) * here + part * there).alias("density"), F.col("__n").alias("n"), "bw"
     )

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gap_seconds
+from .reuse import written_once
 
 
 @dataclass(frozen=True)
@@ -143,10 +144,12 @@ def enrich(
 
     With ``counts=False`` the table must already hold ``inning_count``.
     """
-    is_pitch = F.coalesce(F.col(c.is_pitch), F.lit(False))
+    is_pitch = F.col(c.is_pitch)
     pitches = _with_slices(df.where(is_pitch), c)
-    cells = pitches.groupBy(*c.slice_keys, c.pitcher, c.inning).agg(
-        F.count("*").alias("n"), F.max(c.start).alias("last_start")
+    cells = written_once(
+        pitches.groupBy(*c.slice_keys, c.pitcher, c.inning).agg(
+            F.count("*").alias("n"), F.max(c.start).alias("last_start")
+        )
     )
     rows = pitches.withColumn("__kind", F.lit(2))
     if counts:
@@ -180,7 +183,7 @@ def enrich(
     if gap:
         done = done.withColumn(gap, F.when(F.col("inning_count") != 1, F.col(gap)))
     done = done.drop("__kind", "__slice", "__block")
-    return done.unionByName(df.where(~is_pitch), allowMissingColumns=True)
+    return done.unionByName(df.where(~is_pitch | is_pitch.isNull()), allowMissingColumns=True)
 
 
 def running_counts(df: DataFrame, c: EventColumns = EventColumns()) -> DataFrame:
