@@ -393,6 +393,19 @@ T975 = """z + (pow(z,3) + z) / (4*df) + (5*pow(z,5) + 16*pow(z,3) + 3*z) / (96*p
     + (79*pow(z,9) + 776*pow(z,7) + 1482*pow(z,5) - 1920*pow(z,3) - 945*z) / (92160*pow(df,4))"""
 
 
+def p_value(t: str, df: str) -> str:
+    """Two-sided tail of Student's t by Simpson's rule on 2000 intervals."""
+    return f"""(1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * abs({t}) / 6000.0 *
+    list_sum(list_transform(range(2001), lambda s: (CASE WHEN s = 0 OR s = 2000 THEN 1.0 WHEN s % 2 = 1 THEN 4.0 ELSE 2.0 END)
+    * pow(1 + pow(abs({t}) * s / 2000.0, 2) / {df}, -({df} + 1) / 2.0))))"""
+
+
+def t_step(df: str) -> str:
+    """One Newton step of `t` towards the two-sided 5 % point."""
+    density = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * pow(1 + t * t / {df}, -({df} + 1) / 2.0)"
+    return f"t + ({p_value('t', df)} - 0.05) / (2 * {density})"
+
+
 def add_fit(name: str, source: str, y: str, x: str, **steps: str) -> None:
     add(name, ["star"],
         f"""SELECT pitch_code, CAST(i AS INTEGER) AS point, {r('px')} AS x, {r(r('fit', 3))} AS fit,
@@ -400,11 +413,12 @@ def add_fit(name: str, source: str, y: str, x: str, **steps: str) -> None:
         SELECT *, b0 + b1 * px AS fit, t * sqrt(s2 * (1.0 / n + pow(px - mx, 2) / sxx)) AS half FROM (
         SELECT *, lo + i * (hi - lo) / 79.0 AS px FROM line, (SELECT range AS i FROM range(80)) p))""",
         **steps,
-        line=f"""SELECT *, {T975} AS t FROM (SELECT *, (syy - b1 * sxy) / df AS s2, CAST(1.959963984540054 AS DOUBLE) AS z FROM (
+        line=f"""SELECT * REPLACE ({t_step('df')} AS t) FROM (SELECT * REPLACE ({t_step('df')} AS t) FROM (
+        SELECT * REPLACE ({t_step('df')} AS t) FROM (SELECT *, {T975} AS t FROM (SELECT *, (syy - b1 * sxy) / df AS s2, CAST(1.959963984540054 AS DOUBLE) AS z FROM (
         SELECT pitch_code, regr_intercept({y}, {x}) AS b0, regr_slope({y}, {x}) AS b1, CAST(count(*) AS DOUBLE) AS n,
         CAST(count(*) - 2 AS DOUBLE) AS df, avg({x}) AS mx, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy,
         regr_sxy({y}, {x}) AS sxy, min({x}) AS lo, max({x}) AS hi FROM {source}
-        WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1))""")
+        WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1)))))""")
 
 
 add_fit("fit_line", "board", "spin_rate", "velo", board=BOARD)
@@ -440,13 +454,6 @@ def delta(measure: str, column: str, where: str) -> str:
     FROM star WHERE is_pitch AND {where} GROUP BY 1, 2 HAVING {n0} > 15 AND {n1} > 15"""
 
 
-def p_value(t: str, df: str) -> str:
-    """Two-sided tail of Student's t by Simpson's rule on 2000 intervals."""
-    return f"""(1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * abs({t}) / 6000.0 *
-    list_sum(list_transform(range(2001), lambda s: (CASE WHEN s = 0 OR s = 2000 THEN 1.0 WHEN s % 2 = 1 THEN 4.0 ELSE 2.0 END)
-    * pow(1 + pow(abs({t}) * s / 2000.0, 2) / {df}, -({df} + 1) / 2.0))))"""
-
-
 def add_ols(name: str, measure: str, points: str) -> None:
     y, x = f"diff_{measure}", "diff_tempo"
     add(name, ["star"],

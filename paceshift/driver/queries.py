@@ -393,7 +393,7 @@ def pitch_leaderboards(spark, sf_dir):
 
 
 def _coarse(band):
-    """Three digits: the checking SQL gets its t quantile from a series expansion."""
+    """Three digits: the checking SQL finds its t quantile by numerical integration."""
     return band.withColumns({c: S.stable_round(c, 3) for c in ("fit", "lower", "upper")})
 
 
