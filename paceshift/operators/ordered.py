@@ -25,12 +25,17 @@ def value_cell(value: Column, per_unit: int = CELLS_PER_UNIT) -> Column:
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct non-null values per key with their frequency ``freq`` and cell."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("value"))
-        .agg(F.count("*").alias("freq"))
-        .withColumn("cell", value_cell(F.col("value")))
-    )
+    counted = df.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("freq"))
+    return with_cells(counted)
+
+
+def with_cells(counted: DataFrame) -> DataFrame:
+    """Non-null values of an already counted table, with their cell."""
+    return counted.where(F.col("value").isNotNull()).withColumn("cell", value_cell(F.col("value")))
+
+
+def mean_of_counts(counts: DataFrame, keys: Sequence[str], name: str = "mean") -> DataFrame:
+    return counts.groupBy(*keys).agg((F.sum(F.col("value") * F.col("freq")) / F.sum("freq")).alias(name))
 
 
 def cell_totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:

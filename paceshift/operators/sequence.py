@@ -4,8 +4,9 @@ A window over (season, pitcher) or over a game puts a whole season of one key in
 season-wide lag puts everything there. Instead, events are cut into calendar slices (game, date, time
 slice). Counts per slice are small and combine on the map side; their running totals give what each slice
 starts from. These starting values join the events as extra rows that sort first in their slice, so the
-in-slice windows simply continue from them. Events are shuffled once, by slice, whatever the key skew, and
-no event is joined with anything.
+in-slice windows simply continue from them. Events are shuffled once, by slice, whatever the key skew.
+
+The slice counts also show slices that are too large for a task. Those, and only those, are cut further.
 """
 
 from __future__ import annotations
@@ -35,14 +36,20 @@ class EventColumns:
     pitcher: str = "pitcher_name"
     is_pitch: str = "is_pitch"
     slice_seconds: int = 3600
-    untimed_block: int = 1_000_000
+    max_slice_rows: int = 4_000_000
+    seq_block: int = 1_000_000
     game_block: int = 4096
 
+    @property
+    def coarse_keys(self) -> list[str]:
+        return [self.season, self.date, self.game, "__slice"]
+
     @property
     def slice_keys(self) -> list[str]:
-        return [self.season, self.date, self.game, "__slice", "__block"]
+        return [*self.coarse_keys, *CUTS]
 
 
+CUTS = ["__part", "__block"]
 COUNTS = ["season_count", "game_count", "inning_count"]
 
 
@@ -56,11 +63,65 @@ def _with_slices(df: DataFrame, c: EventColumns) -> DataFrame:
     return df.withColumns(
         {
             "__slice": F.floor(F.unix_micros(start) / F.lit(c.slice_seconds * 1_000_000)),
-            "__block": F.when(start.isNull(), F.floor(F.col(c.seq) / F.lit(c.untimed_block))),
+            "__part": F.lit(0).cast("long"),
+            "__block": F.when(start.isNull(), F.floor(F.col(c.seq) / F.lit(c.seq_block))),
         }
     )
 
 
+def _cells(rows: DataFrame, c: EventColumns) -> DataFrame:
+    return written_once(
+        rows.groupBy(*c.slice_keys, c.pitcher, c.inning).agg(
+            F.count("*").alias("n"),
+            F.min(F.unix_micros(c.start)).alias("first_us"),
+            F.max(c.start).alias("last_start"),
+        )
+    )
+
+
+def _cut_large_slices(
+    rows: DataFrame, cells: DataFrame, c: EventColumns
+) -> tuple[DataFrame, DataFrame]:
+    """Cut slices of more than ``max_slice_rows`` events into equal spans of time, or, where they hold a
+    single instant, into blocks of sequence numbers. Both keep the order of events.
+
+    There are at most total / ``max_slice_rows`` such slices, usually none.
+    """
+    large = (
+        cells.where(F.col("__slice").isNotNull())
+        .groupBy(*c.coarse_keys)
+        .agg(
+            F.sum("n").alias("n"),
+            F.min("first_us").alias("__from"),
+            (F.max(F.unix_micros("last_start")) - F.min("first_us")).alias("span"),
+        )
+        .where(F.col("n") > c.max_slice_rows)
+    )
+    width = F.ceil((F.col("span") + 1) * F.lit(c.max_slice_rows / 4.0) / F.col("n"))
+    large = large.select(
+        *[F.col(k).alias(f"__l_{k}") for k in c.coarse_keys], "__from", width.alias("__width"),
+        (F.col("span") == 0).alias("__instant"),
+    )
+    if large.isEmpty():
+        return rows, cells
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__l_{k}")) for k in c.coarse_keys])
+    rows = (
+        rows.join(large, match, "left")
+        .withColumns(
+            {
+                "__part": F.coalesce(
+                    F.floor((F.unix_micros(c.start) - F.col("__from")) / F.col("__width")), F.col("__part")
+                ),
+                "__block": F.when(F.col("__instant"), F.floor(F.col(c.seq) / F.lit(c.seq_block))).otherwise(
+                    F.col("__block")
+                ),
+            }
+        )
+        .drop("__from", "__width", "__instant", *[f"__l_{k}" for k in c.coarse_keys])
+    )
+    return rows, _cells(rows, c)
+
+
 def _preceding(n: str, keys: Sequence[str], order: Sequence[str]) -> Column:
     w = W.partitionBy(*keys).orderBy(*_ordered(*order)).rowsBetween(W.unboundedPreceding, -1)
     return F.coalesce(F.sum(n).over(w), F.lit(0))
@@ -95,7 +156,7 @@ def running_start(
 
 def _count_starts(cells: DataFrame, c: EventColumns) -> DataFrame:
     """Rows carrying the counts with which a slice begins."""
-    in_game = [c.date, "__slice", "__block"]
+    in_game = [c.date, "__slice", *CUTS]
     per_pitcher = (
         cells.groupBy(*c.slice_keys, c.pitcher)
         .agg(F.sum("n").alias("n"))
@@ -107,7 +168,7 @@ def _count_starts(cells: DataFrame, c: EventColumns) -> DataFrame:
         ),
         "n",
         [c.season, c.pitcher],
-        [[c.date], ["__games"], [c.game, "__slice", "__block"]],
+        [[c.date], ["__games"], [c.game, "__slice", *CUTS]],
         "season_count",
     )
     inning = cells.withColumn(
@@ -124,7 +185,7 @@ def _count_starts(cells: DataFrame, c: EventColumns) -> DataFrame:
 
 def _gap_starts(cells: DataFrame, c: EventColumns) -> DataFrame:
     """One row per slice with the start time of the last pitch before it in the same game."""
-    last = W.partitionBy(c.season, c.game).orderBy(*_ordered(c.date, "__slice", "__block"))
+    last = W.partitionBy(c.season, c.game).orderBy(*_ordered(c.date, "__slice", *CUTS))
     return (
         cells.groupBy(*c.slice_keys)
         .agg(F.max("last_start").alias("last_start"))
@@ -146,11 +207,7 @@ def enrich(
     """
     is_pitch = F.col(c.is_pitch)
     pitches = _with_slices(df.where(is_pitch), c)
-    cells = written_once(
-        pitches.groupBy(*c.slice_keys, c.pitcher, c.inning).agg(
-            F.count("*").alias("n"), F.max(c.start).alias("last_start")
-        )
-    )
+    pitches, cells = _cut_large_slices(pitches, _cells(pitches, c), c)
     rows = pitches.withColumn("__kind", F.lit(2))
     if counts:
         rows = rows.withColumns({name: F.lit(1).cast("long") for name in COUNTS})
@@ -182,7 +239,7 @@ def enrich(
         done = done.withColumn("season_count", F.when(F.col(c.pitcher).isNotNull(), F.col("season_count")))
     if gap:
         done = done.withColumn(gap, F.when(F.col("inning_count") != 1, F.col(gap)))
-    done = done.drop("__kind", "__slice", "__block")
+    done = done.drop("__kind", "__slice", *CUTS)
     return done.unionByName(df.where(~is_pitch | is_pitch.isNull()), allowMissingColumns=True)
 
 

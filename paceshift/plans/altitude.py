@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import recode
 from ..operators.distribution import kernel_density
-from ..operators.ordered import descending_rank, exact_median
+from ..operators.ordered import descending_rank, mean_of_counts, quantiles_of_counts, value_counts
 from ..operators.periods import in_periods, spread
 from ..operators.regression import entity_effects, entity_sums, merge_sums, solve_fixed_effects
 from .tempo import CAP, PERIODS, PITCHER, TEMPO, mean_tempo, pitches
@@ -92,11 +92,15 @@ def flag_density(
 def flag_summary(
     events: DataFrame, parks: DataFrame, flag: Column, periods: Sequence = PERIODS
 ) -> DataFrame:
-    """Mean and median tempo at the flagged park and elsewhere, by period, larger second median first."""
+    """Mean and median tempo at the flagged park and elsewhere, by period, larger second median first.
+
+    Both come from the same value counts, so two groups that hold everything cost one scan and no sort.
+    """
     rows = with_park(events.where(in_periods(periods) & pitches(first=False)), parks, "abbr")
-    rows = rows.select(flagged(flag).alias("place"), "year", TEMPO)
-    means = rows.groupBy("place", "year").agg(F.avg(TEMPO).alias("mean"))
-    medians = exact_median(rows, ["place", "year"], TEMPO)
+    keys = ["place", "year"]
+    counts = value_counts(rows.withColumn("place", flagged(flag)), keys, TEMPO)
+    means = mean_of_counts(counts, keys)
+    medians = quantiles_of_counts(counts, keys, {"median": 0.5})
     wide = spread(means, ["place"], ["mean"], periods).join(
         spread(medians, ["place"], ["median"], periods), "place"
     )

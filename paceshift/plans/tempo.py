@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import percent_text, recode, relative_change, stable_round
 from ..operators.cohort import qualified_keys
 from ..operators.distribution import histogram, kernel_density
-from ..operators.ordered import exact_median
+from ..operators.ordered import quantiles_of_counts, with_cells
 from ..operators.periods import by_period, change, in_periods, spread
 from ..operators.topk import bottom_k, extreme_k, top_k
 
@@ -152,21 +152,30 @@ def pitcher_medians(
 ) -> DataFrame:
     """Median tempo per pitcher and period with its change, over pitchers qualifying in both.
 
-    The cohort meets the medians, not the events.
+    Pitches are counted once per (pitcher, year, value). These counts give the medians and, unless the
+    cohort is defined by another condition or table, the cohort too.
     """
-    rows = events.where(in_periods(periods) & pitches(first=False))
-    medians = spread(
-        exact_median(rows, [key, "year"], TEMPO, "median_tempo"), [key], ["median_tempo"], periods
+    counted = (
+        events.where(in_periods(periods) & F.col("is_pitch"))
+        .groupBy(key, "year", (F.col("pitch_number") != 1).alias("later"), F.col(TEMPO).cast("double").alias("value"))
+        .agg(F.count("*").alias("freq"))
     )
-    cohort = qualified_keys(
-        events if population is None else population,
-        key,
-        periods,
-        min_pitches,
-        F.col("is_pitch") if condition is None else condition,
-    )
-    qualified = medians.dropna().join(cohort, key, "left_semi")
-    return qualified.withColumn("tempo_change", change("median_tempo", periods))
+    counts = with_cells(counted.where("later")).drop("later")
+    medians = quantiles_of_counts(counts, [key, "year"], {"median_tempo": 0.5})
+    if population is None and condition is None:
+        pitches_thrown = [F.sum(F.when(F.col("year") == p, F.col("freq"))) > min_pitches for p in periods]
+        cohort = counted.groupBy(key).agg(*[c.alias(f"__q{i}") for i, c in enumerate(pitches_thrown)])
+        cohort = cohort.where(" AND ".join(f"__q{i}" for i in range(len(periods)))).select(key)
+    else:
+        cohort = qualified_keys(
+            events if population is None else population,
+            key,
+            periods,
+            min_pitches,
+            F.col("is_pitch") if condition is None else condition,
+        )
+    wide = spread(medians, [key], ["median_tempo"], periods).dropna()
+    return wide.join(cohort, key, "left_semi").withColumn("tempo_change", change("median_tempo", periods))
 
 
 def median_leaders(

@@ -38,8 +38,10 @@ MINI = [
 
 GRAINS = [
     EventColumns(),
-    EventColumns(slice_seconds=30, untimed_block=2, game_block=1),
-    EventColumns(slice_seconds=7, untimed_block=1, game_block=3),
+    EventColumns(slice_seconds=30, seq_block=2, game_block=1),
+    EventColumns(slice_seconds=7, seq_block=1, game_block=3),
+    EventColumns(slice_seconds=7200, max_slice_rows=4),
+    EventColumns(slice_seconds=600, max_slice_rows=1, seq_block=3),
 ]
 
 
@@ -76,14 +78,14 @@ def plain(df):
     return out.drop("gap").unionByName(df.where("not is_pitch or is_pitch is null"), allowMissingColumns=True)
 
 
-def random_events(seed, n):
+def random_events(seed, n, instants=9000):
     rng = random.Random(seed)
     rows = []
     for seq in range(n):
         hot = rng.random() < 0.4
         day = rng.randrange(1, 5)
         game = 7 if hot else rng.randrange(1, 20)
-        clock = dt.datetime(2023, 4, day, 18) + dt.timedelta(seconds=rng.randrange(0, 9000))
+        clock = dt.datetime(2023, 4, day, 18) + dt.timedelta(seconds=rng.randrange(0, instants))
         rows.append(
             (
                 seq,
@@ -106,6 +108,12 @@ def test_same_as_plain_windows_on_skewed_random_events(spark, seed, columns):
     assert result(enrich(rows, columns)) == result(plain(rows))
 
 
+@pytest.mark.parametrize("columns", GRAINS[3:])
+def test_slice_that_holds_one_instant_is_cut_by_sequence(spark, columns):
+    rows = spark.createDataFrame(random_events(11, 400, instants=2), SCHEMA).repartition(3)
+    assert result(enrich(rows, columns)) == result(plain(rows))
+
+
 def test_counts_and_gap_can_be_added_one_after_the_other(spark):
     rows = spark.createDataFrame(random_events(9, 300), SCHEMA)
     counted = running_counts(rows)
