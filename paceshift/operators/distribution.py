@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import GAUSS_NORM, nrd0, quantiles_of_counts, value_counts
+from .reuse import join_small, written_once
 
 
 def histogram(
@@ -44,7 +45,8 @@ def kernel_density(
     """
     if not keys:
         raise ValueError("a density needs at least one grouping key")
-    counts = value_counts(df.where(F.col(value).between(low, high)), keys, value)
+    keys = list(keys)
+    counts = written_once(value_counts(df.where(F.col(value).between(low, high)), keys, value))
     centre = (low + high) / 2.0
     shifted = F.col("value") - F.lit(centre)
     moments = counts.groupBy(*keys).agg(
@@ -53,27 +55,18 @@ def kernel_density(
         F.sum(shifted * shifted * F.col("freq")).alias("__s2"),
     )
     quartiles = quantiles_of_counts(counts, keys, {"q1": 0.25, "q3": 0.75})
-
-    def rekey(frame: DataFrame, prefix: str) -> DataFrame:
-        return frame.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
-
-    def match(left: DataFrame, prefix: str) -> Column:
-        return reduce(lambda a, b: a & b, [left[k].eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
-
+    quartiles = quartiles.drop("n").withColumnsRenamed({k: f"__q_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__q_{k}")) for k in keys])
     n = F.col("__n")
     variance = (F.col("__s2") - F.col("__s1") * F.col("__s1") / n) / (n - 1)
     sd = F.sqrt(F.greatest(variance, F.lit(0.0)))
     mean = F.lit(centre) + F.col("__s1") / n
     width = nrd0(sd, F.col("q3") - F.col("q1"), n, mean)
-    spread = rekey(
-        moments.where(n > 1)
-        .join(rekey(quartiles.drop("n"), "__q_"), match(moments, "__q_"))
-        .select(*keys, n, width.alias("bw")),
-        "__k_",
-    )
+    spread = written_once(moments.where(n > 1).join(quartiles, same).select(*keys, n, width.alias("bw")))
     start = F.lit(low) - 4.0 * F.col("bw")
     step = (F.lit(high - low) + 8.0 * F.col("bw")) / F.lit(lattice - 1)
-    placed = counts.join(spread, match(counts, "__k_")).withColumn("__at", (F.col("value") - start) / step)
+    placed = join_small(counts, spread, keys, F.col("value"))
+    placed = placed.withColumn("__at", (F.col("value") - start) / step)
     left, share = F.floor("__at").cast("int"), F.col("__at") - F.floor("__at")
     mass = F.col("freq") / n
     weights = (

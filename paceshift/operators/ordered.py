@@ -2,7 +2,8 @@
 
 ``median`` and ``percentile`` keep one map of all distinct values of a group in one task. Here the values
 are first counted (combined on the map side), then located through coarse, order-preserving cells. A group
-is only ever sorted cell by cell, so a key that holds a third of the table is spread like any other.
+is only ever sorted cell by cell, and only where a wanted rank lies, so a key that holds a third of the table
+is spread like any other.
 """
 
 from __future__ import annotations
@@ -15,7 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .reuse import join_small, written_once
+
 CELLS_PER_UNIT = 512
+MAX_VALUES = 1_000_000
+SPLIT = 4096
+MAX_SPLITS = 4
 
 
 def value_cell(value: Column, per_unit: int = CELLS_PER_UNIT) -> Column:
@@ -38,27 +44,54 @@ def mean_of_counts(counts: DataFrame, keys: Sequence[str], name: str = "mean") -
     return counts.groupBy(*keys).agg((F.sum(F.col("value") * F.col("freq")) / F.sum("freq")).alias(name))
 
 
+def _cell_sizes() -> list[Column]:
+    return [
+        F.sum("freq").alias("in_cell"),
+        F.count("*").alias("n_values"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+    ]
+
+
+def _before(total: str, keys: Sequence[str], order: str) -> Column:
+    lower = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(total).over(lower), F.lit(0))
+
+
 def cell_totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per (key, cell) with the number of rows in lower cells and in the whole group."""
-    cells = counts.groupBy(*keys, "cell").agg(F.sum("freq").alias("in_cell"))
-    lower = W.partitionBy(*keys).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    return cells.select(
-        *keys,
-        "cell",
-        "in_cell",
-        F.coalesce(F.sum("in_cell").over(lower), F.lit(0)).alias("below"),
-        F.sum("in_cell").over(W.partitionBy(*keys)).alias("n"),
+    cells = counts.groupBy(*keys, "cell").agg(*_cell_sizes())
+    return cells.withColumns(
+        {"below": _before("in_cell", keys, "cell"), "n": F.sum("in_cell").over(W.partitionBy(*keys))}
     )
 
 
-def _rename_keys(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
+def _split_cells(located: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Cut every cell into equal spans between its lowest and highest value."""
+    width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    part = F.coalesce(F.floor((F.col("value") - F.col("low")) / width * F.lit(SPLIT - 1.0)), F.lit(0))
+    parts = located.withColumn("__part", part)
+    sizes = parts.groupBy(*keys, "cell", "__part").agg(
+        *_cell_sizes(), F.max("below").alias("__base"), F.max("n").alias("n")
+    )
+    below = F.col("__base") + _before("in_cell", [*keys, "cell"], "__part")
+    finer = (F.col("cell") * SPLIT + F.col("__part")).alias("cell")
+    cells = sizes.withColumn("below", below)
+    return (
+        parts.select(*keys, "value", "freq", finer),
+        cells.select(*keys, finer, "in_cell", "n_values", "low", "high", "below", "n"),
+    )
 
 
 def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float]
+    counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float], max_values: int = MAX_VALUES
 ) -> DataFrame:
-    """Interpolated quantiles (the default rule of R and of SQL percentile_cont) per key."""
+    """Interpolated quantiles (the default rule of R and of SQL percentile_cont) per key.
+
+    ``counts`` is read twice, so write it first if it is costly. Only the cells that hold a wanted rank
+    are looked into; one with more than ``max_values`` distinct values is cut before it is sorted.
+    """
+    keys = list(keys)
     n = F.col("n")
 
     def position(p: float) -> Column:
@@ -72,17 +105,16 @@ def quantiles_of_counts(
         lambda a, b: a | b,
         [(r >= below) & (r < below + in_cell) for p in probs.values() for r in ranks(p)],
     )
-    cells = _rename_keys(cell_totals(counts, keys).where(wanted), [*keys, "cell"], "__")
-    match = reduce(
-        lambda a, b: a & b,
-        [counts[k].eqNullSafe(cells[f"__{k}"]) for k in keys],
-        counts["cell"] == cells["__cell"],
-    )
+    cells = cell_totals(counts, keys)
+    for _ in range(MAX_SPLITS):
+        cells = written_once(cells.where(wanted))
+        located = join_small(counts, cells, [*keys, "cell"], F.col("value"))
+        if cells.where(F.col("n_values") > max_values).isEmpty():
+            break
+        counts, cells = _split_cells(located, keys)
     upto = W.partitionBy(*keys, "cell").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    located = (
-        counts.join(cells, match)
-        .withColumn("__end", F.col("below") + F.sum("freq").over(upto))
-        .withColumn("__start", F.col("__end") - F.col("freq"))
+    located = located.withColumn("__end", F.col("below") + F.sum("freq").over(upto)).withColumn(
+        "__start", F.col("__end") - F.col("freq")
     )
 
     def at(rank: Column) -> Column:
@@ -109,7 +141,7 @@ def quantiles_of_counts(
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, keys, value), keys, probs)
+    return quantiles_of_counts(written_once(value_counts(df, keys, value)), keys, probs)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
@@ -119,14 +151,16 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
 
 def descending_rank(df: DataFrame, value: str, name: str = "position") -> DataFrame:
     """1 + number of rows with a strictly larger value, without a global window over the rows."""
-    counts = value_counts(df, [], value)
-    cells = cell_totals(counts, []).withColumnRenamed("cell", "__cell")
-    below = W.partitionBy("cell").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranks = counts.join(cells, counts["cell"] == cells["__cell"]).select(
-        F.col("value").alias("__value"),
-        (F.col("n") - F.col("below") - F.sum("freq").over(below) + 1).alias(name),
+    counts = written_once(value_counts(df, [], value))
+    located = join_small(counts, written_once(cell_totals(counts, [])), ["cell"], F.col("value"))
+    upto = W.partitionBy("cell").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranks = located.select(
+        F.col("value").alias("__value"), (F.col("n") - F.col("below") - F.sum("freq").over(upto) + 1).alias(name)
     )
-    return df.join(ranks, df[value].cast("double") == ranks["__value"], "left").drop("__value")
+    valued = df.withColumn("__value", F.col(value).cast("double"))
+    return join_small(
+        valued, written_once(ranks), ["__value"], F.struct(*[F.col(c) for c in df.columns]), "left"
+    ).drop("__value")
 
 
 def nrd0(sd: Column, iqr: Column, n: Column, fallback: Column) -> Column:

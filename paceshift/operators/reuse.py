@@ -1,10 +1,16 @@
-"""Small intermediate tables that several branches of a plan read."""
+"""Intermediate tables that several branches of a plan read, and joins with small ones."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+SALTS = 64
 
 
 def written_once(df: DataFrame) -> DataFrame:
@@ -25,3 +31,27 @@ def written_once(df: DataFrame) -> DataFrame:
             return df
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def join_small(
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    spread_by: Column,
+    how: str = "inner",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Null-safe equi-join with a table that is usually small, safe for a key that holds most of ``big``.
+
+    ``small`` should be written already: its rows are counted, and up to ``broadcast_rows`` it is
+    broadcast. Beyond that each key is spread over several tasks by a hash of ``spread_by``.
+    """
+    right = small.withColumnsRenamed({k: f"__j_{k}" for k in on})
+    match = reduce(lambda a, b: a & b, [big[k].eqNullSafe(F.col(f"__j_{k}")) for k in on])
+    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        joined = big.join(F.broadcast(right), match, how)
+    else:
+        right = right.withColumn("__j_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS))
+        joined = big.join(right, match & (salt == F.col("__j_salt")), how).drop("__j_salt")
+    return joined.drop(*[f"__j_{k}" for k in on])

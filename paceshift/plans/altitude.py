@@ -11,6 +11,7 @@ from ..functions.scalars import recode
 from ..operators.distribution import kernel_density
 from ..operators.ordered import descending_rank, mean_of_counts, quantiles_of_counts, value_counts
 from ..operators.periods import in_periods, spread
+from ..operators.reuse import written_once
 from ..operators.regression import entity_effects, entity_sums, merge_sums, solve_fixed_effects
 from .tempo import CAP, PERIODS, PITCHER, TEMPO, mean_tempo, pitches
 
@@ -98,7 +99,7 @@ def flag_summary(
     """
     rows = with_park(events.where(in_periods(periods) & pitches(first=False)), parks, "abbr")
     keys = ["place", "year"]
-    counts = value_counts(rows.withColumn("place", flagged(flag)), keys, TEMPO)
+    counts = written_once(value_counts(rows.withColumn("place", flagged(flag)), keys, TEMPO))
     means = mean_of_counts(counts, keys)
     medians = quantiles_of_counts(counts, keys, {"median": 0.5})
     wide = spread(means, ["place"], ["mean"], periods).join(
@@ -222,6 +223,7 @@ def _grid(
         key,
         {"n_all": F.count("*"), "n_pitches": F.count_if(F.col("is_pitch") & F.col("pitch_desc").isNotNull())},
     )
+    sums = written_once(sums)
     entities = _model_entities(sums, periods, min_pitches, row_scope, min_type_rows, types, key)
     if model_years is not None:
         entities = entities.where(F.col("year").isin(*model_years))

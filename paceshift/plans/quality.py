@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import stable_round
 from ..operators.periods import by_period, change, in_periods
 from ..operators.regression import fit_band, simple_ols
+from ..operators.reuse import written_once
 from .tempo import CAP, PERIODS, PITCHER, TEMPO
 
 TYPE = ["pitch_code", "pitch_desc"]
@@ -58,12 +59,12 @@ def velo_spin_fit(board: DataFrame, points: int = 80) -> DataFrame:
 
 def _type_sums(events: DataFrame, periods: Sequence, key: str) -> DataFrame:
     """Pitches, sums and value counts per (pitcher, type): enough for the cohort, the list of types and
-    the means by type, so the events are shuffled once."""
+    the means by type, so the events are read and shuffled once."""
     measures = {"n": (F.count, F.lit(1))}
     for name, column in MEASURES.items():
         measures[f"sum_{name}"] = (F.sum, column)
         measures[f"count_{name}"] = (F.count, column)
-    return by_period(events.where(F.col("is_pitch")), [key, *TYPE], measures, periods)
+    return written_once(by_period(events.where(F.col("is_pitch")), [key, *TYPE], measures, periods))
 
 
 def by_type(

@@ -12,6 +12,7 @@ from ..operators.cohort import qualified_keys
 from ..operators.distribution import histogram, kernel_density
 from ..operators.ordered import quantiles_of_counts, with_cells
 from ..operators.periods import by_period, change, in_periods, spread
+from ..operators.reuse import written_once
 from ..operators.topk import bottom_k, extreme_k, top_k
 
 PERIODS = (2022, 2023)
@@ -155,7 +156,7 @@ def pitcher_medians(
     Pitches are counted once per (pitcher, year, value). These counts give the medians and, unless the
     cohort is defined by another condition or table, the cohort too.
     """
-    counted = (
+    counted = written_once(
         events.where(in_periods(periods) & F.col("is_pitch"))
         .groupBy(key, "year", (F.col("pitch_number") != 1).alias("later"), F.col(TEMPO).cast("double").alias("value"))
         .agg(F.count("*").alias("freq"))

@@ -3,7 +3,10 @@ import random
 import numpy as np
 import pytest
 
-from paceshift.operators.ordered import descending_rank, exact_median, exact_quantiles
+from pyspark.sql import functions as F
+
+from paceshift.operators.ordered import descending_rank, exact_median, exact_quantiles, quantiles_of_counts, value_counts
+from paceshift.operators.reuse import join_small
 from paceshift.operators.topk import bottom_k, extreme_k, top_k
 
 
@@ -66,3 +69,26 @@ def test_missing_values_fill_up_only_when_needed(spark):
 def test_tied_rows_do_not_meet_in_one_task(spark):
     plan = top_k(spark.range(100), "id", 5)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "TakeOrderedAndProject" in plan
+
+
+@pytest.mark.parametrize("max_values", [1, 3, 50])
+def test_crowded_cells_are_cut(spark, max_values):
+    rng = random.Random(4)
+    rows = [("near", 93.0 + rng.random() * 1e-3) for _ in range(400)] + [("wide", rng.gauss(0, 9)) for _ in range(200)]
+    counts = value_counts(spark.createDataFrame(rows, "k STRING, v DOUBLE"), ["k"], "v")
+    probs = {"a": 0.1, "b": 0.5, "c": 0.77}
+    for r in quantiles_of_counts(counts, ["k"], probs, max_values).collect():
+        sample = [v for k, v in rows if k == r.k]
+        assert [r.a, r.b, r.c] == pytest.approx(list(np.quantile(sample, list(probs.values()))), rel=1e-12)
+
+
+def test_join_with_a_side_too_large_to_broadcast(spark):
+    big = spark.createDataFrame([(i % 3 or None, i) for i in range(300)], "k INT, v INT")
+    small = spark.createDataFrame([(1, "a"), (None, "b"), (9, "c")], "k INT, w STRING")
+    for how, n in (("inner", 200), ("left", 300)):
+        broadcast = join_small(big, small, ["k"], F.col("v"), how)
+        salted = join_small(big, small, ["k"], F.col("v"), how, broadcast_rows=2)
+        assert broadcast.columns == salted.columns == ["k", "v", "w"]
+        assert sorted(map(str, broadcast.collect())) == sorted(map(str, salted.collect())) and salted.count() == n
+    plan = join_small(big, small, ["k"], F.col("v"), broadcast_rows=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan and "__j_salt" in plan
