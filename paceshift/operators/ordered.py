@@ -108,8 +108,9 @@ def quantiles_of_counts(
     cells = cell_totals(counts, keys)
     for _ in range(MAX_SPLITS):
         cells = written_once(cells.where(wanted))
-        located = join_small(counts, cells, [*keys, "cell"], F.col("value"))
-        if cells.where(F.col("n_values") > max_values).isEmpty():
+        n_cells, crowd = cells.agg(F.count("*"), F.max("n_values")).first()
+        located = join_small(counts, cells, [*keys, "cell"], F.col("value"), small_rows=n_cells)
+        if crowd is None or crowd <= max_values:
             break
         counts, cells = _split_cells(located, keys)
     upto = W.partitionBy(*keys, "cell").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Pick = "str | tuple[str, str]"
-
-
 def expand_ranges(columns: Sequence[str], picks: Sequence[str | tuple[str, str]]) -> list[str]:
     """Names for a mix of single columns and inclusive (first, last) ranges, each name once."""
     names: list[str] = []
@@ -25,7 +22,8 @@ def expand_ranges(columns: Sequence[str], picks: Sequence[str | tuple[str, str]]
 
 
 def select_ranges(df: DataFrame, *picks: str | tuple[str, str]) -> DataFrame:
-    return df.select(*expand_ranges(df.columns, picks))
+    """Columns by name and by inclusive range; names may contain dots."""
+    return df.select(*[F.col(f"`{name}`") for name in expand_ranges(df.columns, picks)])
 
 
 def drop_ranges(df: DataFrame, *picks: str | tuple[str, str]) -> DataFrame:

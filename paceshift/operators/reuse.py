@@ -39,16 +39,20 @@ def join_small(
     on: Sequence[str],
     spread_by: Column,
     how: str = "inner",
+    small_rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Null-safe equi-join with a table that is usually small, safe for a key that holds most of ``big``.
 
-    ``small`` should be written already: its rows are counted, and up to ``broadcast_rows`` it is
-    broadcast. Beyond that each key is spread over several tasks by a hash of ``spread_by``.
+    ``small`` should be written already: its rows are counted, unless ``small_rows`` says how many there
+    are, and up to ``broadcast_rows`` it is broadcast. Beyond that each key is spread over several tasks by
+    a hash of ``spread_by``.
     """
     right = small.withColumnsRenamed({k: f"__j_{k}" for k in on})
     match = reduce(lambda a, b: a & b, [big[k].eqNullSafe(F.col(f"__j_{k}")) for k in on])
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if small_rows is None:
+        small_rows = small.limit(broadcast_rows + 1).count()
+    if small_rows <= broadcast_rows:
         joined = big.join(F.broadcast(right), match, how)
     else:
         right = right.withColumn("__j_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

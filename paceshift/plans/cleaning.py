@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import full_name
-from ..operators.reshape import append_row, split_name, union_seasons
+from ..operators.reshape import append_row, select_ranges, split_name, union_seasons
 from ..operators.sequence import EventColumns, enrich
-from ..sources.schemas import PARKS
+from ..sources.schemas import EVENT_RANGES, PARKS
 
 # Home team and abbreviation of each park in use, by park name.
 HOME_TEAMS = [
@@ -58,6 +58,11 @@ LATE_PARK = {
 }
 
 
+def select_event_columns(raw: DataFrame, ranges: Sequence = EVENT_RANGES) -> DataFrame:
+    """The kept columns of a raw season table that still has its original header."""
+    return select_ranges(raw, *ranges)
+
+
 def enriched_season(raw: DataFrame, year: int, columns: EventColumns = EventColumns()) -> DataFrame:
     return enrich(raw.withColumn(columns.season, F.lit(year)), columns)
 

@@ -52,6 +52,19 @@ def leaderboards(
     return board.orderBy("pitch_code", F.desc_nulls_last(metric), key)
 
 
+def leaderboard(
+    events: DataFrame,
+    pitch_type: str,
+    metric: str = "velo",
+    min_rows: int = 100,
+    periods: Sequence = PERIODS,
+    key: str = PITCHER,
+) -> DataFrame:
+    """The leaderboard of one pitch type; the condition reaches the scan."""
+    own = events.where(F.col("pitch_code") == pitch_type)
+    return leaderboards(own, None, min_rows, periods, metric, key).drop("pitch_code")
+
+
 def velo_spin_fit(board: DataFrame, points: int = 80) -> DataFrame:
     """Line of spin on velocity with its band, per pitch type, from a leaderboard."""
     return fit_band(board, ["pitch_code"], "spin_rate", "velo", points)

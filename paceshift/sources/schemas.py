@@ -71,6 +71,21 @@ EVENT_HEADER = {
     "pitchData.breaks.spinDirection": "spin_direction",
 }
 
+# Columns and column ranges of the raw files that the analysis keeps.
+EVENT_RANGES = [
+    ("game_pk", "details.event"),
+    ("about.atBatIndex", "about.inning"),
+    ("matchup.batter.id", "matchup.pitchHand.description"),
+    "home_team",
+    "away_team",
+    "batting_team",
+    "fielding_team",
+    ("details.type.code", "pitchData.typeConfidence"),
+    ("pitchData.breaks.breakAngle", "pitchData.breaks.spinDirection"),
+    "matchup.splits.menOnBase",
+    ("details.violation.description", "details.violation.type"),
+]
+
 ENRICHED = T.StructType(
     EVENTS.fields
     + _schema(

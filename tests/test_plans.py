@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceshift.plans import altitude, cleaning, quality, tempo
+from paceshift.plans.titles import titled
 from paceshift.sources.schemas import PARKS
 
 TEAMS = ["Colorado Rockies", "New York Mets", "Texas Rangers"]
@@ -91,7 +92,11 @@ def test_tempo_by_runners(events, pdf):
         a, b = want.loc[r.runners]
         assert (r.avg_tempo_2022, r.avg_tempo_2023) == (pytest.approx(a), pytest.approx(b))
         assert r.relative_change == pytest.approx((b - a) / a) and r.change_text == f"{(b - a) / a:.1%}"
-    assert tempo.tempo_by_runners_rounded(events).count() == 3
+    rounded = tempo.tempo_by_runners_rounded(events)
+    assert rounded.count() == 3
+    assert titled(rounded).columns == [
+        "Baserunner State", "Average pitch tempo in 2022", "Average pitch tempo in 2023", "Change in pitch tempo",
+    ]
 
 
 def test_tempo_by_first_pitch_is_sorted(events, pdf):
@@ -161,6 +166,10 @@ def test_leaderboards(events, pdf):
         assert r.spin_rate == pytest.approx(own.spin_rate.mean(), abs=0.51)
     velo = [r.velo for r in rows if r.pitch_code == "FF"]
     assert velo == sorted(velo, reverse=True)
+    one = quality.leaderboard(events, "SL", "spin_rate", 20)
+    assert titled(one).columns == ["Pitcher", "Average Velocity (mph)", "Average Spin Rate (rpm)", "Number of Pitches Thrown"]
+    spin = [r.spin_rate for r in one.collect()]
+    assert spin == sorted(spin, reverse=True) and len(spin) == len([r for r in rows if r.pitch_code == "SL"])
     only = quality.leaderboards(events, types, 20, metric="spin_rate", periods=(2023,)).collect()
     assert {r.pitcher_name for r in only}.isdisjoint({"Ed"})
     assert quality.velo_spin_fit(quality.leaderboards(events, types, 20)).count() == 160

@@ -83,6 +83,19 @@ def test_raw_events(spark, tmp_path):
     assert df.schema["violation_player_id"].dataType == T.LongType()
 
 
+def test_kept_columns_of_a_raw_table(spark):
+    header = [
+        "game_pk", "startTime", "details.event", "dropped.a", "about.atBatIndex", "about.inning", "matchup.batter.id",
+        "matchup.pitcher.fullName", "matchup.pitchHand.description", "home_team", "away_team", "batting_team",
+        "fielding_team", "details.type.code", "details.violation.description", "details.violation.type",
+        "pitchData.typeConfidence", "dropped.b", "pitchData.breaks.breakAngle", "pitchData.breaks.spinDirection",
+        "matchup.splits.menOnBase",
+    ]
+    raw = spark.createDataFrame([tuple(range(len(header)))], header)
+    kept = cleaning.select_event_columns(raw)
+    assert set(header) - set(kept.columns) == {"dropped.a", "dropped.b"} and len(kept.columns) == len(header) - 2
+
+
 def test_seasons_from_files_to_partitioned_table(spark, tmp_path):
     def season(rows, extra=False):
         df = spark.createDataFrame(rows, "ingest_seq BIGINT, game_pk BIGINT, game_date STRING, start_time STRING, is_pitch BOOLEAN, inning INT, pitcher_name STRING")
