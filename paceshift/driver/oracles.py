@@ -105,7 +105,7 @@ add(
 add(
     "calendar",
     [],
-    """SELECT CAST(d AS DATE) AS date, count(o_orderkey) AS n_games
+    """SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS date, count(o_orderkey) AS n_games
     FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS d FROM orders) days
     LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(d AS DATE) GROUP BY 1""",
 )
@@ -182,7 +182,7 @@ add(
     {r('o_totalprice - o_custkey')} AS difference,
     {r('(o_totalprice - o_custkey) / nullif(o_custkey, 0)')} AS relative,
     printf('%.1f%%', o_custkey / 1000.0 * 100.0) AS percent,
-    {r(r('o_totalprice / 7', 2))} AS rounded, CAST(90.25 AS DOUBLE) AS gap, CAST(o_orderdate AS DATE) AS parsed,
+    {r(r('o_totalprice / 7', 2))} AS rounded, CAST(90.25 AS DOUBLE) AS gap, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS parsed,
     CAST(year(o_orderdate) AS INTEGER) AS year_text,
     'Order ' || o_orderstatus || '-' || nullif(o_orderpriority, '5-LOW') AS label,
     CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS as_number, CAST(year(o_orderdate) AS VARCHAR) AS as_category,
@@ -201,7 +201,8 @@ add(
 add(
     "enriched",
     ["enriched"],
-    f"SELECT * REPLACE ({r('pitch_tempo')} AS pitch_tempo, {r('start_speed')} AS start_speed) FROM enriched",
+    f"""SELECT * REPLACE (CAST(game_date AS VARCHAR) AS game_date, strftime(start_time, '%Y-%m-%d %H:%M:%S.%f') AS start_time,
+    {r('pitch_tempo')} AS pitch_tempo, {r('start_speed')} AS start_speed) FROM enriched""",
 )
 add(
     "enrich_selfjoin",
@@ -238,7 +239,7 @@ add(
 add(
     "point_lookup",
     ["ev"],
-    f"SELECT ingest_seq, game_date, inning, {r('start_speed')} AS start_speed FROM ev WHERE game_pk = 40",
+    f"SELECT ingest_seq, CAST(game_date AS VARCHAR) AS game_date, inning, {r('start_speed')} AS start_speed FROM ev WHERE game_pk = 40",
 )
 add("count_actions", ["ev"], "SELECT details_event, count(*) AS n FROM ev WHERE NOT is_pitch AND year = 1 GROUP BY 1")
 add(

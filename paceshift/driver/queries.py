@@ -28,9 +28,15 @@ MIN_TYPE_ROWS = 500
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Round doubles so that the order of distributed additions cannot show."""
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: S.stable_round(c) for c in doubles}) if doubles else df
+    """Make results comparable: doubles rounded, so that the order of distributed additions cannot show;
+    dates and times as text, so that no client time zone can."""
+    shown = {
+        T.DoubleType: S.stable_round,
+        T.DateType: lambda c: F.col(c).cast("string"),
+        T.TimestampType: lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+    }
+    columns = {f.name: shown[type(f.dataType)](f.name) for f in df.schema.fields if type(f.dataType) in shown}
+    return df.withColumns(columns) if columns else df
 
 
 def register(name: str, fn: Query) -> None:

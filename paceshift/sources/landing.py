@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import in_years
 from .schemas import EVENTS
 
 
@@ -28,8 +29,11 @@ def season_games(
     game: str = "game_pk",
     date: str = "game_date",
 ) -> DataFrame:
-    """One row per game of a season. Pass ``None`` to skip the finished or regular-season condition."""
-    rows = schedule.where(F.year(F.col(date).cast("date")) == year)
+    """One row per game of a season. Pass ``None`` to skip the finished or regular-season condition.
+
+    The date may be a date, a timestamp or ISO text; the bounds reach the scan in each case.
+    """
+    rows = schedule.where(in_years(schedule, date, year, year))
     for condition in (finished, regular):
         if condition is not None:
             rows = rows.where(condition)
@@ -38,7 +42,7 @@ def season_games(
 
 def games_on_days(schedule: DataFrame, days: DataFrame, game: str = "game_pk", date: str = "game_date") -> DataFrame:
     """Games on the given days, once each."""
-    wanted = days.select(F.col(days.columns[0]).alias("__day"))
+    wanted = days.select(F.col(days.columns[0]).alias("__day")).distinct()
     rows = schedule.join(wanted, F.col(date).cast("date") == F.col("__day"), "left_semi")
     return rows.groupBy(game).agg(F.count("*").alias("n"))
 
