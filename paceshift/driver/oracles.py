@@ -332,6 +332,9 @@ LATER = "is_pitch AND pitch_number <> 1"
 
 add("season_runners", ["star"], f"SELECT runners, {RELATIVE} FROM w",
     w=two_means(f"{RUNNERS} AS runners", f"{LATER} AND pitch_tempo < {CAP}"))
+add("season_runners_uncapped", ["star"], f"SELECT runners, {RELATIVE} FROM w", w=two_means(f"{RUNNERS} AS runners", LATER))
+add("season_first_pitch_uncapped", ["star"], f"SELECT pitch_of_at_bat, {RELATIVE} FROM w",
+    w=two_means(f"{FIRST} AS pitch_of_at_bat", "is_pitch"))
 add("season_runners_rounded", ["star"], f"SELECT runners, {MEANS}, {r('b - a')} AS tempo_change FROM w",
     w=two_means(f"{RUNNERS} AS runners", LATER, digits=2))
 add("season_first_pitch", ["star"], f"SELECT pitch_of_at_bat, {RELATIVE} FROM w",
@@ -340,6 +343,10 @@ add("team_change", ["star_fielding"],
     f"SELECT fielding_team, {MEANS}, {r(r('b - a', 2))} AS tempo_change FROM w WHERE fielding_team IS NOT NULL AND b - a IS NOT NULL",
     w=two_means("fielding_team", f"{LATER} AND pitch_tempo < {CAP}", "star_fielding", 2))
 
+add("team_change_uncapped", ["star_fielding"],
+    f"SELECT fielding_team, {MEANS}, {r('b - a')} AS tempo_change FROM w WHERE fielding_team IS NOT NULL AND b - a IS NOT NULL",
+    w=two_means("fielding_team", LATER, "star_fielding"))
+
 
 def cohort(threshold: int, condition: str = "is_pitch") -> str:
     a, b = per("count", "*", condition)
@@ -389,6 +396,10 @@ add("pitch_leaderboards", ["star"],
     f"""SELECT pitch_code, pitcher_name, {r('velo')} AS velo, {r('spin_rate')} AS spin_rate, n FROM board
     WHERE pitch_code IN (SELECT pitch_code FROM codes)""", codes=CODES, board=BOARD)
 
+add("pitch_leaderboard_one", ["star"],
+    f"""SELECT pitcher_name, {r(r('avg(start_speed)', 2))} AS velo, {r(r('avg(spin_rate)', 0))} AS spin_rate, count(*) AS n
+    FROM star WHERE pitch_code = 'R' AND year = {P1} GROUP BY 1 HAVING count(*) > 25""")
+
 T975 = """z + (pow(z,3) + z) / (4*df) + (5*pow(z,5) + 16*pow(z,3) + 3*z) / (96*pow(df,2))
     + (3*pow(z,7) + 19*pow(z,5) + 17*pow(z,3) - 15*z) / (384*pow(df,3))
     + (79*pow(z,9) + 776*pow(z,7) + 1482*pow(z,5) - 1920*pow(z,3) - 945*z) / (92160*pow(df,4))"""
@@ -446,6 +457,7 @@ VELO, SPIN = {"velo": "start_speed"}, {"spin_rate": "spin_rate"}
 add_by_type("season_velo", VELO, True, False, True)
 add_by_type("season_spin", SPIN, True, False, True)
 add_by_type("season_velo_all", VELO, False, True, False)
+add_by_type("season_spin_all", SPIN, False, True, False)
 add_by_type("season_by_type", {**VELO, **SPIN}, True, True, True)
 
 
@@ -455,12 +467,17 @@ def delta(measure: str, column: str, where: str) -> str:
     FROM star WHERE is_pitch AND {where} GROUP BY 1, 2 HAVING {n0} > 15 AND {n1} > 15"""
 
 
-def add_ols(name: str, measure: str, points: str) -> None:
+def add_ols(name: str, measure: str, points: str, table: int | None = None) -> None:
+    """Line per type; ``table`` asks for the short table with the intercept (0) or the slope (1)."""
     y, x = f"diff_{measure}", "diff_tempo"
-    add(name, ["star"],
-        f"""SELECT pitch_code, n, {r('b0')} AS intercept, {r('b1')} AS slope, {r('r2')} AS r_squared, df,
+    columns = f"""n, {r('b0')} AS intercept, {r('b1')} AS slope, {r('r2')} AS r_squared, df,
         {r('se0')} AS intercept_se, {r('se1')} AS slope_se, {r('b0 / se0')} AS intercept_t, {r(p_value('(b0 / se0)', 'df'))} AS intercept_p,
-        {r('b1 / se1')} AS slope_t, {r(p_value('(b1 / se1)', 'df'))} AS slope_p FROM (
+        {r('b1 / se1')} AS slope_t, {r(p_value('(b1 / se1)', 'df'))} AS slope_p"""
+    if table is not None:
+        columns = f"""{r(f'b{table}')} AS diff_tempo_coefficient,
+        {r(p_value(f'(b{table} / se{table})', 'df'))} AS diff_tempo_p_value, {r('r2')} AS r_squared"""
+    add(name, ["star"],
+        f"""SELECT pitch_code, {columns} FROM (
         SELECT *, sqrt(s2 / sxx) AS se1, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se0 FROM (
         SELECT *, (syy - b1 * sxy) / df AS s2 FROM (
         SELECT pitch_code, CAST(regr_count({y}, {x}) AS BIGINT) AS n, CAST(regr_count({y}, {x}) AS BIGINT) - 2 AS df,
@@ -475,7 +492,14 @@ for _m, _c, _tag in (("velo", "start_speed", "velo"), ("spin_rate", "spin_rate",
         f"SELECT pitch_code, pitcher_name, {r(f'diff_{_m}')} AS diff_{_m}, {r('diff_tempo')} AS diff_tempo FROM points",
         points=delta(_m, _c, CAPPED))
     add_ols(f"ols_{_tag}", _m, delta(_m, _c, CAPPED))
-add_ols("ols_variant", "velo", delta("velo", "start_speed", "pitch_code = 'A' AND inning_count <> 1"))
+add_ols("ols_table", "velo", delta("velo", "start_speed", CAPPED), 1)
+add_ols("ols_table_compat", "velo", delta("velo", "start_speed", CAPPED), 0)
+VARIANT = "pitch_code = 'A' AND inning_count <> 1"
+for _m, _c, _tag in (("velo", "start_speed", "velo"), ("spin_rate", "spin_rate", "spin")):
+    add(f"season_delta_{_tag}_variant", ["star"],
+        f"SELECT pitch_code, pitcher_name, {r(f'diff_{_m}')} AS diff_{_m}, {r('diff_tempo')} AS diff_tempo FROM points",
+        points=delta(_m, _c, VARIANT))
+add_ols("ols_variant", "velo", delta("velo", "start_speed", VARIANT))
 add_fit("fit_change", "points", "diff_velo", "diff_tempo", points=delta("velo", "start_speed", CAPPED))
 
 # Parks and fixed effects

@@ -329,6 +329,16 @@ def season_runners_rounded(spark, sf_dir):
     return tempo.tempo_by_runners_rounded(R.star(spark, sf_dir), **PER)
 
 
+@query
+def season_runners_uncapped(spark, sf_dir):
+    return tempo.tempo_by_runners(R.star(spark, sf_dir), cap=None, **PER)
+
+
+@query
+def season_first_pitch_uncapped(spark, sf_dir):
+    return tempo.tempo_by_first_pitch(R.star(spark, sf_dir), floor=None, cap=None, **PER)
+
+
 @query
 def season_first_pitch(spark, sf_dir):
     return tempo.tempo_by_first_pitch(R.star(spark, sf_dir), cap=R.CAP, **PER)
@@ -339,6 +349,11 @@ def team_change(spark, sf_dir):
     return tempo.team_change(R.star_with_fielding_team(spark, sf_dir), cap=R.CAP, **PER)
 
 
+@query
+def team_change_uncapped(spark, sf_dir):
+    return tempo.team_change(R.star_with_fielding_team(spark, sf_dir), cap=None, digits=None, **PER)
+
+
 @query
 def cohort_both_seasons(spark, sf_dir):
     rows = R.star(spark, sf_dir)
@@ -403,6 +418,11 @@ def _coarse(band):
     return band.withColumns({c: S.stable_round(c, 3) for c in ("fit", "lower", "upper")})
 
 
+@query
+def pitch_leaderboard_one(spark, sf_dir):
+    return quality.leaderboard(R.star(spark, sf_dir), "R", "spin_rate", 25, (R.P1,))
+
+
 @query
 def fit_line(spark, sf_dir):
     return _coarse(quality.velo_spin_fit(quality.leaderboards(R.star(spark, sf_dir), None, 50, **PER)))
@@ -423,6 +443,11 @@ def season_velo_all(spark, sf_dir):
     return quality.by_type(R.star(spark, sf_dir), ["velo"], None, None, rounded=True, **PER)
 
 
+@query
+def season_spin_all(spark, sf_dir):
+    return quality.by_type(R.star(spark, sf_dir), ["spin_rate"], None, None, rounded=True, **PER)
+
+
 @query
 def season_by_type(spark, sf_dir):
     return quality.by_type(
@@ -465,6 +490,31 @@ def ols_variant(spark, sf_dir):
     return _without_sums(quality.change_models(rows, "velo", **options))
 
 
+def _variant(spark, sf_dir, measure):
+    rows = R.star(spark, sf_dir).where(F.col("pitch_code") == "A")
+    return quality.change_points(rows, measure, **{**_delta(), "where": F.col("inning_count") != 1})
+
+
+@query
+def season_delta_velo_variant(spark, sf_dir):
+    return _variant(spark, sf_dir, "velo")
+
+
+@query
+def season_delta_spin_variant(spark, sf_dir):
+    return _variant(spark, sf_dir, "spin_rate")
+
+
+@query
+def ols_table(spark, sf_dir):
+    return quality.change_table(quality.change_models(R.star(spark, sf_dir), "velo", **_delta()))
+
+
+@query
+def ols_table_compat(spark, sf_dir):
+    return quality.change_table(quality.change_models(R.star(spark, sf_dir), "velo", **_delta()), compat=True)
+
+
 @query
 def fit_change(spark, sf_dir):
     return _coarse(quality.change_fit(R.star(spark, sf_dir), "velo", **_delta()))

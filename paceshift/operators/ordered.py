@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .reuse import join_small, written_once
+from .reuse import SALTS, join_small, written_once
 
 CELLS_PER_UNIT = 512
 MAX_VALUES = 1_000_000
@@ -109,8 +109,11 @@ def quantiles_of_counts(
     for _ in range(MAX_SPLITS):
         cells = written_once(cells.where(wanted))
         n_cells, crowd = cells.agg(F.count("*"), F.max("n_values")).first()
-        located = join_small(counts, cells, [*keys, "cell"], F.col("value"), small_rows=n_cells)
-        if crowd is None or crowd <= max_values:
+        crowded = crowd is not None and crowd > max_values
+        located = join_small(
+            counts, cells, [*keys, "cell"], F.col("value"), small_rows=n_cells, salts=SALTS if crowded else 1
+        )
+        if not crowded:
             break
         counts, cells = _split_cells(located, keys)
     upto = W.partitionBy(*keys, "cell").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)

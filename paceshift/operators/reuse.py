@@ -41,12 +41,13 @@ def join_small(
     how: str = "inner",
     small_rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Null-safe equi-join with a table that is usually small, safe for a key that holds most of ``big``.
 
     ``small`` should be written already: its rows are counted, unless ``small_rows`` says how many there
-    are, and up to ``broadcast_rows`` it is broadcast. Beyond that each key is spread over several tasks by
-    a hash of ``spread_by``.
+    are, and up to ``broadcast_rows`` it is broadcast. Beyond that each key is spread over ``salts`` tasks
+    by a hash of ``spread_by``; one salt is enough where no key is known to have many rows.
     """
     right = small.withColumnsRenamed({k: f"__j_{k}" for k in on})
     match = reduce(lambda a, b: a & b, [big[k].eqNullSafe(F.col(f"__j_{k}")) for k in on])
@@ -54,8 +55,10 @@ def join_small(
         small_rows = small.limit(broadcast_rows + 1).count()
     if small_rows <= broadcast_rows:
         joined = big.join(F.broadcast(right), match, how)
+    elif salts == 1:
+        joined = big.join(right, match, how)
     else:
-        right = right.withColumn("__j_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS))
+        right = right.withColumn("__j_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salt = F.pmod(F.xxhash64(spread_by), F.lit(salts))
         joined = big.join(right, match & (salt == F.col("__j_salt")), how).drop("__j_salt")
     return joined.drop(*[f"__j_{k}" for k in on])

@@ -88,7 +88,9 @@ def test_join_with_a_side_too_large_to_broadcast(spark):
     for how, n in (("inner", 200), ("left", 300)):
         broadcast = join_small(big, small, ["k"], F.col("v"), how)
         salted = join_small(big, small, ["k"], F.col("v"), how, broadcast_rows=2)
-        assert broadcast.columns == salted.columns == ["k", "v", "w"]
+        plain = join_small(big, small, ["k"], F.col("v"), how, small_rows=3, broadcast_rows=2, salts=1)
+        assert broadcast.columns == salted.columns == plain.columns == ["k", "v", "w"]
+        assert sorted(map(str, plain.collect())) == sorted(map(str, broadcast.collect()))
         assert sorted(map(str, broadcast.collect())) == sorted(map(str, salted.collect())) and salted.count() == n
     plan = join_small(big, small, ["k"], F.col("v"), broadcast_rows=2)._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan and "__j_salt" in plan
