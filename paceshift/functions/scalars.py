@@ -33,11 +33,12 @@ def stable_round(x: str | Column, digits: int = 6) -> Column:
     """Half-up rounding that ignores noise in the last bits.
 
     A distributed sum of doubles adds in no fixed order, so a mean that lies on a rounding tie can fall on
-    either side from run to run. The small bias sends every such value the same way.
+    either side from run to run. The small bias sends every such value the same way. NaN becomes null.
     """
     scale = 10.0**digits
     bias = 1e-3 if digits >= 6 else 1e-6
-    return F.floor(col(x) * F.lit(scale) + F.lit(0.5 + bias)) / F.lit(scale)
+    number = F.nanvl(col(x), F.lit(None).cast("double"))
+    return F.floor(number * F.lit(scale) + F.lit(0.5 + bias)) / F.lit(scale)
 
 
 def gap_seconds(later: str | Column, earlier: str | Column) -> Column:

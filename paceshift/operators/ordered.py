@@ -36,8 +36,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def with_cells(counted: DataFrame) -> DataFrame:
-    """Non-null values of an already counted table, with their cell."""
-    return counted.where(F.col("value").isNotNull()).withColumn("cell", value_cell(F.col("value")))
+    """Values (neither null nor NaN) of an already counted table, with their cell."""
+    return counted.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("cell", value_cell(F.col("value")))
 
 
 def mean_of_counts(counts: DataFrame, keys: Sequence[str], name: str = "mean") -> DataFrame:

@@ -154,7 +154,7 @@ def running_start(
     )
 
 
-def _count_starts(cells: DataFrame, c: EventColumns) -> DataFrame:
+def _count_starts(cells: DataFrame, c: EventColumns) -> list[DataFrame]:
     """Rows carrying the counts with which a slice begins."""
     in_game = [c.date, "__slice", *CUTS]
     per_pitcher = (
@@ -174,13 +174,12 @@ def _count_starts(cells: DataFrame, c: EventColumns) -> DataFrame:
     inning = cells.withColumn(
         "inning_count", _preceding("n", [c.season, c.game, c.pitcher, c.inning], in_game)
     )
-    parts = [
+    starts = [
         per_pitcher.select(*c.slice_keys, c.pitcher, "game_count"),
         season.select(*c.slice_keys, c.pitcher, "season_count"),
         inning.select(*c.slice_keys, c.pitcher, c.inning, "inning_count"),
     ]
-    starts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return starts.withColumn("__kind", F.lit(0))
+    return [start.withColumn("__kind", F.lit(0)) for start in starts]
 
 
 def _gap_starts(cells: DataFrame, c: EventColumns) -> DataFrame:
@@ -209,12 +208,14 @@ def enrich(
     pitches = _with_slices(df.where(is_pitch), c)
     pitches, cells = _cut_large_slices(pitches, _cells(pitches, c), c)
     rows = pitches.withColumn("__kind", F.lit(2))
+    starts = []
     if counts:
         rows = rows.withColumns({name: F.lit(1).cast("long") for name in COUNTS})
-        rows = rows.unionByName(_count_starts(cells, c), allowMissingColumns=True)
+        starts += _count_starts(cells, c)
     if gap:
-        rows = rows.unionByName(_gap_starts(cells, c), allowMissingColumns=True)
-    rows = rows.repartition(*c.slice_keys)
+        starts.append(_gap_starts(cells, c))
+    carried = written_once(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), starts))
+    rows = rows.unionByName(carried, allowMissingColumns=True).repartition(*c.slice_keys)
 
     def window(*keys: str):
         return W.partitionBy(*c.slice_keys, *keys).orderBy("__kind", *_ordered(c.start, c.seq))

@@ -17,7 +17,7 @@ def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType, null_value: str | None = "NA",
     fail_on_bad_rows: bool = True,
 ) -> DataFrame:
-    """CSV with a header, under a declared schema; empty fields and ``null_value`` are missing.
+    """CSV with a header, under a declared schema; empty fields, ``null_value`` and NaN are missing.
 
     ``null_value=None`` keeps the text ``NA``. A row that does not parse is an error unless
     ``fail_on_bad_rows`` is off, in which case it is kept with its text in ``_corrupt_record``.
@@ -30,7 +30,11 @@ def read_csv(
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     df = reader.schema(schema).csv(path if isinstance(path, str) else list(path))
     texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType) and f.name != CORRUPT]
-    return df.withColumns({name: F.nullif(F.col(f"`{name}`"), F.lit("")) for name in texts})
+    numbers = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
+    return df.withColumns(
+        {name: F.nullif(F.col(f"`{name}`"), F.lit("")) for name in texts}
+        | {name: F.nanvl(F.col(f"`{name}`"), F.lit(None).cast("double")) for name in numbers}
+    )
 
 
 def read_raw_events(

@@ -11,7 +11,7 @@ from paceshift.sources.schemas import ENRICHED, EVENTS, LEADERBOARD, PARKS, PARK
 PARKS_TEXT = """PARKID,NAME,CITY,STATE,START,END,LEAGUE,NOTES,AKA,Exact,Latitude,Longitude,Altitude
 ONE01,Coors Field,Denver,CO,19950426,,NL,,,Y,39.75,-104.99,5197
 TWO01,Old Grounds,Baltimore,MD,18710708,18710708,NA,WS3,,Y,39.30,-76.63,167
-TRE01,No Start Park,Nowhere,XX,,,NA,,,N,1.5,2.5,10
+TRE01,No Start Park,Nowhere,XX,,,NA,,,N,NaN,2.5,10
 FOU01,Abroad Stadium,London,EN,20190629,,AL,,"",Y,51.53,-0.01,206
 """
 
@@ -23,7 +23,7 @@ def test_csv_rules_for_missing_text(spark, tmp_path):
     kept = files.read_csv(spark, str(path), PARKS_RAW, null_value=None)
     assert merged.where("LEAGUE IS NULL").count() == 2 and kept.where("LEAGUE = 'NA'").count() == 2
     assert kept.where("END IS NULL").count() == 3 and kept.where("AKA IS NULL").count() == 4
-    assert kept.schema["Altitude"].dataType == T.IntegerType()
+    assert kept.schema["Altitude"].dataType == T.IntegerType() and kept.where("Latitude IS NULL").count() == 1
 
 
 def test_bad_rows_fail_or_are_kept(spark, tmp_path):
