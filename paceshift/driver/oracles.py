@@ -27,9 +27,9 @@ VIEWS = {
         SELECT s_name AS park_name, 'city_' || s_nationkey AS city, 'state_' || (s_nationkey % 5) AS state,
                s_acctbal / 100 AS latitude, s_acctbal / -200 AS longitude,
                CAST(abs(floor(s_acctbal)) % 1300 AS INTEGER) AS altitude,
-               CASE WHEN s_suppkey % 9 <> 0 THEN 'Team ' || s_suppkey END AS home_team,
-               CASE WHEN s_suppkey % 9 <> 0 THEN 'T' || s_suppkey END AS abbr
-        FROM supplier WHERE s_acctbal >= 0 AND s_suppkey % 10 <> 3
+               CASE WHEN s_nationkey <> 9 THEN 'Team ' || s_suppkey END AS home_team,
+               CASE WHEN s_nationkey <> 9 THEN 'T' || s_suppkey END AS abbr
+        FROM supplier WHERE s_acctbal >= 0 AND s_nationkey <> 3
         UNION ALL
         SELECT 'Late Park', 'city_0', 'state_0', 32.75, -97.125, 541, 'Late Team', 'LATE'""",
     "ev": """
@@ -111,9 +111,9 @@ add(
 )
 add(
     "games_on_days",
-    [],
-    """SELECT o_custkey, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) IN
-    (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_linenumber = 7) GROUP BY 1""",
+    ["star"],
+    """SELECT o_custkey, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN
+    (SELECT min(game_date) FROM star) AND (SELECT max(game_date) FROM star) GROUP BY 1""",
 )
 add("dedupe_keys", [], "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1")
 add(

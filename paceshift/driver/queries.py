@@ -76,8 +76,8 @@ def calendar(spark, sf_dir):
 @query
 def games_on_days(spark, sf_dir):
     orders = R.table(spark, sf_dir, "orders")
-    days = R.table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.to_date("l_shipdate").alias("day"))
-    return landing.games_on_days(orders, days, "o_custkey", "o_orderdate")
+    season = R.star(spark, sf_dir).agg(F.min("game_date").alias("start"), F.max("game_date").alias("end"))
+    return landing.games_on_days(orders, landing.calendar(season), "o_custkey", "o_orderdate")
 
 
 @query

@@ -93,7 +93,7 @@ def parks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "s_name AS NAME",
         "concat('city_', s_nationkey) AS CITY",
         "concat('state_', s_nationkey % 5) AS STATE",
-        "if(s_suppkey % 10 = 3, null, '19900401') AS START",
+        "if(s_nationkey = 3, null, '19900401') AS START",
         "if(s_acctbal < 0, '20001001', null) AS END",
         "s_acctbal / 100 AS Latitude",
         "s_acctbal / -200 AS Longitude",
@@ -102,10 +102,10 @@ def parks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def park_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Teams for all parks but every ninth."""
+    """The home team of each park; parks in one nation have none."""
     return (
         table(spark, sf_dir, "supplier")
-        .where("s_suppkey % 9 <> 0")
+        .where("s_nationkey <> 9")
         .selectExpr("s_name AS park_name", "concat('Team ', s_suppkey) AS home_team", "concat('T', s_suppkey) AS abbr")
     )
 
