@@ -42,7 +42,8 @@ class EventColumns:
 
     @property
     def coarse_keys(self) -> list[str]:
-        return [self.season, self.date, self.game, "__slice"]
+        # The most selective first: sorts compare by the first column before they look at the rest.
+        return [self.game, "__slice", self.date, self.season]
 
     @property
     def slice_keys(self) -> list[str]:
