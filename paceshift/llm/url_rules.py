@@ -9,6 +9,7 @@ rules in key order, with the rules whose interval is open on a stack, finds all
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,11 +83,11 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Dat
     n = tasks(spark) * 4
     pages = urls.select(F.col("id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     pages = pages.withColumn("key", host_key(F.col("host")))
-    sample = pages.select("key", F.xxhash64("id", "key").alias("h")).orderBy("h").limit(CUT_SAMPLE).toPandas()["key"].sort_values(ignore_index=True)
+    every = max(1, pages.count() // CUT_SAMPLE)
+    sample = pages.where(F.pmod(F.xxhash64("id", "key"), F.lit(every)) == 0).select("key").limit(2 * CUT_SAMPLE)
+    sample = sample.toPandas()["key"].sort_values(ignore_index=True)
     cuts = [sample[i * len(sample) // n] for i in range(1, n)] if len(sample) else []
 
-    import bisect
-
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Part i holds keys from cut i - 1 (included) up to cut i. A key that is itself several cuts may go to any of the parts between."""
         for batch in batches:
