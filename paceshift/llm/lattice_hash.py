@@ -121,7 +121,7 @@ def compare(cosine: float):
         homes = np.array(part["homes"].tolist(), dtype=np.int64)
         out: list[tuple] = []
         total, a_all, b_all = np.zeros(len(ids), np.int64), [], []
-        table, key = int(part["t"].iloc[0]), part["key"].iloc[0]
+        table = int(part["t"].iloc[0])
         for start in range(0, len(ids), 512):
             rows = np.arange(start, min(start + 512, len(ids)))
             # Sides 0 and 1 are two blocks of a large cell, which meet; side 2 is within one block.
@@ -131,7 +131,7 @@ def compare(cosine: float):
             a = rows[a]
             if not len(a):
                 continue
-            exact = np.array([np.dot(units[i], units[j]) for i, j in zip(a, b, strict=True)]) if len(a) < 64 else np.einsum("ij,ij->i", units[a], units[b])
+            exact = np.einsum("ij,ij->i", units[a], units[b])
             a, b = a[exact >= cosine], b[exact >= cosine]
             same = homes[a] == homes[b]
             first = np.where(same.any(axis=1), same.argmax(axis=1), -1)
@@ -145,7 +145,6 @@ def compare(cosine: float):
         if a_all:
             root = roots_of(len(ids), np.concatenate(a_all), np.concatenate(b_all))
             out += [(ids[i], int(total[i]), ids[root[i]], None) for i in np.flatnonzero(total).tolist()]
-        del key
         return out
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -32,14 +32,26 @@ END_ID = 2
 KNOWN_WORDS = 600_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 stays, the others follow from U+0100 on."""
+    stay = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    moved = [b for b in range(256) if b not in stay]
+    return {b: chr(b) for b in stay} | {b: chr(256 + i) for i, b in enumerate(moved)}
+
+
 class WordIds(dict):
-    """Ids of a word as little-endian bytes. The tokenizer splits at white space first, so words have ids of their own."""
+    """Ids of a word as little-endian bytes. The tokenizer splits at white space first, so words have ids of their own.
+
+    A word of Latin letters is one piece for the tokenizer's splitter, and in composed form already; in lower case it goes to the merges directly.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
+        self.letters = byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KNOWN_WORDS:
@@ -47,8 +59,9 @@ class WordIds(dict):
         last, stem = word[-1:], word[:-1]
         if last in ".,;:!?" and stem.isalpha():  # a mark after letters is a token of its own
             ids = self[stem] + self[last] if stem else self.encode(word)
-        elif word.isascii() and word.isalpha() and not word.islower():
-            ids = self[word.lower()]
+        elif word.isalpha() and max(word) < "\u0250":
+            lower = word.lower()
+            ids = self.merge(word) if lower == word else self[lower]
         else:
             ids = self.encode(word)
         self[word] = ids
@@ -57,6 +70,10 @@ class WordIds(dict):
     def encode(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def merge(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.merges.tokenize(letters)]).tobytes()
+
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from paceshift.llm import mixing, packing, quality, secret_scan, simhash, url_rules
+from paceshift.llm import lattice_hash, mixing, order_minhash, packing, quality, secret_scan, simhash, url_rules
 
 QUERIES = {
     "op2_url_filter": url_rules.query,
+    "op4_near_duplicates": order_minhash.query,
     "op5_secret_scan": secret_scan.query,
     "op6_simhash": simhash.query,
     "op7_mix_sources": mixing.query,
     "op8_quality": quality.query,
     "op9_packing": packing.query,
+    "op10_near_vectors": lattice_hash.query,
 }
 ORACLES = {"op2_url_filter": url_rules.ORACLE, "op7_mix_sources": mixing.ORACLE}
