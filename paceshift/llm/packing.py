@@ -57,9 +57,9 @@ class WordIds(dict):
         if len(self) >= KNOWN_WORDS:
             self.clear()
         last, stem = word[-1:], word[:-1]
-        if last in ".,;:!?" and stem.isalpha():  # a mark after letters is a token of its own
-            ids = self[stem] + self[last] if stem else self.encode(word)
-        elif word.isalpha() and max(word) < "\u0250":
+        if last in ".,;:!?" and self.plain(stem):  # a mark after letters is a token of its own
+            ids = self[stem] + self[last]
+        elif self.plain(word):
             lower = word.lower()
             ids = self.merge(word) if lower == word else self[lower]
         else:
@@ -67,6 +67,11 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    @staticmethod
+    def plain(word: str) -> bool:
+        """Latin letters that are letters in lower case too (U+0130 becomes a letter and a mark)."""
+        return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
     def encode(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
