@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paceshift.llm import lattice_hash, mixing, order_minhash, packing, quality, secret_scan, simhash, url_rules
+from paceshift.llm import lattice_hash, mixing, order_minhash, packing, quality, secret_scan, simhash, suffix_dedup, url_rules
 
 QUERIES = {
     "op2_url_filter": url_rules.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_near_duplicates": order_minhash.query,
     "op5_secret_scan": secret_scan.query,
     "op6_simhash": simhash.query,
