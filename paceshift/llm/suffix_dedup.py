@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,7 +220,7 @@ def contexts(parts: int):
         def blob(chosen: np.ndarray) -> list:
             take = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in chosen]) if len(chosen) else np.zeros(0, np.int64)
             arrays = (hashes[heads[chosen]], ids[heads[chosen]].astype("<i8"), counts[chosen].astype("<u4"), text[heads[chosen]], slot[take], offset[take])
-            return [b"".join(packed(*arrays)), len(chosen)]
+            return [squeezed(b"".join(packed(*arrays))), len(chosen)]
 
         out = by_part(mix(hashes[heads]), parts, key[0], blob, ["blob", "n"])
         told = pd.DataFrame([(-1 - key[0], key[0], interval_blob(*local), 0)], columns=columns)
@@ -228,6 +229,15 @@ def contexts(parts: int):
     return each
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Contexts are text; a shuffle's own codec makes little of the short pieces."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def opened(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def interval_blob(slot: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
     return b"".join(packed(slot.astype("<u4"), low.astype("<u4"), high.astype("<u4")))
 
@@ -306,7 +316,7 @@ def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     if key[0] < 0:
         return rows[["block", "blob"]]
     parts = [[] for _ in range(6)]
-    for blob, n in zip(rows["blob"], rows["n"], strict=True):
+    for blob, n in zip(map(opened, rows["blob"]), rows["n"], strict=True):
         at = 0
         for k, (kind, width) in enumerate((("<u8", 8), ("<i8", 8), ("<u4", 4), (np.uint8, WIDTH + 2))):
             parts[k].append(np.frombuffer(blob, kind, count=n * (width if kind is np.uint8 else 1), offset=at))
