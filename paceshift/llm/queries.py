@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from paceshift.llm import lattice_hash, mixing, order_minhash, packing, quality, secret_scan, simhash, suffix_dedup, url_rules
+from paceshift.llm import lattice_hash, lm_scoring, mixing, order_minhash, packing, quality, secret_scan, simhash, suffix_dedup, url_rules
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.query,
     "op2_url_filter": url_rules.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_near_duplicates": order_minhash.query,
