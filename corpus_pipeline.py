@@ -1,7 +1,68 @@
-"""A corpus pipeline."""
-STAGES = []
+"""A corpus pipeline: good documents, one of each group of near copies, without secrets, mixed by source, packed for training.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from paceshift.llm import mixing, order_minhash, packing, quality, secret_scan
+from paceshift.llm.common import text_of, written
+from paceshift.operators.reuse import join_small
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, does not reject. Null texts are judged as empty ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long"), "quality")
+    return quality.keep_good(docs, quality.train(text_of(docs), labels))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id. Of rows with one id, the first by text stays; rows without an id all stay."""
+    found = order_minhash.near_duplicates(text_of(docs))
+    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("__n", first).where("__n = 1")
+    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their text and n_chars counted anew where that changed it."""
+    before = docs.withColumn("__before", F.length("text"))
+    after = secret_scan.redact(before)
+    count = F.length("text").cast(docs.schema["n_chars"].dataType)
+    changed = ~F.length("text").eqNullSafe(F.col("__before"))
+    return after.withColumn("n_chars", F.when(changed, count).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, which may be never. Rows with one id are taken equally often."""
+    copies = mixing.mix(mixing.sized(docs)).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    taken = join_small(docs, written(copies), ["doc_id"], F.xxhash64("text"), salts=1)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    return packing.pack(text_of(docs), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("near duplicates", without_copies),
+    ("secret scans", without_secrets),
+    ("mixing sources", mixed),
+    ("packing", packed),
+]
+#: The stages learn, sketch and tokenize, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

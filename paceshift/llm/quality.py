@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ FIT_ROWS = 20_000
 POOLED, RIDGE = 0.1, 0.02
 #: Standardised statistics are held within this many deviations.
 REACH = 8.0
+#: From this score on a document is predicted to be good.
+THRESHOLD = 0.3
 
 STATISTICS = (
     "log_words log_chars word_length letters upper digits symbols lines distinct top_word repeats "
@@ -129,6 +132,17 @@ def score(docs: DataFrame, model: Discriminant, keep: tuple[str, ...] = ()) -> D
     return docs.select("doc_id", *[c for c in dict.fromkeys(("text", *keep))]).mapInPandas(each, schema)
 
 
+def keep_good(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, as they are, whose text (null: empty) scores at least threshold."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], dtype=float).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.scores(values) >= threshold))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = text_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long"), "quality")
@@ -136,4 +150,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     model = train(docs, labels.where(~held_out))
     scored = score(docs, model)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

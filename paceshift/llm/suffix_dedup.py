@@ -379,7 +379,7 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = tasks(spark)
     blocks = max(2 * n, size // BLOCK_BYTES + 1)
-    parts = max(n, blocks // 2)
+    parts = blocks
     rows = docs.select(F.coalesce("doc_id", F.lit(last)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("binary").alias("raw"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks))).repartition(n, "block")
     named = rows.groupBy("block").applyInPandas(name_anchors(parts), "part long, block long, names binary, counts binary")
