@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceshift.llm.common import components, text_of, written
+from paceshift.llm.common import components, tasks, text_of, written
 from paceshift.llm.shingles import groups_of, mix, shingles_of, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sketches, and runs in a sketch. At similarity 0.8 a pair shares none of the sketches with odds of (1 - 0.8^4)^24 = 3e-6.
 SKETCHES, KEPT = 24, 4
-#: Centres that a bucket's members are compared with in a round.
-CENTRES = 4
+#: Texts in a block of a large bucket.
+BLOCK_ROWS = 512
 
 
 def sketches(runs: np.ndarray, starts: np.ndarray, sketches: int = SKETCHES, kept: int = KEPT) -> np.ndarray:
@@ -136,54 +136,100 @@ def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]].assign(linked=np.array(found, dtype=bool))
 
 
-def linked_pairs(pairs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that an alignment links."""
-    left = runs.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
-    right = runs.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b")
-    return both.mapInPandas(verify, "a long, b long, linked boolean").where("linked").select("a", "b")
+def common_runs(runs: list[np.ndarray]) -> np.ndarray:
+    """How many runs each two texts have in common."""
+    values, place, times = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    shared = np.flatnonzero(times[place] > 1)
+    place, owner = np.unique(place[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    common = np.zeros((len(runs), len(runs)), np.float32)
+    width = 4096
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        low, high = np.searchsorted(place, [start, start + width])
+        has = np.zeros((len(runs), width), np.float32)
+        has[owner[low:high], place[low:high] - start] = 1.0
+        common += has @ has.T
+    return common
+
+
+def compare_step(ids: np.ndarray, side: np.ndarray, runs: list[np.ndarray], sketch: int, made: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the similar texts of a step: a text with the smallest id of its class. Pairs that share an earlier sketch are left to its bucket."""
+    sizes = np.array([len(r) for r in runs])
+    need = SIMILARITY * (sizes[:, None] + sizes[None, :]) / (1 + SIMILARITY) - 1e-9
+    meet = (side[:, None] != side[None, :]) | (side[:, None] == 2)
+    a, b = np.nonzero(np.triu((common_runs(runs) >= need) & meet, 1))
+    first = (made[a] == made[b]).argmax(axis=1) == sketch
+    label = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
+        x, y = root(i), root(j)
+        if x != y and similar(runs[i], runs[j]):
+            x, y = (x, y) if ids[x] < ids[y] else (y, x)
+            label[y] = x
+    return [(int(ids[root(i)]), int(ids[i])) for i in range(len(ids)) if root(i) != i]
+
 
+def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by (key, step); the rows of one step are held at a time."""
+    held: pd.DataFrame | None = None
 
-def classes(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, component) of ids of texts (id, sketches) that share a sketch with another one.
+    def done(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, part in rows.groupby(["key", "step"], sort=False):
+            runs = [np.frombuffer(r, "<u4") for r in part["runs"]]
+            found += compare_step(part["id"].to_numpy(), part["side"].to_numpy(), runs, int(part["sketch"].iloc[0]), np.array(part["sketches"].tolist()))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    First each text is compared with one centre only: the smallest id that any of its buckets holds. Then, as long as a
-    bucket holds texts of different classes, its members are compared with a few centres of other classes, and
-    the centres leave with all that are in their classes. So many near copies cost a few comparisons for each of
-    them, and no member is given up before it has met a centre of each class in its bucket.
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        open_ = ((rows["key"] == rows["key"].iloc[-1]) & (rows["step"] == rows["step"].iloc[-1])).to_numpy()
+        held = rows[open_]
+        if not open_.all():
+            yield done(rows[~open_])
+    if held is not None:
+        yield done(held)
+
+
+def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links that join all texts (id, sketches) that share a sketch and are similar.
+
+    Two texts alone in a bucket are a pair, which is verified once for all buckets that hold it. Larger buckets are cut
+    into blocks, and each two blocks meet in a step of its own, so a group of many near copies is neither gathered in one
+    task nor written as pairs: a step counts common runs of all its texts at once, aligns those that are not joined yet,
+    and gives one link for each text.
     """
-    open_ = texts.select("id", F.explode("sketches").alias("key"))
-    buckets = open_.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    open_ = written(open_.join(buckets.select("key", "centre"), "key"))
-    ids = written(open_.groupBy("id").agg(F.min("centre").alias("centre")))
-    runs = docs.select(F.col("doc_id").alias("id"), "text").join(ids.select("id"), "id", "left_semi")
+    open_ = texts.select("id", F.posexplode("sketches").alias("sketch", "key"))
+    buckets = open_.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    open_ = written(open_.join(buckets, "key"))
+    runs = docs.select(F.col("doc_id").alias("id"), "text").join(open_.select("id").distinct(), "id", "left_semi")
     runs = written(runs.mapInPandas(sequences, "id long, runs binary"))
-    tested = ids.where("centre < id").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    links = written(linked_pairs(tested, runs))
-    label = written(components(ids, links))
-    open_ = open_.select("key", "id")
-    turn = 0
-    while True:
-        turn += 1
-        state = open_.join(label, "id")
-        mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        state = written(state.join(mixed.select("key"), "key"))
-        if not state.limit(1).count():
-            return label
-        place = F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), F.col("id").alias("centre"), F.col("component").alias("of"))
-        centres = state.groupBy("key", F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(CENTRES)).alias("g")).agg(F.min(place).alias("x"))
-        centres = written(centres.select("key", "x.centre", "x.of"))  # at most CENTRES for each bucket
-        pairs = state.join(centres, "key").where("component <> of")
-        pairs = pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
-        found = written(linked_pairs(pairs, runs))
-        if found.limit(1).count():
-            links = links.union(found)
-            label = written(components(ids, links))
-        gone = centres.join(label.withColumnRenamed("id", "centre"), "centre").groupBy("key").agg(F.collect_set("component").alias("gone"))
-        left = state.select("key", "id").join(label, "id").join(gone, "key").where(~F.array_contains("gone", F.col("component")))
-        open_ = written(left.select("key", "id"))
+    pairs = open_.where("members = 2").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").distinct()
+    left = runs.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
+    right = runs.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
+    both = pairs.where("a < b").join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b")
+    alone = both.mapInPandas(verify, "a long, b long, linked boolean").where("linked").select("a", "b")
+
+    large = open_.where("members > 2").withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    steps = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(
+            (F.least("block", o).cast("long") * (1 << 31) + F.greatest("block", o)).alias("step"),
+            F.when(F.col("block") == o, F.lit(2)).when(F.col("block") < o, F.lit(0)).otherwise(F.lit(1)).alias("side"),
+        ),
+    )
+    large = large.select("id", "sketch", "key", F.explode(steps).alias("s")).select("id", "sketch", "key", "s.step", "s.side")
+    data = runs.join(texts.select("id", "sketches"), "id")
+    work = large.join(data, "id").repartition(2 * tasks(docs.sparkSession), "key", "step").sortWithinPartitions("key", "step")
+    return alone.union(work.mapInPandas(compare_buckets, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -196,14 +242,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     made = written(docs.mapInPandas(sketch_texts, "doc_id long, c1 long, c2 long, n long, sketches array<long>"))
     texts = made.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("sketches").alias("sketches"))
     texts = written(texts.where("id IS NOT NULL"))
-    label = classes(texts.select("id", "sketches"), docs)
+    found = links(texts.select("id", "sketches"), docs)
     # Rows with one id and several texts: their texts' classes are one.
     own = made.where("n > 0").select("doc_id", "c1", "c2").join(texts.select("c1", "c2", "id"), ["c1", "c2"])
     several = own.where("doc_id IS NOT NULL AND doc_id <> id").join(texts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    several = written(several.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
-    if several.limit(1).count():
-        nodes = texts.select("id").distinct()
-        label = components(nodes, several.union(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    several = several.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    label = components(texts.select("id").distinct(), written(found.union(several).distinct()))
     found = texts.join(label, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
     out = made.join(found, ["c1", "c2"], "left").select("doc_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
