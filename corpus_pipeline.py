@@ -24,25 +24,28 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each group of near copies, the document with the smallest id. Of rows with one id, the first by text stays; rows without an id all stay."""
     found = order_minhash.near_duplicates(text_of(docs))
     kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("__n", first).where("__n = 1")
-    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))
+    rows = docs.select("doc_id", F.struct("*").alias("row"))  # so that no column's name can clash
+    named = rows.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("n", first).where("n = 1")
+    return named.select("row.*").union(docs.where("doc_id IS NULL"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their text and n_chars counted anew where that changed it."""
-    before = docs.withColumn("__before", F.length("text"))
-    after = secret_scan.redact(before)
-    count = F.length("text").cast(docs.schema["n_chars"].dataType)
-    changed = ~F.length("text").eqNullSafe(F.col("__before"))
-    return after.withColumn("n_chars", F.when(changed, count).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    after = secret_scan.redact(rows)
+    changed = ~F.col("text").eqNullSafe(F.col("row.text"))
+    count = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": count}
+    return after.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, which may be never. Rows with one id are taken equally often."""
-    copies = mixing.mix(mixing.sized(docs)).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    taken = join_small(docs, written(copies), ["doc_id"], F.xxhash64("text"), salts=1)
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).select(*docs.columns)
+    copies = mixing.mix(mixing.sized(docs)).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select("doc_id", F.struct("*").alias("row"))  # so that no column's name can clash
+    taken = join_small(rows, written(copies), ["doc_id"], F.xxhash64("row.text"), salts=1)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,27 +48,41 @@ def source_targets(docs: DataFrame, weights: Sequence[int], cap: float) -> DataF
     return sums.select("source", "source_size", F.coalesce(F.least("most", F.col("level") * F.col("weight")), "most").alias("target"))
 
 
+def copy_levels(docs: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """targets with level, so that documents of a source with min(cap, level * weight) copies each reach its target. One row for each weight of a source is ordered."""
+    sums = docs.where("weight > 0").groupBy(F.col("source").alias("s"), "weight").agg(F.sum("size").alias("n"))
+    sums = sums.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("mass", F.col("weight") * F.col("n"))
+    heavy = Window.partitionBy("source").orderBy(F.desc("weight"))
+    before, after = heavy.rowsBetween(Window.unboundedPreceding, -1), heavy.rowsBetween(0, Window.unboundedFollowing)
+    rest = F.sum("mass").over(after)
+    level = F.when(rest > 0, (F.col("target") - F.lit(cap) * F.coalesce(F.sum("n").over(before), F.lit(0))) / rest)
+    sums = sums.withColumn("level", level)
+    fits = F.when(F.col("level") * F.col("weight") <= cap * (1 + 1e-12), F.struct((-F.col("weight")).alias("w"), F.col("level").alias("level")))
+    found = sums.groupBy(F.col("source").alias("s")).agg(F.min(fits)["level"].alias("level"))
+    return targets.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, seed: str = "mix") -> DataFrame:
     """One row for each row of docs (doc_id, source, size; optional weight): doc_id, size, source_size, target,
     copies and taken = copies * size.
 
     weights go to the sources by code point, null last, repeating. weight (null or absent: 1) makes a document's
-    expected copies larger or smaller than its source's, up to cap; its own copies never pass cap rounded up. Null sizes count as 0. A source without
+    expected copies larger or smaller, in proportion and up to cap; it is rounded to a 64th of an octave, and without
+    a positive weight nothing is taken. Null sizes count as 0. A source without
     words has target 0, and nothing is taken from it. Rows with the same doc_id share their random number; of
     rows that agree in all columns it does not matter which one is taken. Reruns agree, on any partitioning.
 
     No source is sorted or gathered: words per cell of the ranking come from a map-side combined sum, the cell at
     which the sample ends is opened into finer cells, and only what is left in one of those is put in order.
     """
-    docs = docs.withColumn("weight", F.lit(1.0) if "weight" not in docs.columns else F.coalesce(F.col("weight").cast("double"), F.lit(1.0)))
-    docs = docs.select("doc_id", "source", F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("size"), "weight", unit_hash(F.col("doc_id"), seed=seed).alias("random"))
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in docs.columns else F.lit(1.0)
+    weight = F.when(F.isnan(weight) | (weight <= 0), F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.round(F.log2(weight) * 64) / 64))
+    docs = docs.select("doc_id", "source", F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("size"), weight.alias("weight"), unit_hash(F.col("doc_id"), seed=seed).alias("random"))
     docs = written(docs)
     targets = source_targets(docs, weights, cap)
-    means = docs.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("size") * F.col("weight")).alias("mass"))
-    targets = written(targets.join(means, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-
-    expected = F.least(F.lit(cap), F.coalesce(F.col("target") * F.col("weight") / F.col("mass"), F.lit(0.0)))
-    ranked = join_small(docs, targets, ["source"], F.col("doc_id")).withColumn("expected", expected)
+    targets = written(copy_levels(docs, targets, cap))
+    ranked = join_small(docs, targets, ["source"], F.col("doc_id"))
+    ranked = ranked.withColumn("expected", F.coalesce(F.least(F.lit(cap), F.col("level") * F.col("weight")), F.lit(0.0)))
     ranked = ranked.withColumn("copies", F.floor("expected").cast("long")).withColumn("part", F.col("expected") - F.col("copies"))
     u = (F.col("random") + 0.5) / UNIT
     odds = u / (1 - u) * (1 - F.col("part")) / F.col("part")
