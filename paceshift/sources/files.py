@@ -2,61 +2,83 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import ENRICHED, EVENT_HEADER, EVENTS
+from .schemas import ENRICHED, EVENT_HEADER, EVENTS, REQUIRED
 
 CORRUPT = "_corrupt_record"
 
 
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV file (or of the first one of a folder)."""
+    return spark.read.option("header", True).csv(path).columns
+
+
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType, null_value: str | None = "NA",
-    fail_on_bad_rows: bool = True,
+    fail_on_bad_rows: bool = True, optional: Collection[str] = (),
 ) -> DataFrame:
     """CSV with a header, under a declared schema; empty fields, ``null_value`` and NaN are missing.
 
-    ``null_value=None`` keeps the text ``NA``. A row that does not parse is an error unless
-    ``fail_on_bad_rows`` is off, in which case it is kept with its text in ``_corrupt_record``.
+    Columns are bound by name: each path has its own header (all files of a folder the same one, or it is an
+    error). A column of the schema that a header lacks is an error unless ``optional`` names it, in which case it
+    is null; columns that the schema lacks are left out. ``null_value=None`` keeps the text ``NA``. A row that
+    does not parse is an error unless ``fail_on_bad_rows`` is off, in which case it is kept with its text in
+    ``_corrupt_record``. One line is read of each path when this is called.
     """
-    reader = spark.read.option("header", True).option("mode", "FAILFAST" if fail_on_bad_rows else "PERMISSIVE")
-    if null_value is not None:
-        reader = reader.option("nullValue", null_value)
+    fields = {f.name: f for f in schema.fields}
+    out = list(schema.fields)
     if not fail_on_bad_rows:
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = reader.schema(schema).csv(path if isinstance(path, str) else list(path))
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType) and f.name != CORRUPT]
+        out.append(T.StructField(CORRUPT, T.StringType()))
+    parts = []
+    for one in [path] if isinstance(path, str) else path:
+        header = header_of(spark, one)
+        missing = [n for n in fields if n not in header and n not in optional]
+        if missing:
+            raise ValueError(f"{one} lacks the columns {missing}")
+        declared = T.StructType([fields.get(h, T.StructField(h, T.StringType())) for h in header] + out[len(fields) :])
+        reader = spark.read.option("header", True).option("enforceSchema", False)
+        reader = reader.option("mode", "FAILFAST" if fail_on_bad_rows else "PERMISSIVE")
+        if null_value is not None:
+            reader = reader.option("nullValue", null_value)
+        if not fail_on_bad_rows:
+            reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        read = reader.schema(declared).csv(one)
+        parts.append(read.select(*[(F.col(f"`{f.name}`") if f.name in declared.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in out]))
+    df = reduce(lambda a, b: a.unionByName(b), parts)
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     numbers = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns(
-        {name: F.nullif(F.col(f"`{name}`"), F.lit("")) for name in texts}
-        | {name: F.nanvl(F.col(f"`{name}`"), F.lit(None).cast("double")) for name in numbers}
-    )
+    return df.select(*[
+        (F.nullif(F.col(f"`{c}`"), F.lit("")) if c in texts else F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")) if c in numbers else F.col(f"`{c}`")).alias(c)
+        for c in df.columns
+    ])
 
 
-def read_raw_events(
-    spark: SparkSession, path: str | Sequence[str], header: Sequence[str], rename: Mapping[str, str] = EVENT_HEADER
-) -> DataFrame:
-    """One season of raw event files with the given header line, cut to the known columns.
+def raw_schema(rename: Mapping[str, str] = EVENT_HEADER) -> T.StructType:
+    """The event columns under their raw names."""
+    types = {f.name: f.dataType for f in EVENTS.fields}
+    return T.StructType([T.StructField(raw, types[name]) for raw, name in rename.items()])
+
 
-    Columns that the header lacks become typed nulls. ``ingest_seq`` numbers the rows in file order: the
-    position of the input split in the high bits, the row within it in the low ones. It is fixed once,
+def renamed(df: DataFrame, rename: Mapping[str, str] = EVENT_HEADER) -> DataFrame:
+    return df.select(*[F.col(f"`{raw}`").alias(name) for raw, name in rename.items()])
+
+
+def read_raw_events(spark: SparkSession, path: str | Sequence[str], rename: Mapping[str, str] = EVENT_HEADER, required: Sequence[str] = REQUIRED) -> DataFrame:
+    """Raw event files, each with the header it has, cut to the known columns.
+
+    Columns that a header lacks become typed nulls, but a missing required one is an error. ``ingest_seq`` numbers the
+    rows: in file order within a file, and the files in the order of their paths where each is one split. It is fixed once,
     when the table is written; do not use it before.
     """
-    types = {f.name: f.dataType for f in EVENTS.fields}
-    declared = T.StructType(
-        [T.StructField(h, types[rename[h]] if h in rename else T.StringType()) for h in header]
-    )
-    df = read_csv(spark, path, declared)
-    present = [h for h in header if h in rename]
-    df = df.select(*[F.col(f"`{h}`").alias(rename[h]) for h in present], F.monotonically_increasing_id().alias("ingest_seq"))
-    missing = [f for f in EVENTS.fields if f.name not in df.columns]
-    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(
-        *[f.name for f in EVENTS.fields], "ingest_seq"
-    )
+    paths = [path] if isinstance(path, str) else sorted(path)
+    raw = read_csv(spark, paths, raw_schema(rename), optional=set(rename) - set(required))
+    return renamed(raw, rename).select(*[f.name for f in EVENTS.fields], F.monotonically_increasing_id().alias("ingest_seq"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

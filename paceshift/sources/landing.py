@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_years
-from .schemas import EVENTS
+from . import files
+from .schemas import EVENTS, REQUIRED
 
 
 def calendar(bounds: DataFrame, start: str = "start", end: str = "end", name: str = "date") -> DataFrame:
@@ -47,9 +48,22 @@ def games_on_days(schedule: DataFrame, days: DataFrame, game: str = "game_pk", d
     return rows.groupBy(game).agg(F.count("*").alias("n"))
 
 
-def landed_events(spark: SparkSession, paths: Sequence[str], fmt: str = "json") -> DataFrame:
-    """All landed event files as one table; columns a file lacks are null."""
-    return spark.read.schema(EVENTS).format(fmt).load(list(paths))
+def landed_events(spark: SparkSession, paths: Sequence[str], fmt: str = "json", required: Sequence[str] = REQUIRED) -> DataFrame:
+    """All landed event files (JSON lines or CSV, under the raw field names) as one table.
+
+    Columns a file lacks are null, but a required field that no row of the files has is an error. For JSON that
+    takes a look at the field names of all rows when this is called; for CSV, at each header.
+    """
+    if fmt == "csv":
+        return files.read_raw_events(spark, list(paths), required=required).drop("ingest_seq")
+    if fmt != "json":
+        raise ValueError("landed files are json or csv")
+    names = spark.read.text(list(paths)).select(F.explode(F.json_object_keys("value")).alias("name")).distinct()
+    found = {r["name"] for r in names.collect()}  # as many as there are field names
+    missing = [f for f in required if f not in found]
+    if missing:
+        raise ValueError(f"the landed files lack the fields {missing}")
+    return files.renamed(spark.read.schema(files.raw_schema()).json(list(paths))).select(*EVENTS.names)
 
 
 def ingest(events: DataFrame, games: DataFrame, game: str = "game_pk") -> DataFrame:

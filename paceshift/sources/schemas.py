@@ -22,10 +22,6 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
-VIOLATION_COLUMNS = _schema(
-    "violation_description STRING, violation_player_name STRING, violation_player_id BIGINT, violation_type STRING"
-)
-
 EVENTS = _schema(
     """
     game_pk BIGINT, game_date DATE, start_time TIMESTAMP, play_id STRING, is_pitch BOOLEAN, pitch_number INT,
@@ -71,6 +67,9 @@ EVENT_HEADER = {
     "pitchData.breaks.spinDirection": "spin_direction",
 }
 
+#: Raw fields without which a file is not one of events.
+REQUIRED = ("game_pk", "game_date", "startTime", "isPitch", "about.inning", "matchup.pitcher.fullName")
+
 # Columns and column ranges of the raw files that the analysis keeps.
 EVENT_RANGES = [
     ("game_pk", "details.event"),

@@ -57,6 +57,53 @@ def test_park_dimension(spark, tmp_path):
     assert len(cleaning.HOME_TEAMS) == 29
 
 
+#: The 31 parks in use with altitude, home team and abbreviation.
+PARKS_IN_USE = """Angel Stadium of Anaheim,154,Los Angeles Angels,LAA
+SunTrust Park,981,Atlanta Braves,ATL
+Oriole Park at Camden Yards,35,Baltimore Orioles,BAL
+Fenway Park,16,Boston Red Sox,BOS
+Wrigley Field,599,Chicago Cubs,CHC
+Guarantee Rate Park,594,Chicago White Sox,CHW
+Great American Ballpark,489,Cincinnati Reds,CIN
+Progressive Field,673,Cleveland Guardians,CLE
+Coors Field,5197,Colorado Rockies,COL
+Comerica Park,602,Detroit Tigers,DET
+Minute Maid Park,20,Houston Astros,HOU
+Kauffman Stadium,886,Kansas City Royals,KCR
+Olympic Stadium,206,,
+Dodger Stadium,501,Los Angeles Dodgers,LAD
+Marlins Park,6,Miami Marlins,MIA
+Miller Park,602,Milwaukee Brewers,MIL
+Target Field,840,Minnesota Twins,MIN
+Citi Field,13,New York Mets,NYM
+New Yankee Stadium,11,New York Yankees,NYY
+Oakland-Alameda County Coliseum,0,Oakland Athletics,OAK
+Citizens Bank Park,19,Philadelphia Phillies,PHI
+Chase Field,1059,Arizona Diamondbacks,ARI
+PNC Park,724,Pittsburgh Pirates,PIT
+Petco Park,14,San Diego Padres,SDP
+T-Mobile Park,17,Seattle Mariners,SEA
+Oracle Park,8,San Francisco Giants,SFG
+Busch Stadium III,438,St. Louis Cardinals,STL
+Tropicana Field,41,Tampa Bay Rays,TBR
+Rogers Centre,268,Toronto Blue Jays,TOR
+Nationals Park,23,Washington Nationals,WSN
+Globe Life Park,541,Texas Rangers,TEX"""
+
+
+def test_all_parks_in_use(spark, tmp_path):
+    want = [tuple(x or None for x in line.split(",")) for line in PARKS_IN_USE.split("\n")]
+    lines = [f"P{i},{name},c,s,19900401,,NL,,,Y,1.5,2.5,{altitude}" for i, (name, altitude, *_) in enumerate(want[:-1])]
+    lines += ["P90,Old Grounds,c,s,18710708,18710708,NA,,,Y,1,2,3", "P91,No Start,c,s,,,NA,,,Y,1,2,3"]
+    path = tmp_path / "parks.csv"
+    path.write_text("\n".join([PARKS_TEXT.split("\n")[0], *lines]) + "\n")
+    parks = cleaning.park_dimension(files.read_csv(spark, str(path), PARKS_RAW, null_value=None), cleaning.home_teams(spark))
+    got = {(r.park_name, str(r.altitude), r.home_team, r.abbr) for r in parks.collect()}
+    assert len(want) == 31 and got == set(want)
+    labels = {r.home_team: (r.label, r.abbr) for r in altitude.altitude_ranking(parks).collect()}
+    assert len(labels) == 30 and labels["Arizona Diamondbacks"] == ("Chase Field (ARI)", "AZ")
+
+
 def test_bands_are_open(spark):
     values = [1001, 1000, 950, 900, 899, 751, 750]
     out = spark.createDataFrame([(v,) for v in values], "altitude INT").select(altitude.altitude_band())
@@ -70,17 +117,36 @@ def test_abbreviations(spark):
     assert [r[0] for r in out.collect()] == ["CWS", "NYM", None]
 
 
-def test_raw_events(spark, tmp_path):
-    header = ["game_pk", "game_date", "startTime", "isPitch", "details.type.code", "unused", "pitchData.startSpeed"]
-    text = ",".join(header) + "\n1,2023-04-01,2023-04-01T19:00:00.000Z,TRUE,FF,zzz,95.5\n1,2023-04-01,NA,FALSE,NA,,NA\n"
-    path = tmp_path / "raw.csv"
-    path.write_text(text)
-    df = files.read_raw_events(spark, str(path), header)
+RAW = ["game_pk", "game_date", "startTime", "isPitch", "about.inning", "matchup.pitcher.fullName", "details.type.code", "unused", "pitchData.startSpeed"]
+
+
+def test_raw_events_of_two_seasons_with_their_own_headers(spark, tmp_path):
+    old, new = tmp_path / "old.csv", tmp_path / "new.csv"
+    old.write_text(",".join(RAW) + "\n1,2022-04-01,2022-04-01T19:00:00.000Z,TRUE,1,A,FF,zzz,95.5\n1,2022-04-01,NA,FALSE,1,NA,NA,,NA\n")
+    header = ["details.violation.type", *reversed(RAW)]  # another order, and a column that the old season lacks
+    new.write_text(",".join(header) + "\nclock,90.25,x,SL,B,2,TRUE,2023-04-01T19:00:00.000Z,2023-04-01,2\n")
+    df = files.read_raw_events(spark, [str(old), str(new)])
     assert df.columns == [*EVENTS.names, "ingest_seq"]
-    rows = df.orderBy("ingest_seq").collect()
-    assert (rows[0].is_pitch, rows[0].pitch_code, rows[0].start_speed) == (True, "FF", 95.5)
-    assert (rows[1].start_time, rows[1].pitch_code, rows[1].violation_player_id) == (None, None, None)
     assert df.schema["violation_player_id"].dataType == T.LongType()
+    rows = {(r.game_pk, r.pitch_code): r for r in df.collect()}
+    first, empty, other = rows[1, "FF"], rows[1, None], rows[2, "SL"]
+    assert (first.is_pitch, first.start_speed, first.pitcher_name, first.violation_type) == (True, 95.5, "A", None)
+    assert (empty.start_time, empty.pitcher_name, empty.start_speed) == (None, None, None)
+    assert (other.is_pitch, other.start_speed, other.pitcher_name, other.inning, other.violation_type) == (True, 90.25, "B", 2, "clock")
+
+
+def test_columns_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("entity_id,entity_name\n1,x\n")
+    (tmp_path / "b.csv").write_text("entity_name,entity_id\ny,2\n")
+    rows = files.read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], LEADERBOARD).collect()
+    assert sorted((r.entity_name, r.entity_id) for r in rows) == [("x", 1), ("y", 2)]
+    with pytest.raises(Exception):  # a folder with two headers
+        files.read_csv(spark, str(tmp_path), LEADERBOARD).collect()
+    (tmp_path / "c.csv").write_text("entity_name\nz\n")
+    with pytest.raises(ValueError, match="entity_id"):
+        files.read_csv(spark, str(tmp_path / "c.csv"), LEADERBOARD)
+    rows = files.read_csv(spark, str(tmp_path / "c.csv"), LEADERBOARD, optional=["entity_id"]).collect()
+    assert [(r.entity_name, r.entity_id) for r in rows] == [("z", None)]
 
 
 def test_kept_columns_of_a_raw_table(spark):
@@ -118,10 +184,19 @@ def test_seasons_from_files_to_partitioned_table(spark, tmp_path):
 
 
 def test_landing_and_manifest(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"game_pk": 1, "is_pitch": True, "pitcher_name": "A"}) + "\n" + json.dumps({"game_pk": 1}))
-    (tmp_path / "b.json").write_text(json.dumps({"game_pk": 2, "violation_type": "clock"}))
-    events = landing.landed_events(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")])
+    pitch = {"game_pk": 1, "game_date": "2022-04-01", "startTime": "2022-04-01T19:00:00.000Z", "isPitch": True, "about.inning": 1, "matchup.pitcher.fullName": "A", "other": 1}
+    (tmp_path / "a.json").write_text(json.dumps(pitch) + "\n" + json.dumps({"game_pk": 1}))
+    (tmp_path / "b.json").write_text(json.dumps({"game_pk": 2, "details.violation.type": "clock"}))
+    paths = [str(tmp_path / "a.json"), str(tmp_path / "b.json")]
+    events = landing.landed_events(spark, paths)
     assert events.columns == EVENTS.names and events.count() == 3
+    full = events.where("is_pitch").collect()[0]
+    assert (full.game_pk, full.inning, full.pitcher_name, str(full.game_date), full.start_time is None) == (1, 1, "A", "2022-04-01", False)
+    assert events.where("violation_type = 'clock'").count() == 1
+    with pytest.raises(ValueError, match="isPitch"):
+        landing.landed_events(spark, paths[1:])
+    (tmp_path / "a.csv").write_text(",".join(RAW) + "\n7,2022-04-01,NA,TRUE,1,A,FF,,1\n")
+    assert [(r.game_pk, r.pitcher_name) for r in landing.landed_events(spark, [str(tmp_path / "a.csv")], "csv").collect()] == [(7, "A")]
     schedule = spark.createDataFrame(
         [(1, "2022-04-01", "F", "R"), (1, "2022-04-01", "F", "R"), (2, "2022-04-02", "F", "S"), (3, "2023-04-02", "F", "R")],
         SCHEDULE,
