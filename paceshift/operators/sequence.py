@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gap_seconds
-from .reuse import written_once
+from .reuse import join_small, written_once
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class EventColumns:
         return [*self.coarse_keys, *CUTS]
 
 
-CUTS = ["__part", "__block"]
+CUTS = ["__part", "__fine", "__block"]
 COUNTS = ["season_count", "game_count", "inning_count"]
 
 
@@ -65,6 +65,7 @@ def _with_slices(df: DataFrame, c: EventColumns) -> DataFrame:
         {
             "__slice": F.floor(F.unix_micros(start) / F.lit(c.slice_seconds * 1_000_000)),
             "__part": F.lit(0).cast("long"),
+            "__fine": F.lit(0).cast("long"),
             "__block": F.when(start.isNull(), F.floor(F.col(c.seq) / F.lit(c.seq_block))),
         }
     )
@@ -74,52 +75,62 @@ def _cells(rows: DataFrame, c: EventColumns) -> DataFrame:
     return written_once(
         rows.groupBy(*c.slice_keys, c.pitcher, c.inning).agg(
             F.count("*").alias("n"),
-            F.min(F.unix_micros(c.start)).alias("first_us"),
             F.max(c.start).alias("last_start"),
         )
     )
 
 
+def _numbered(counts: DataFrame, keys: Sequence[str], time: str, limit: int, out: str) -> DataFrame:
+    """Cut the times of each key into consecutive parts of at most ``limit`` rows; a time with more than half of that is a part of its own, and marked."""
+    order = W.partitionBy(*keys).orderBy(time)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    half = max(1, limit // 2)
+    marked = counts.withColumns({"__crowded": F.col("n") > half, "__step": F.floor(before / F.lit(half))})
+    new = (F.lag("__step").over(order) != F.col("__step")) | F.col("__crowded") | F.lag("__crowded").over(order)
+    marked = marked.withColumn("__new", F.coalesce(new, F.lit(True)).cast("long"))
+    part = F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return marked.withColumn(out, part).select(*keys, time, out, "__crowded")
+
+
 def _cut_large_slices(
     rows: DataFrame, cells: DataFrame, c: EventColumns
 ) -> tuple[DataFrame, DataFrame]:
-    """Cut slices of more than ``max_slice_rows`` events into equal spans of time, or, where they hold a
-    single instant, into blocks of sequence numbers. Both keep the order of events.
+    """Cut slices of more than ``max_slice_rows`` events by their counts per second; a second that is too large by
+    its counts per instant; and an instant that is too large into blocks of sequence numbers. All keep the order of events.
 
-    There are at most total / ``max_slice_rows`` such slices, usually none.
+    Only the large slices are counted again; there are at most total / ``max_slice_rows`` of them, usually none. A
+    slice has at most ``slice_seconds`` seconds, and a second a million instants.
     """
     large = (
         cells.where(F.col("__slice").isNotNull())
         .groupBy(*c.coarse_keys)
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("first_us").alias("__from"),
-            (F.max(F.unix_micros("last_start")) - F.min("first_us")).alias("span"),
-        )
+        .agg(F.sum("n").alias("n"))
         .where(F.col("n") > c.max_slice_rows)
+        .drop("n")
     )
-    width = F.ceil((F.col("span") + 1) * F.lit(c.max_slice_rows / 4.0) / F.col("n"))
-    large = large.select(
-        *[F.col(k).alias(f"__l_{k}") for k in c.coarse_keys], "__from", width.alias("__width"),
-        (F.col("span") == 0).alias("__instant"),
-    )
+    large = written_once(large)
     if large.isEmpty():
         return rows, cells
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__l_{k}")) for k in c.coarse_keys])
-    rows = (
-        rows.join(large, match, "left")
-        .withColumns(
-            {
-                "__part": F.coalesce(
-                    F.floor((F.unix_micros(c.start) - F.col("__from")) / F.col("__width")), F.col("__part")
-                ),
-                "__block": F.when(F.col("__instant"), F.floor(F.col(c.seq) / F.lit(c.seq_block))).otherwise(
-                    F.col("__block")
-                ),
-            }
-        )
-        .drop("__from", "__width", "__instant", *[f"__l_{k}" for k in c.coarse_keys])
-    )
+    spread = F.col(c.seq)
+    micros = F.unix_micros(c.start)
+    timed = rows.withColumns({"__us": micros, "__second": F.floor(micros / F.lit(1_000_000))})
+    inside = join_small(timed, large, c.coarse_keys, spread)
+    in_second = [*c.coarse_keys, "__second"]
+    seconds = inside.groupBy(*in_second).agg(F.count("*").alias("n"))
+    seconds = written_once(_numbered(seconds, c.coarse_keys, "__second", c.max_slice_rows, "__p"))
+    crowded = written_once(seconds.where("__crowded").select(*in_second))
+    instants = join_small(inside, crowded, in_second, spread).groupBy(*in_second, "__us").agg(F.count("*").alias("n"))
+    instants = written_once(_numbered(instants, in_second, "__us", c.max_slice_rows, "__f").withColumnRenamed("__crowded", "__instant"))
+    cut = join_small(timed, seconds.select(*in_second, "__p"), in_second, spread, "left")
+    cut = join_small(cut, instants, [*in_second, "__us"], spread, "left")
+    block = F.floor(F.col(c.seq) / F.lit(min(c.seq_block, c.max_slice_rows)))
+    rows = cut.withColumns(
+        {
+            "__part": F.coalesce("__p", "__part"),
+            "__fine": F.coalesce("__f", "__fine"),
+            "__block": F.when(F.col("__instant"), block).otherwise(F.col("__block")),
+        }
+    ).drop("__us", "__second", "__p", "__f", "__instant")
     return rows, _cells(rows, c)
 
 

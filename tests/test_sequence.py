@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paceshift.operators.sequence import EventColumns, add_gap, attach_by_id, enrich, running_counts
+from paceshift.operators.sequence import EventColumns, _cells, _cut_large_slices, _with_slices, add_gap, attach_by_id, enrich, running_counts
 
 SCHEMA = (
     "ingest_seq BIGINT, year INT, game_pk BIGINT, game_date DATE, start_time TIMESTAMP, play_id STRING, "
@@ -114,6 +114,19 @@ def test_slice_that_holds_one_instant_is_cut_by_sequence(spark, columns):
     assert result(enrich(rows, columns)) == result(plain(rows))
 
 
+def test_crowded_instant_with_a_straggler_is_cut(spark):
+    """Most events in one second, some of them in one instant, and one event half a minute later."""
+    start = dt.datetime(2023, 4, 1, 19)
+    times = [start] * 3000 + [start + dt.timedelta(microseconds=7 * i) for i in range(3000)] + [start + dt.timedelta(seconds=30)]
+    rows = [(i, 2023, 1, start.date(), t, f"p{i}", True, 1, "A") for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    c = EventColumns(max_slice_rows=500)
+    assert result(enrich(df, c)) == result(plain(df))
+    pitches = _with_slices(df, c)
+    cut, _ = _cut_large_slices(pitches, _cells(pitches, c), c)
+    assert cut.count() == 6001 and cut.groupBy(*c.slice_keys).count().agg(F.max("count")).first()[0] <= 500
+
+
 def test_counts_and_gap_can_be_added_one_after_the_other(spark):
     rows = spark.createDataFrame(random_events(9, 300), SCHEMA)
     counted = running_counts(rows)
