@@ -5,8 +5,7 @@ from __future__ import annotations
 from .queries import MIN_PITCHES, MIN_TYPE_PITCHES, MIN_TYPE_ROWS
 from .roles import CAP, P0, P1
 
-VIEWS = {
-    "star": f"""
+STAR_ROWS = """
         SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(l_shipdate AS DATE) AS game_date,
                l_orderkey AS game_pk, nullif(l_suppkey, 7) AS pitcher_name, l_returnflag AS pitch_code,
                CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN NULL ELSE 'type_' || l_returnflag END AS pitch_desc,
@@ -14,15 +13,20 @@ VIEWS = {
                CASE WHEN l_linestatus = 'O' THEN 'Empty' ELSE 'RISP' END AS men_on_base,
                nullif(l_quantity, 13.0) AS pitch_tempo, l_extendedprice AS start_speed, l_discount AS spin_rate,
                l_suppkey
-        FROM lineitem WHERE year(l_shipdate) BETWEEN {P0} AND {P1}""",
+        FROM lineitem"""
+HOME_ROWS = """
+        SELECT star.*, n_name AS home_team, 'Park ' || n_nationkey AS park_name, n_nationkey * 100 AS altitude,
+               CASE WHEN n_nationkey = 0 THEN 1.0 ELSE 0.0 END AS flag
+        FROM {star} AS star JOIN orders ON o_orderkey = game_pk JOIN customer ON c_custkey = o_custkey
+        JOIN nation ON n_nationkey = c_nationkey"""
+VIEWS = {
+    "star": f"{STAR_ROWS} WHERE year(l_shipdate) BETWEEN {P0} AND {P1}",
+    "star_all": STAR_ROWS,
     "star_fielding": """
         SELECT star.*, n_name AS fielding_team FROM star
         LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey""",
-    "star_home": """
-        SELECT star.*, n_name AS home_team, 'Park ' || n_nationkey AS park_name, n_nationkey * 100 AS altitude,
-               CASE WHEN n_nationkey = 0 THEN 1.0 ELSE 0.0 END AS flag
-        FROM star JOIN orders ON o_orderkey = game_pk JOIN customer ON c_custkey = o_custkey
-        JOIN nation ON n_nationkey = c_nationkey""",
+    "star_home": HOME_ROWS.format(star="star"),
+    "star_home_all": HOME_ROWS.format(star="star_all"),
     "parks": """
         SELECT s_name AS park_name, 'city_' || s_nationkey AS city, 'state_' || (s_nationkey % 5) AS state,
                s_acctbal / 100 AS latitude, s_acctbal / -200 AS longitude,
@@ -65,6 +69,7 @@ VIEWS = {
 NEEDS = {
     "star_fielding": ["star"],
     "star_home": ["star"],
+    "star_home_all": ["star_all"],
     "pitch_windows": ["ev"],
     "enriched": ["ev", "pitch_windows"],
 }
@@ -73,9 +78,10 @@ ORACLES: dict[str, str] = {}
 
 
 def r(expression: str, digits: int = 6) -> str:
-    scale = 10**digits
-    bias = 0.501 if digits >= 6 else 0.500001
-    return f"floor(({expression}) * CAST({scale} AS DOUBLE) + CAST({bias} AS DOUBLE)) / CAST({scale} AS DOUBLE)"
+    """Plain rounding; to six digits, as results are compared, after rounding to nine."""
+    if digits < 6:
+        return f"round({expression}, {digits})"
+    return f"round(round(({expression}) * 1e9::DOUBLE) / 1e9::DOUBLE * 1e6::DOUBLE) / 1e6::DOUBLE"
 
 
 def add(name: str, views: list[str], sql: str, **steps: str) -> None:
@@ -129,6 +135,12 @@ add(
     UNION ALL SELECT 'l_returnflag', 'string', 'string', 'same', (SELECT count(l_returnflag) FROM lineitem),
            (SELECT count(nullif(o_orderstatus, 'P')) FROM orders))""",
 )
+add(
+    "sample_n",
+    [],
+    f"""SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate, {', '.join(f"{r(c)} AS {c}" for c in ('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'))})
+    FROM (SELECT * FROM lineitem ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), l_orderkey, l_linenumber, l_partkey LIMIT 20)""",
+)
 add(
     "missing_profile",
     ["ev"],
@@ -153,6 +165,7 @@ add(
     "union_seasons",
     [],
     f"""SELECT o_orderkey, {r('o_totalprice')} AS o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year,
+    CASE WHEN year(o_orderdate) = {P0} THEN o_orderpriority END AS old_only,
     CASE WHEN year(o_orderdate) = {P1} THEN o_orderstatus END AS violation_type
     FROM orders WHERE year(o_orderdate) IN ({P0}, {P1})""",
 )
@@ -170,8 +183,8 @@ add(
 )
 add(
     "dropna",
-    ["star"],
-    f"""SELECT game_pk, pitch_number, pitcher_name, pitch_desc, {r('pitch_tempo')} AS pitch_tempo FROM star
+    ["star_all"],
+    f"""SELECT game_pk, pitch_number, pitcher_name, pitch_desc, {r('pitch_tempo')} AS pitch_tempo FROM star_all
     WHERE pitcher_name IS NOT NULL AND pitch_desc IS NOT NULL AND pitch_tempo IS NOT NULL""",
 )
 add(
@@ -224,10 +237,10 @@ add(
 )
 add(
     "topk_many_ties",
-    ["star"],
+    ["star_all"],
     f"""SELECT game_pk, pitch_number, {r('pitch_tempo')} AS pitch_tempo FROM
     (SELECT *, rank() OVER (ORDER BY pitch_tempo DESC NULLS LAST) AS a, rank() OVER (ORDER BY pitch_tempo NULLS LAST) AS b
-     FROM star) WHERE a <= 15 OR b <= 15""",
+     FROM star_all) WHERE a <= 15 OR b <= 15""",
 )
 add(
     "filter_suite",
@@ -248,7 +261,7 @@ add(
     """SELECT details_description, count(*) AS n FROM ev
     WHERE NOT is_pitch AND year = 2 AND details_event IS NULL GROUP BY 1""",
 )
-add("count_types", ["star"], "SELECT pitch_desc, pitch_code, year, count(*) AS n FROM star GROUP BY ALL")
+add("count_types", ["star_all"], "SELECT pitch_desc, pitch_code, year, count(*) AS n FROM star_all GROUP BY ALL")
 
 # Distributions
 
@@ -296,8 +309,8 @@ FIRST = "CASE WHEN pitch_number = 1 THEN '1st pitch' WHEN pitch_number <> 1 THEN
 
 add_density("density", ["enriched"], "SELECT year, pitch_tempo AS v FROM enriched WHERE is_pitch", ["year"], 3600)
 add_density(
-    "density_not_first", ["star"],
-    "SELECT year, pitch_tempo AS v FROM star WHERE is_pitch AND inning_count <> 1", ["year"], 60,
+    "density_not_first", ["star_all"],
+    "SELECT year, pitch_tempo AS v FROM star_all WHERE is_pitch AND inning_count <> 1", ["year"], 60,
 )
 add_density(
     "density_facet", ["enriched"],
@@ -305,14 +318,14 @@ add_density(
     ["facet", "year"], 3600,
 )
 add_density(
-    "density_facet_first", ["star"],
-    f"SELECT {FIRST} AS facet, year, pitch_tempo AS v FROM star WHERE is_pitch AND pitch_tempo > 0 AND pitch_tempo < {CAP}",
+    "density_facet_first", ["star_all"],
+    f"SELECT {FIRST} AS facet, year, pitch_tempo AS v FROM star_all WHERE is_pitch AND pitch_tempo > 0 AND pitch_tempo < {CAP}",
     ["facet", "year"], 60,
 )
 add_density("density_velocity", ["ev"], "SELECT pitch_code, start_speed AS v FROM ev", ["pitch_code"], 100)
 add_density(
-    "density_flag", ["star_home"],
-    """SELECT CASE WHEN flag = 1 THEN 'flagged' ELSE 'elsewhere' END AS place, year, pitch_tempo AS v FROM star_home
+    "density_flag", ["star_home_all"],
+    """SELECT CASE WHEN flag = 1 THEN 'flagged' ELSE 'elsewhere' END AS place, year, pitch_tempo AS v FROM star_home_all
     WHERE is_pitch AND pitch_number <> 1""",
     ["place", "year"], 60,
 )
@@ -391,7 +404,7 @@ CODES = f"""SELECT pitch_desc, pitch_code, count(*) AS n FROM star
     WHERE is_pitch AND pitch_desc IS NOT NULL AND pitch_code IS NOT NULL GROUP BY ALL HAVING count(*) > {MIN_TYPE_ROWS}"""
 BOARD = f"""SELECT pitch_code, pitcher_name, {r('avg(start_speed)', 2)} AS velo, {r('avg(spin_rate)', 0)} AS spin_rate,
     count(*) AS n FROM star WHERE pitch_code IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 50"""
-add("pitch_codes", ["star"], "SELECT * FROM codes", codes=CODES)
+add("pitch_codes", ["star_all"], "SELECT * FROM codes", codes=CODES.replace("FROM star", "FROM star_all"))
 add("pitch_leaderboards", ["star"],
     f"""SELECT pitch_code, pitcher_name, {r('velo')} AS velo, {r('spin_rate')} AS spin_rate, n FROM board
     WHERE pitch_code IN (SELECT pitch_code FROM codes)""", codes=CODES, board=BOARD)
@@ -467,8 +480,8 @@ def delta(measure: str, column: str, where: str) -> str:
     FROM star WHERE is_pitch AND {where} GROUP BY 1, 2 HAVING {n0} > 15 AND {n1} > 15"""
 
 
-def add_ols(name: str, measure: str, points: str, table: int | None = None) -> None:
-    """Line per type; ``table`` asks for the short table with the intercept (0) or the slope (1)."""
+def add_ols(name: str, measure: str, points: str, table: int | None = None, published: bool = False) -> None:
+    """Line per type; ``table`` asks for the short table with the intercept (0) or the slope (1), ``published`` for the rounded one of named types."""
     y, x = f"diff_{measure}", "diff_tempo"
     columns = f"""n, {r('b0')} AS intercept, {r('b1')} AS slope, {r('r2')} AS r_squared, df,
         {r('se0')} AS intercept_se, {r('se1')} AS slope_se, {r('b0 / se0')} AS intercept_t, {r(p_value('(b0 / se0)', 'df'))} AS intercept_p,
@@ -476,14 +489,18 @@ def add_ols(name: str, measure: str, points: str, table: int | None = None) -> N
     if table is not None:
         columns = f"""{r(f'b{table}')} AS diff_tempo_coefficient,
         {r(p_value(f'(b{table} / se{table})', 'df'))} AS diff_tempo_p_value, {r('r2')} AS r_squared"""
+    key, types, codes = "pitch_code", "", {}
+    if published:
+        columns = f"""{r('b1', 3)} AS diff_tempo_coefficient, {r(p_value('(b1 / se1)', 'df'), 3)} AS diff_tempo_p_value, {r('r2', 3)} AS r_squared"""
+        key, types, codes = "pitch_desc AS pitch_type", "JOIN codes USING (pitch_code)", {"codes": CODES.replace("count(*) AS n", "count(*) AS n_rows")}
     add(name, ["star"],
-        f"""SELECT pitch_code, {columns} FROM (
+        f"""SELECT {key}, {columns} FROM (
         SELECT *, sqrt(s2 / sxx) AS se1, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se0 FROM (
         SELECT *, (syy - b1 * sxy) / df AS s2 FROM (
         SELECT pitch_code, CAST(regr_count({y}, {x}) AS BIGINT) AS n, CAST(regr_count({y}, {x}) AS BIGINT) - 2 AS df,
         regr_intercept({y}, {x}) AS b0, regr_slope({y}, {x}) AS b1, regr_r2({y}, {x}) AS r2, regr_avgx({y}, {x}) AS mx,
-        regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy FROM points GROUP BY 1)))""",
-        points=points)
+        regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy FROM points GROUP BY 1))) {types}""",
+        **codes, points=points)
 
 
 CAPPED = f"pitch_tempo < {CAP}"
@@ -494,6 +511,8 @@ for _m, _c, _tag in (("velo", "start_speed", "velo"), ("spin_rate", "spin_rate",
     add_ols(f"ols_{_tag}", _m, delta(_m, _c, CAPPED))
 add_ols("ols_table", "velo", delta("velo", "start_speed", CAPPED), 1)
 add_ols("ols_table_compat", "velo", delta("velo", "start_speed", CAPPED), 0)
+add_ols("ols_table_published", "velo", delta("velo", "start_speed", CAPPED), 1, published=True)
+add_ols("ols_table_spin", "spin_rate", delta("spin_rate", "spin_rate", CAPPED), 1, published=True)
 VARIANT = "pitch_code = 'A' AND inning_count <> 1"
 for _m, _c, _tag in (("velo", "start_speed", "velo"), ("spin_rate", "spin_rate", "spin")):
     add(f"season_delta_{_tag}_variant", ["star"],
@@ -527,7 +546,7 @@ add("flag_summary", ["star_home"],
     + f" FROM star_home WHERE {LATER} GROUP BY 1")
 
 
-def add_fixed_effects(name: str, moderator: str, where: str, scope: str, only: str = "TRUE", effects: bool = False) -> None:
+def add_fixed_effects(name: str, moderator: str, where: str, scope: str, only: str = "TRUE", effects: bool = False, table: bool = False) -> None:
     a, b = per("count", "*")
     by_type = scope == "type"
     demeaned = ", ".join(f"{v} - avg({v}) OVER g AS d{v}" for v in "tzy")
@@ -535,6 +554,10 @@ def add_fixed_effects(name: str, moderator: str, where: str, scope: str, only: s
         {r(p_value('(b_t / se_t)', 'df'))} AS p_t, {r('b_z')} AS b_z, {r('se_z')} AS se_z, {r('b_z / se_z')} AS t_z,
         {r(p_value('(b_z / se_z)', 'df'))} AS p_z, df, n_groups, n, {r('1 - rss / y2')} AS r2_uncentered,
         {r('1 - rss / yy')} AS r2_within, {r('1 - rss / (y2 - y1 * y1 / n)')} AS r2_centered FROM fitted"""
+    if table:
+        final = f"""SELECT pitch_desc AS pitch_type, year, {r('b_t', 3)} AS pitch_tempo_coefficient, {r(p_value('(b_t / se_t)', 'df'), 3)} AS pitch_tempo_p_value,
+        {r('b_z', 4)} AS pitch_tempo_abbr_coefficient, {r(p_value('(b_z / se_z)', 'df'), 3)} AS pitch_tempo_abbr_p_value, {r('1 - rss / y2', 3)} AS r_squared
+        FROM fitted JOIN (SELECT DISTINCT pitch_code, pitch_desc FROM star WHERE is_pitch AND pitch_desc IS NOT NULL) named USING (pitch_code)"""
     if effects:
         final = f"""SELECT pitch_code, year, pitcher_name, count(*) AS n,
         {r('avg(y) - any_value(b_t) * avg(t) - any_value(b_z) * avg(z)')} AS effect
@@ -559,5 +582,6 @@ def add_fixed_effects(name: str, moderator: str, where: str, scope: str, only: s
 KEPT = f"is_pitch AND pitch_number <> 1 AND pitch_tempo < {CAP}"
 add_fixed_effects("fe_flag", "flag", KEPT, "type")
 add_fixed_effects("fe_flag_all_rows", "flag", KEPT, "all")
+add_fixed_effects("fe_flag_table", "flag", KEPT, "all", table=True)
 add_fixed_effects("fe_altitude", "altitude", f"is_pitch AND pitch_tempo < {CAP}", "type", f"q.pitch_code = 'A' AND s.year = {P0}")
 add_fixed_effects("fe_effects", "flag", KEPT, "all", f"q.pitch_code = 'A' AND s.year = {P1}", effects=True)

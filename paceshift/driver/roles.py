@@ -43,14 +43,14 @@ STAR = {
 }
 
 
-def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the two periods; the bounds reach the scan."""
+def seasons(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The rows of the two periods, with bounds that reach the scan; or the whole table, where periods are not the point."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.where(in_years(rows, "l_shipdate", P0, P1))
+    return rows if whole else rows.where(in_years(rows, "l_shipdate", P0, P1))
 
 
-def star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seasons(spark, sf_dir).selectExpr(*[f"{e} AS {name}" for name, e in STAR.items()])
+def star(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return seasons(spark, sf_dir, whole).selectExpr(*[f"{e} AS {name}" for name, e in STAR.items()])
 
 
 def star_with_fielding_team(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def star_with_fielding_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(*[f"{e} AS {name}" for name, e in STAR.items()], "n_name AS fielding_team")
 
 
-def star_with_home_team(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star_with_home_team(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The place of the game: nation of the order's customer, so it varies within a pitcher."""
     places = (
         table(spark, sf_dir, "orders")
@@ -70,7 +70,7 @@ def star_with_home_team(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "n_name")
     )
-    rows = seasons(spark, sf_dir).join(places, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    rows = seasons(spark, sf_dir, whole).join(places, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return rows.selectExpr(*[f"{e} AS {name}" for name, e in STAR.items()], "n_name AS home_team")
 
 

@@ -29,16 +29,9 @@ def percent_text(share: str | Column, digits: int = 1) -> Column:
     return F.when(share.isNotNull(), F.format_string(f"%.{digits}f%%", share * F.lit(100.0)))
 
 
-def stable_round(x: str | Column, digits: int = 6) -> Column:
-    """Half-up rounding that ignores noise in the last bits.
-
-    A distributed sum of doubles adds in no fixed order, so a mean that lies on a rounding tie can fall on
-    either side from run to run. The small bias sends every such value the same way. NaN becomes null.
-    """
-    scale = 10.0**digits
-    bias = 1e-3 if digits >= 6 else 1e-6
-    number = F.nanvl(col(x), F.lit(None).cast("double"))
-    return F.floor(number * F.lit(scale) + F.lit(0.5 + bias)) / F.lit(scale)
+def round_to(x: str | Column, digits: int = 6) -> Column:
+    """Half-up rounding of the decimal form. NaN becomes null."""
+    return F.round(F.nanvl(col(x), F.lit(None).cast("double")), digits)
 
 
 def gap_seconds(later: str | Column, earlier: str | Column) -> Column:
@@ -65,7 +58,3 @@ def snake_case(name: str) -> str:
     """``pitchData.startSpeed`` -> ``pitch_data_start_speed``, ``PARKID`` -> ``parkid``."""
     name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
     return re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_").lower()
-
-
-def snake_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[snake_case(c) for c in df.columns])

@@ -7,14 +7,19 @@ fitted line), never on events.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scalars import col
 
+# The functions travel to the executors as code, so those need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, evaluated by the modified Lentz method."""

@@ -153,20 +153,6 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     return exact_quantiles(df, keys, value, {name: 0.5}).drop("n")
 
 
-def descending_rank(df: DataFrame, value: str, name: str = "position") -> DataFrame:
-    """1 + number of rows with a strictly larger value, without a global window over the rows."""
-    counts = written_once(value_counts(df, [], value))
-    located = join_small(counts, written_once(cell_totals(counts, [])), ["cell"], F.col("value"))
-    upto = W.partitionBy("cell").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranks = located.select(
-        F.col("value").alias("__value"), (F.col("n") - F.col("below") - F.sum("freq").over(upto) + 1).alias(name)
-    )
-    valued = df.withColumn("__value", F.col(value).cast("double"))
-    return join_small(
-        valued, written_once(ranks), ["__value"], F.struct(*[F.col(c) for c in df.columns]), "left"
-    ).drop("__value")
-
-
 def nrd0(sd: Column, iqr: Column, n: Column, fallback: Column) -> Column:
     """Rule-of-thumb kernel bandwidth, with the usual fallbacks for a degenerate spread."""
     spread = F.least(sd, iqr / F.lit(1.34))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Missing values per column, from one aggregate over one scan."""
+    """Missing values per column, most first, from one aggregate over one scan."""
     columns = list(columns or df.columns)
     counted = df.agg(
         F.count("*").alias("__rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in columns]
@@ -18,7 +18,7 @@ def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         "variable",
         "n_miss",
         (F.lit(100.0) * F.col("n_miss") / F.nullif(F.col("__rows"), F.lit(0))).alias("pct_miss"),
-    )
+    ).orderBy(F.desc("n_miss"), "variable")
 
 
 def missing_summary(
@@ -47,29 +47,29 @@ def missing_summary(
     )
 
 
-def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Columns of two tables with their types, filled values, and whether the tables agree."""
+def schema_diff(a: DataFrame, b: DataFrame, filled: bool = False) -> DataFrame:
+    """Columns of two tables with their types and whether the tables agree, from the schemas alone.
 
-    def described(df: DataFrame, suffix: str) -> DataFrame:
-        types = F.create_map(
-            *[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())]
-        )
-        filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
-        return filled.unpivot([], df.columns, "column_name", f"n_{suffix}").withColumn(
-            f"type_{suffix}", types[F.col("column_name")]
-        )
+    ``filled`` adds how many values each column has, from one scan of each table.
+    """
+    types = [{f.name: f.dataType.simpleString() for f in df.schema.fields} for df in (a, b)]
+    names = list(dict.fromkeys([*a.columns, *b.columns]))
+    counts = [df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]) if filled else df.sparkSession.range(1) for df in (a, b)]
+    counts = [c.select(F.struct("*").alias(f"n_{side}")) for c, side in zip(counts, "ab", strict=True)]
+    one = counts[0].join(F.broadcast(counts[1]))  # one row each
 
-    status = (
-        F.when(F.col("type_a").isNull(), "only_b")
-        .when(F.col("type_b").isNull(), "only_a")
-        .when(F.col("type_a") == F.col("type_b"), "same")
-        .otherwise("differs")
-    )
-    return described(a, "a").join(described(b, "b"), "column_name", "full").select(
-        "column_name", "type_a", "type_b", status.alias("status"), "n_a", "n_b"
-    )
+    def described(name: str) -> Column:
+        left, right = (t.get(name) for t in types)
+        status = "only_b" if left is None else "only_a" if right is None else "same" if left == right else "differs"
+        fields = [F.lit(name).alias("column_name"), F.lit(left).cast("string").alias("type_a"), F.lit(right).cast("string").alias("type_b"), F.lit(status).alias("status")]
+        for side, own in zip("ab", types, strict=True) if filled else ():
+            fields.append((F.col(f"n_{side}").getField(name) if name in own else F.lit(None).cast("long")).alias(f"n_{side}"))
+        return F.struct(*fields)
+
+    return one.select(F.explode(F.array(*[described(n) for n in names])).alias("x")).select("x.*")
 
 
-def sample_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    """``n`` random rows: a bounded take-ordered, not a sort of the table."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
+    """The ``n`` rows with the smallest digest of seed and key: the same in every run and on any partitioning. A bounded take-ordered, not a sort of the table."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    return df.orderBy(digest, *key).limit(n)

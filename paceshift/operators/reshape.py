@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def expand_ranges(columns: Sequence[str], picks: Sequence[str | tuple[str, str]]) -> list[str]:
     """Names for a mix of single columns and inclusive (first, last) ranges, each name once."""
     names: list[str] = []
@@ -47,16 +48,32 @@ def add_null_columns(df: DataFrame, fields: Sequence[T.StructField]) -> DataFram
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else df
 
 
+def all_fields(seasons: Sequence[DataFrame]) -> T.StructType:
+    """The fields of all seasons, in the order in which they first appear. The same name with two types is an error."""
+    fields: dict[str, T.StructField] = {}
+    for season in seasons:
+        for f in season.schema.fields:
+            known = fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
+            if known.dataType != f.dataType:
+                raise ValueError(f"column {f.name} is {known.dataType.simpleString()} in one season and {f.dataType.simpleString()} in another")
+    return T.StructType(list(fields.values()))
+
+
 def union_seasons(seasons: Sequence[DataFrame], schema: T.StructType | None = None) -> DataFrame:
     """Append season tables by column name.
 
-    With a schema every season is first completed and cast to it; without one the columns must agree,
-    as in a strict append.
+    With a schema every season is first completed and cast to it; a column that the schema lacks is an error.
+    Without one the columns must agree, as in a strict append; ``all_fields`` gives the schema that completes them.
     """
+    names = set(schema.names if schema is not None else seasons[0].columns)
+    for season in seasons:
+        extra, missing = sorted(set(season.columns) - names), sorted(names - set(season.columns))
+        if extra or (missing and schema is None):
+            raise ValueError(f"seasons differ: not in all of them are {extra + missing}")
     if schema is not None:
         seasons = [
             add_null_columns(s, schema.fields).select(
-                *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+                *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
             )
             for s in seasons
         ]
@@ -65,10 +82,7 @@ def union_seasons(seasons: Sequence[DataFrame], schema: T.StructType | None = No
 
 def append_row(df: DataFrame, **values) -> DataFrame:
     """Append one literal row, typed by the table's own schema."""
-    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]
-    row = df.sparkSession.createDataFrame(
-        [Row(*[values.get(f.name) for f in fields])], T.StructType(fields)
-    )
+    row = df.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
     return df.unionByName(row)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,22 +14,14 @@ SALTS = 64
 
 
 def written_once(df: DataFrame) -> DataFrame:
-    """Checkpoint a table so that its input is scanned once, however many branches use it, and is not
-    scanned again when an executor is lost.
+    """A table whose input is scanned once, however many branches use it.
 
-    The folder is the session's (``spark.checkpoint.dir`` or an earlier ``setCheckpointDir``). A local
-    session without one gets a temporary folder. On a cluster without one the plan is returned as it is:
-    the result is the same, the branches are computed separately.
+    With a checkpoint folder (``spark.checkpoint.dir``, or ``setCheckpointDir``) it is written there, and losing an executor
+    loses nothing. Without one it is kept in memory and on disk until the session ends; lost parts are computed again. The session's own settings
+    are not touched, and no local folder is used. With a folder this runs a job.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="paceshift-")
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df.checkpoint()
 
 

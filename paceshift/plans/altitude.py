@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import recode
+from ..functions.scalars import recode, round_to
 from ..operators.distribution import kernel_density
-from ..operators.ordered import descending_rank, mean_of_counts, quantiles_of_counts, value_counts
+from ..operators.ordered import mean_of_counts, quantiles_of_counts, value_counts
 from ..operators.periods import in_periods, spread
 from ..operators.reuse import written_once
 from ..operators.regression import entity_effects, entity_sums, merge_sums, solve_fixed_effects
@@ -43,12 +44,15 @@ def altitude_band(altitude: str = "altitude") -> Column:
 
 
 def altitude_ranking(parks: DataFrame) -> DataFrame:
-    """Complete parks from high to low, with label and band; parks of equal altitude share a position."""
-    complete = parks.withColumn("abbr", clean_abbr()).dropna()
-    ranked = descending_rank(complete, "altitude")
+    """Complete parks from high to low, with label and band; parks of equal altitude share a position.
+
+    The label has the abbreviation as the list of parks gives it. Parks number in the dozens, so one window ranks them.
+    """
     label = F.concat("park_name", F.lit(" ("), "abbr", F.lit(")"))
+    complete = parks.withColumn("label", label).withColumn("abbr", clean_abbr()).dropna()
+    ranked = complete.withColumn("position", F.rank().over(W.orderBy(F.desc("altitude"))).cast("long"))
     return ranked.select(
-        "position", "home_team", "park_name", "abbr", "altitude", altitude_band().alias("band"), label.alias("label")
+        "position", "home_team", "park_name", "abbr", "altitude", altitude_band().alias("band"), "label"
     ).orderBy(F.desc("altitude"), "home_team")
 
 
@@ -188,6 +192,20 @@ def fixed_effects_grid(
     )
 
 
+def flag_table(models: DataFrame, codes: DataFrame) -> DataFrame:
+    """The short table of the flag models: description of the type, season, and both coefficients, rounded as published."""
+    named = models.join(codes.select("pitch_code", F.col("pitch_desc").alias("pitch_type")), "pitch_code")
+    return named.select(
+        "pitch_type",
+        "year",
+        round_to("b_t", 3).alias("pitch_tempo_coefficient"),
+        round_to("p_t", 3).alias("pitch_tempo_p_value"),
+        round_to("b_z", 4).alias("pitch_tempo_abbr_coefficient"),
+        round_to("p_z", 3).alias("pitch_tempo_abbr_p_value"),
+        round_to("r2_uncentered", 3).alias("r_squared"),
+    )
+
+
 def altitude_model(
     events: DataFrame,
     parks: DataFrame,

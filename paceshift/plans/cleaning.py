@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import full_name
-from ..operators.reshape import append_row, select_ranges, split_name, union_seasons
+from ..operators.reshape import all_fields, append_row, select_ranges, split_name, union_seasons
 from ..operators.sequence import EventColumns, enrich
 from ..sources.schemas import EVENT_RANGES, PARKS
 
@@ -63,22 +63,17 @@ def select_event_columns(raw: DataFrame, ranges: Sequence = EVENT_RANGES) -> Dat
     return select_ranges(raw, *ranges)
 
 
-def enriched_season(raw: DataFrame, year: int, columns: EventColumns = EventColumns()) -> DataFrame:
-    return enrich(raw.withColumn(columns.season, F.lit(year)), columns)
-
-
 def enriched_events(seasons: Mapping[int, DataFrame], columns: EventColumns = EventColumns()) -> DataFrame:
     """Append the seasons, then add counts and tempo: the season is a key of every window, so one pass
-    serves them all. Columns that a season lacks become typed nulls."""
-    widest = max(seasons.values(), key=lambda s: len(s.columns)).schema
-    tagged = [
-        union_seasons([s], widest).withColumn(columns.season, F.lit(y)) for y, s in seasons.items()
-    ]
-    return enrich(union_seasons(tagged), columns)
+    serves them all. Columns that a season lacks become typed nulls; one name with two types is an error."""
+    tagged = [s.withColumn(columns.season, F.lit(y)) for y, s in seasons.items()]
+    return enrich(union_seasons(tagged, all_fields(tagged)), columns)
 
 
 def home_teams(spark, teams: Sequence[tuple[str, str, str]] = HOME_TEAMS) -> DataFrame:
-    return spark.createDataFrame(list(teams), "park_name STRING, home_team STRING, abbr STRING")
+    names = ("park_name", "home_team", "abbr")
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, team, strict=True)]) for team in teams])
+    return spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
 
 
 def park_dimension(

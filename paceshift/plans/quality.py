@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import stable_round
+from ..functions.scalars import round_to
 from ..operators.periods import by_period, change, in_periods
 from ..operators.regression import fit_band, simple_ols
 from ..operators.reuse import written_once
@@ -41,8 +41,8 @@ def leaderboards(
         events.where(in_periods(periods) & F.col("pitch_code").isNotNull())
         .groupBy("pitch_code", key)
         .agg(
-            stable_round(F.avg("start_speed"), 2).alias("velo"),
-            stable_round(F.avg("spin_rate"), 0).alias("spin_rate"),
+            round_to(F.avg("start_speed"), 2).alias("velo"),
+            round_to(F.avg("spin_rate"), 0).alias("spin_rate"),
             F.count("*").alias("n"),
         )
         .where(F.col("n") > min_rows)
@@ -106,11 +106,11 @@ def by_type(
     for m in measures:
         for p in periods:
             mean = F.sum(f"sum_{m}_{p}") / F.nullif(F.sum(f"count_{m}_{p}"), F.lit(0))
-            means.append((stable_round(mean, digits[m]) if rounded else mean).alias(f"avg_{m}_{p}"))
+            means.append((round_to(mean, digits[m]) if rounded else mean).alias(f"avg_{m}_{p}"))
     out = cohort.groupBy("pitch_desc").agg(*means)
     for m in measures:
         diff = change(f"avg_{m}", periods)
-        out = out.withColumn(f"{m}_change", stable_round(diff, digits[m]) if rounded else diff)
+        out = out.withColumn(f"{m}_change", round_to(diff, digits[m]) if rounded else diff)
     out = out.dropna()
     if min_type_rows is not None:
         pitches = sum((F.col(f"n_{p}") for p in periods), F.lit(0))
@@ -173,6 +173,13 @@ def change_table(models: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
+def published_change_table(models: DataFrame, codes: DataFrame, compat: bool = False) -> DataFrame:
+    """The short table with the description of each type in codes, rounded to three digits."""
+    table = change_table(models, compat).join(codes.select("pitch_code", F.col("pitch_desc").alias("pitch_type")), "pitch_code")
+    digits = ["diff_tempo_coefficient", "diff_tempo_p_value", "r_squared"]
+    return table.select("pitch_type", *[round_to(c, 3).alias(c) for c in digits])
+
+
 def change_fit(events: DataFrame, measure: str = "velo", points: int = 80, **options) -> DataFrame:
     return fit_band(
         change_points(events, measure, **options), ["pitch_code"], f"diff_{measure}", "diff_tempo", points

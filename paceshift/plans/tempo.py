@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import percent_text, recode, relative_change, stable_round
+from ..functions.scalars import percent_text, recode, relative_change, round_to
 from ..operators.cohort import qualified_keys
 from ..operators.distribution import histogram, kernel_density
 from ..operators.ordered import quantiles_of_counts, with_cells
@@ -96,7 +96,7 @@ def mean_tempo(
     wide = by_period(rows, [key], {"avg_tempo": (F.avg, TEMPO)}, periods)
     if digits is not None:
         wide = wide.withColumns(
-            {f"avg_tempo_{p}": stable_round(f"avg_tempo_{p}", digits) for p in periods}
+            {f"avg_tempo_{p}": round_to(f"avg_tempo_{p}", digits) for p in periods}
         )
     return wide
 
@@ -139,7 +139,7 @@ def team_change(
     wide = mean_tempo(events, "fielding_team", pitches(first=False, cap=cap), periods, digits)
     diff = change("avg_tempo", periods)
     if digits is not None:
-        diff = stable_round(diff, digits)
+        diff = round_to(diff, digits)
     return wide.withColumn("tempo_change", diff).dropna().orderBy(F.desc("tempo_change"), "fielding_team")
 
 
@@ -218,7 +218,7 @@ def pitcher_means(
     for p in periods:
         wide = wide.where(F.col(f"__n_{p}") > min_pitches).drop(f"__n_{p}")
         if digits is not None:
-            wide = wide.withColumn(f"avg_tempo_{p}", stable_round(f"avg_tempo_{p}", digits))
+            wide = wide.withColumn(f"avg_tempo_{p}", round_to(f"avg_tempo_{p}", digits))
     return wide.dropna()
 
 
@@ -238,5 +238,5 @@ def pitcher_change(
     board = pitcher_means(events, min_pitches, periods, digits=digits, **options)
     diff = change("avg_tempo", periods)
     if digits is not None:
-        diff = stable_round(diff, digits)
+        diff = round_to(diff, digits)
     return board.withColumn("tempo_change", diff).orderBy("tempo_change", options.get("key", PITCHER))

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from paceshift.operators.ordered import descending_rank, exact_median, exact_quantiles, quantiles_of_counts, value_counts
+from paceshift.operators.ordered import exact_median, exact_quantiles, quantiles_of_counts, value_counts
 from paceshift.operators.reuse import join_small
 from paceshift.operators.topk import bottom_k, extreme_k, top_k
 
@@ -48,12 +48,6 @@ def test_quantiles_of_the_whole_table(spark):
     assert exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.905}).collect()[0][1:] == (50.0, pytest.approx(90.5))
 
 
-def test_rank_counts_larger_values(spark):
-    df = spark.createDataFrame([(v,) for v in (5, 5, 9, 1, -4, None)], "v INT")
-    got = {(r.v, r.position) for r in descending_rank(df, "v").collect()}
-    assert got == {(9, 1), (5, 2), (1, 4), (-4, 5), (None, None)}
-
-
 def test_ties_at_the_edge_are_kept(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([9.0, 8.0, 8.0, 8.0, 7.0, None])], "i INT, v DOUBLE")
     assert {r.i for r in top_k(df, "v", 2).collect()} == {0, 1, 2, 3}

@@ -1,4 +1,8 @@
+import os
+import pathlib
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -13,6 +17,9 @@ from paceshift.operators.regression import (
     simple_ols,
     solve_fixed_effects,
 )
+from paceshift.operators.reuse import written_once
+
+ROOT = pathlib.Path(__file__).resolve().parents[1]
 
 
 def test_student_t_against_printed_tables():
@@ -115,3 +122,33 @@ def test_moderator_that_never_varies_is_left_out(spark):
     beta, se, _, dof = least_squares([[d[0], *d[2:]] for d in design], y)
     assert r.b_z is None and r.p_z is None and r.df == dof
     assert (r.b_t, r.se_t) == (pytest.approx(beta[0]), pytest.approx(se[0]))
+
+
+def test_models_run_from_a_folder_without_the_package(tmp_path):
+    """The t distribution travels with the plan; the workers need not find this package."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "from paceshift.session import local_session\n"
+        "from paceshift.functions.student_t import two_sided_p\n"
+        "spark = local_session(1, '1g')\n"
+        "from pyspark.sql import functions as F\n"
+        "p = spark.range(1).select(two_sided_p(F.lit(2.0), F.lit(10.0))).first()[0]\n"
+        "assert abs(p - 0.07339) < 1e-4, p\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert done.returncode == 0, done.stderr[-800:]
+
+
+def test_intermediates_use_the_sessions_folder_or_are_kept(spark, tmp_path):
+    context = spark.sparkContext
+    df = spark.range(10)
+    before = context.getCheckpointDir()
+    kept = written_once(df)
+    assert context.getCheckpointDir() == before
+    if before is None:
+        assert kept.is_cached
+        kept.unpersist()
+        context.setCheckpointDir(str(tmp_path))
+        written = written_once(df)
+        assert not written.is_cached and written.count() == 10

@@ -23,10 +23,25 @@ def test_seasons_are_completed_with_typed_nulls(spark):
     both = reshape.union_seasons([old, new], new.schema)
     assert both.schema["violation"].dataType == T.LongType()
     assert {tuple(r) for r in both.collect()} == {("x", 1, None), ("y", 2, 7)}
-    with pytest.raises(Exception):
+    with pytest.raises(ValueError, match="violation"):
         reshape.union_seasons([old, new])
 
 
+def test_no_season_loses_a_column(spark):
+    narrow = spark.createDataFrame([(1, "old")], "x INT, old_only STRING")
+    wide = spark.createDataFrame([(2, "a", "b")], "x INT, v1 STRING, v2 STRING")
+    with pytest.raises(ValueError, match="old_only"):
+        reshape.union_seasons([narrow, wide], wide.schema)
+    both = reshape.union_seasons([narrow, wide], reshape.all_fields([narrow, wide]))
+    assert {tuple(r) for r in both.collect()} == {(1, "old", None, None), (2, None, "a", "b")}
+    other = spark.createDataFrame([(3, "c")], "x INT, w STRING")  # as many columns, another name
+    with pytest.raises(ValueError, match="old_only.*w|w.*old_only"):
+        reshape.union_seasons([narrow, other])
+    assert reshape.all_fields([narrow, other]).names == ["x", "old_only", "w"]
+    with pytest.raises(ValueError, match="column x"):
+        reshape.all_fields([narrow, spark.createDataFrame([("y",)], "x STRING")])
+
+
 def test_append_row_keeps_the_types(spark):
     df = spark.createDataFrame([("a", 1)], T.StructType([T.StructField("s", T.StringType(), False), T.StructField("n", T.IntegerType(), False)]))
     out = reshape.append_row(df, s="b")
@@ -71,12 +86,15 @@ def test_scalars(spark):
         S.relative_change(F.lit(0.0), F.lit(17.0)).alias("r0"),
         S.percent_text(F.lit(-0.1534)).alias("p"),
         S.percent_text(F.lit(None).cast("double")).alias("p0"),
-        S.stable_round(F.lit(2.675), 2).alias("up"),
-        S.stable_round(F.lit(0.1 + 0.2) / 2 * 10 + 1, 0).alias("tie"),
+        S.round_to(F.lit(2.675), 2).alias("up"),
+        S.round_to(F.lit(1e13), 6).alias("large"),
+        S.round_to(F.lit(2.4999995), 0).alias("below"),
+        S.round_to(F.lit(float("nan")), 2).alias("nan"),
         S.full_name(F.lit("Jo"), F.lit(None).cast("string")).alias("n"),
     ).collect()[0]
     assert row.r == pytest.approx(-0.15) and row.r0 is None
-    assert (row.p, row.p0, row.up, row.tie, row.n) == ("-15.3%", None, 2.68, 3.0, None)
+    assert (row.p, row.p0, row.up, row.n) == ("-15.3%", None, 2.68, None)
+    assert (row.large, row.below, row.nan) == (1e13, 2.0, None)
     assert [S.snake_case(c) for c in ("PARKID", "pitchData.startSpeed", "details.type.code", "home_team")] == [
         "parkid", "pitch_data_start_speed", "details_type_code", "home_team",
     ]
@@ -93,18 +111,26 @@ def test_year_bounds_reach_the_scan(spark, tmp_path):
 
 def test_profile(spark):
     df = spark.createDataFrame([(1, None, None), (2, "x", None)], "a INT, b STRING, c DOUBLE")
-    got = {tuple(r) for r in profile.missing_profile(df).collect()}
-    assert got == {("a", 0, 0.0), ("b", 1, 50.0), ("c", 2, 100.0)}
+    got = [tuple(r) for r in profile.missing_profile(df).collect()]
+    assert got == [("c", 2, 100.0), ("b", 1, 50.0), ("a", 0, 0.0)]
     summary = profile.missing_summary(df, F.col("a") > 1, ["b"]).collect()[0]
     assert tuple(summary) == (2, 3, 1, 1, 0.0)
     other = spark.createDataFrame([("z", 1)], "b STRING, a BIGINT")
-    diff = {r.column_name: (r.type_a, r.type_b, r.status, r.n_a, r.n_b) for r in profile.schema_diff(df, other).collect()}
+    diff = {r.column_name: (r.type_a, r.type_b, r.status, r.n_a, r.n_b) for r in profile.schema_diff(df, other, filled=True).collect()}
     assert diff == {
         "a": ("int", "bigint", "differs", 2, 1),
         "b": ("string", "string", "same", 1, 1),
         "c": ("double", None, "only_a", 0, None),
     }
-    assert profile.sample_rows(spark.range(50), 20, 1).count() == 20
+    plain = profile.schema_diff(df, other)
+    assert [tuple(r) for r in plain.collect()] == [("a", "int", "bigint", "differs"), ("b", "string", "string", "same"), ("c", "double", None, "only_a")]
+    assert "LogicalRDD" not in plain._jdf.queryExecution().optimizedPlan().toString()  # no scan of either table
+
+
+def test_sample_does_not_depend_on_the_partitioning(spark):
+    a = profile.sample_rows(spark.range(500).repartition(7), 20, ["id"], 1).collect()
+    assert len(a) == 20 and a == profile.sample_rows(spark.range(500).coalesce(1), 20, ["id"], 1).collect()
+    assert a != profile.sample_rows(spark.range(500), 20, ["id"], 2).collect()
 
 
 ROWS = [("A", 2022)] * 3 + [("A", 2023)] * 3 + [("B", 2022)] * 5 + [(None, 2022)] * 3 + [(None, 2023)] * 4 + [("C", 2022)] * 3 + [("C", 2023)] * 2
