@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..operators import profile, reshape
 from ..operators.cohort import qualify
 from ..operators.distribution import histogram, kernel_density
+from ..operators.reuse import written_once
 from ..operators.sequence import add_gap, attach_by_id, enrich, running_counts
 from ..operators.topk import bottom_k, top_k
 from ..plans import altitude, cleaning, quality, tempo
@@ -205,6 +206,11 @@ def _enriched(spark, sf_dir):
     return enrich(R.event_rows(spark, sf_dir), R.EVENT_COLUMNS)
 
 
+def _kept_tempos(spark, sf_dir):
+    """What the densities read of the enriched table. The analysis stores that table; here it is kept, as a density reads its rows three times."""
+    return written_once(_enriched(spark, sf_dir).select("year", "is_pitch", "inning_count", "men_on_base", "pitch_tempo"))
+
+
 COUNT_COLUMNS = ["ingest_seq", "season_count", "game_count", "inning_count"]
 
 
@@ -295,7 +301,7 @@ def histogram_unit(spark, sf_dir):
 
 @query
 def density(spark, sf_dir):
-    return tempo.tempo_density(_enriched(spark, sf_dir), high=3600.0)
+    return tempo.tempo_density(_kept_tempos(spark, sf_dir), high=3600.0)
 
 
 @query
@@ -306,7 +312,7 @@ def density_not_first(spark, sf_dir):
 @query
 def density_facet(spark, sf_dir):
     return tempo.tempo_density_by(
-        _enriched(spark, sf_dir), tempo.runners(), where=F.col("is_pitch") & (F.col("inning_count") != 1), high=3600.0
+        _kept_tempos(spark, sf_dir), tempo.runners(), where=F.col("is_pitch") & (F.col("inning_count") != 1), high=3600.0
     )
 
 
@@ -322,10 +328,16 @@ def density_velocity(spark, sf_dir):
     return kernel_density(R.event_rows(spark, sf_dir), "start_speed", 0.0, 100.0, ["pitch_code"])
 
 
+def _kept_places(spark, sf_dir, whole=False):
+    """Pitches with their place, which two joins find; kept, as medians and densities read their rows more than once."""
+    rows = R.star_with_home_team(spark, sf_dir, whole)
+    return written_once(rows.select("year", "is_pitch", "pitch_number", "pitch_tempo", "home_team"))
+
+
 @query
 def density_flag(spark, sf_dir):
     return altitude.flag_density(
-        R.star_with_home_team(spark, sf_dir, whole=True), R.nation_parks(spark, sf_dir), R.at_flagged_park()
+        _kept_places(spark, sf_dir, whole=True), R.nation_parks(spark, sf_dir), R.at_flagged_park()
     )
 
 
@@ -575,7 +587,7 @@ def park_tempo(spark, sf_dir):
 @query
 def flag_summary(spark, sf_dir):
     return altitude.flag_summary(
-        R.star_with_home_team(spark, sf_dir), R.nation_parks(spark, sf_dir), R.at_flagged_park(), **PER
+        _kept_places(spark, sf_dir), R.nation_parks(spark, sf_dir), R.at_flagged_park(), **PER
     )
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import GAUSS_NORM, nrd0, quantiles_of_counts, value_counts
+from .ordered import GAUSS_NORM, cell_counts, exact_quantiles, nrd0
 from .reuse import join_small, written_once
 
 
@@ -40,21 +40,18 @@ def kernel_density(
     """Gaussian kernel density per key on ``points`` positions from ``low`` to ``high``.
 
     The mass of each group is spread linearly over a fixed lattice that reaches four bandwidths beyond the
-    limits, smoothed there, and interpolated. Each group thus shrinks to at most ``lattice`` weights before
-    anything is gathered, and the smoothing costs the same for a thousand rows and for a trillion.
+    limits, smoothed there, and interpolated. The rows are read three times (cells, quartile cells, lattice) and not
+    shuffled: each group shrinks to at most ``lattice`` weights before anything is gathered, and the smoothing costs the same for a thousand rows and for a trillion.
     """
     if not keys:
         raise ValueError("a density needs at least one grouping key")
     keys = list(keys)
-    counts = written_once(value_counts(df.where(F.col(value).between(low, high)), keys, value))
+    rows = df.where(F.col(value).between(low, high)).select(*keys, F.col(value).cast("double").alias("value"))
     centre = (low + high) / 2.0
     shifted = F.col("value") - F.lit(centre)
-    moments = counts.groupBy(*keys).agg(
-        F.sum("freq").alias("__n"),
-        F.sum(shifted * F.col("freq")).alias("__s1"),
-        F.sum(shifted * shifted * F.col("freq")).alias("__s2"),
-    )
-    quartiles = quantiles_of_counts(counts, keys, {"q1": 0.25, "q3": 0.75})
+    cells = written_once(cell_counts(rows, keys, "value", s1=F.sum(shifted), s2=F.sum(shifted * shifted)))
+    moments = cells.groupBy(*keys).agg(F.sum("in_cell").alias("__n"), F.sum("s1").alias("__s1"), F.sum("s2").alias("__s2"))
+    quartiles = exact_quantiles(rows, keys, "value", {"q1": 0.25, "q3": 0.75}, cells)
     quartiles = quartiles.drop("n").withColumnsRenamed({k: f"__q_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__q_{k}")) for k in keys])
     n = F.col("__n")
@@ -65,25 +62,13 @@ def kernel_density(
     spread = written_once(moments.where(n > 1).join(quartiles, same).select(*keys, n, width.alias("bw")))
     start = F.lit(low) - 4.0 * F.col("bw")
     step = (F.lit(high - low) + 8.0 * F.col("bw")) / F.lit(lattice - 1)
-    placed = join_small(counts, spread, keys, F.col("value"))
+    placed = join_small(rows, spread, keys, F.col("value"))
     placed = placed.withColumn("__at", (F.col("value") - start) / step)
-    left, share = F.floor("__at").cast("int"), F.col("__at") - F.floor("__at")
-    mass = F.col("freq") / n
-    weights = (
-        placed.select(
-            *keys,
-            n,
-            "bw",
-            F.explode(
-                F.array(
-                    F.struct(left.alias("j"), (mass * (1.0 - share)).alias("w")),
-                    F.struct((left + 1).alias("j"), (mass * share).alias("w")),
-                )
-            ).alias("p"),
-        )
-        .groupBy(*keys, "__n", "bw", "p.j")
-        .agg(F.sum("p.w").alias("w"))
-    )
+    share = F.col("__at") - F.floor("__at")
+    # Each row adds to the two lattice points around it: one sum for each point, combined where the rows are read.
+    sums = placed.groupBy(*keys, n, "bw", F.floor("__at").cast("int").alias("j")).agg(F.sum((1.0 - share) / n).alias("w0"), F.sum(share / n).alias("w1"))
+    both = F.array(F.struct(F.col("j"), F.col("w0").alias("w")), F.struct((F.col("j") + 1).alias("j"), F.col("w1").alias("w")))
+    weights = sums.select(*keys, n, "bw", F.explode(both).alias("p")).groupBy(*keys, "__n", "bw", "p.j").agg(F.sum("p.w").alias("w"))
     # At most `lattice` + 1 elements per group, whatever its number of rows.
     gathered = weights.groupBy(*keys, "__n", "bw").agg(
         F.sort_array(F.collect_list(F.struct("j", "w"))).alias("cells")

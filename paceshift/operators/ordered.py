@@ -1,9 +1,9 @@
-"""Exact order statistics and ranks for groups of any size.
+"""Exact order statistics for groups of any size.
 
-``median`` and ``percentile`` keep one map of all distinct values of a group in one task. Here the values
-are first counted (combined on the map side), then located through coarse, order-preserving cells. A group
-is only ever sorted cell by cell, and only where a wanted rank lies, so a key that holds a third of the table
-is spread like any other.
+``median`` and ``percentile`` keep one map of all distinct values of a group in one task. Here rows are first
+counted in coarse, order-preserving cells (combined on the map side). Then only the cells in which a wanted rank lies
+are opened, so neither rows nor distinct values are shuffled as a whole, and a key that holds a third of the
+table is spread like any other.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from .reuse import SALTS, join_small, written_once
 
 CELLS_PER_UNIT = 512
-MAX_VALUES = 1_000_000
+MAX_ROWS = 1_000_000
 SPLIT = 4096
-MAX_SPLITS = 4
 
 
 def value_cell(value: Column, per_unit: int = CELLS_PER_UNIT) -> Column:
@@ -29,28 +28,16 @@ def value_cell(value: Column, per_unit: int = CELLS_PER_UNIT) -> Column:
     return F.signum(value).cast("long") * F.floor(F.log1p(F.abs(value)) * F.lit(float(per_unit)))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct non-null values per key with their frequency ``freq`` and cell."""
-    counted = df.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("freq"))
-    return with_cells(counted)
+def cell_counts(df: DataFrame, keys: Sequence[str], value: str, **sums: Column) -> DataFrame:
+    """Rows per (key, cell) with their lowest and highest value, and further aggregates; ``cell`` is null for missing values and NaN.
 
-
-def with_cells(counted: DataFrame) -> DataFrame:
-    """Values (neither null nor NaN) of an already counted table, with their cell."""
-    return counted.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("cell", value_cell(F.col("value")))
-
-
-def mean_of_counts(counts: DataFrame, keys: Sequence[str], name: str = "mean") -> DataFrame:
-    return counts.groupBy(*keys).agg((F.sum(F.col("value") * F.col("freq")) / F.sum("freq")).alias(name))
-
-
-def _cell_sizes() -> list[Column]:
-    return [
-        F.sum("freq").alias("in_cell"),
-        F.count("*").alias("n_values"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-    ]
+    All of it combines on the map side: a group has a bounded number of cells, however many values it has.
+    """
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.withColumns({"__value": number, "cell": value_cell(number)})
+    return rows.groupBy(*keys, "cell").agg(
+        F.count("*").alias("in_cell"), F.min("__value").alias("low"), F.max("__value").alias("high"), *[c.alias(n) for n, c in sums.items()]
+    )
 
 
 def _before(total: str, keys: Sequence[str], order: str) -> Column:
@@ -58,38 +45,20 @@ def _before(total: str, keys: Sequence[str], order: str) -> Column:
     return F.coalesce(F.sum(total).over(lower), F.lit(0))
 
 
-def cell_totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per (key, cell) with the number of rows in lower cells and in the whole group."""
-    cells = counts.groupBy(*keys, "cell").agg(*_cell_sizes())
-    return cells.withColumns(
-        {"below": _before("in_cell", keys, "cell"), "n": F.sum("in_cell").over(W.partitionBy(*keys))}
-    )
-
-
-def _split_cells(located: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Cut every cell into equal spans between its lowest and highest value."""
+def _part(value: str = "value") -> Column:
+    """Which of SPLIT equal spans of its cell a value is in."""
     width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    part = F.coalesce(F.floor((F.col("value") - F.col("low")) / width * F.lit(SPLIT - 1.0)), F.lit(0))
-    parts = located.withColumn("__part", part)
-    sizes = parts.groupBy(*keys, "cell", "__part").agg(
-        *_cell_sizes(), F.max("below").alias("__base"), F.max("n").alias("n")
-    )
-    below = F.col("__base") + _before("in_cell", [*keys, "cell"], "__part")
-    finer = (F.col("cell") * SPLIT + F.col("__part")).alias("cell")
-    cells = sizes.withColumn("below", below)
-    return (
-        parts.select(*keys, "value", "freq", finer),
-        cells.select(*keys, finer, "in_cell", "n_values", "low", "high", "below", "n"),
-    )
+    return F.coalesce(F.floor((F.col(value) - F.col("low")) / width * F.lit(SPLIT - 1.0)), F.lit(0))
 
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float], max_values: int = MAX_VALUES
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], cells: DataFrame | None = None, max_rows: int = MAX_ROWS
 ) -> DataFrame:
-    """Interpolated quantiles (the default rule of R and of SQL percentile_cont) per key.
+    """Interpolated quantiles (the default rule of R and of SQL percentile_cont) per key, with the number of values ``n``.
 
-    ``counts`` is read twice, so write it first if it is costly. Only the cells that hold a wanted rank
-    are looked into; one with more than ``max_values`` distinct values is cut before it is sorted.
+    A first pass counts rows per cell (or ``cells`` holds that already, as ``cell_counts`` of the same rows gives it). A
+    second pass reads only the rows of the cells that hold a wanted rank. As long as one of these has more than
+    ``max_rows`` rows that are not all equal, it is cut into equal spans and counted again. Missing values and NaN are left out.
     """
     keys = list(keys)
     n = F.col("n")
@@ -105,19 +74,32 @@ def quantiles_of_counts(
         lambda a, b: a | b,
         [(r >= below) & (r < below + in_cell) for p in probs.values() for r in ranks(p)],
     )
-    cells = cell_totals(counts, keys)
-    for _ in range(MAX_SPLITS):
-        cells = written_once(cells.where(wanted))
-        n_cells, crowd = cells.agg(F.count("*"), F.max("n_values")).first()
-        crowded = crowd is not None and crowd > max_values
-        located = join_small(
-            counts, cells, [*keys, "cell"], F.col("value"), small_rows=n_cells, salts=SALTS if crowded else 1
-        )
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*keys, number.alias("value")).where(F.col("value").isNotNull()).withColumn("cell", value_cell(F.col("value")))
+    counted = written_once(cell_counts(df, keys, value)) if cells is None else cells
+    cells = counted.where(F.col("cell").isNotNull()).select(*keys, "cell", "in_cell", "low", "high")
+    cells = cells.withColumns({"below": _before("in_cell", keys, "cell"), "n": F.sum("in_cell").over(W.partitionBy(*keys))})
+    while True:
+        slot = F.row_number().over(W.partitionBy(*keys).orderBy("cell")) - 1
+        cells = written_once(cells.where(wanted).withColumn("__slot", slot.cast("long")))
+        n_cells, crowd = cells.agg(F.count("*"), F.max(F.when(F.col("low") < F.col("high"), in_cell))).first()
+        crowded = crowd is not None and crowd > max_rows
+        located = join_small(rows, cells, [*keys, "cell"], F.col("value"), small_rows=n_cells, salts=SALTS if crowded else 1)
         if not crowded:
             break
-        counts, cells = _split_cells(located, keys)
+        # At most two cells for each wanted quantile of a key, so the numbers of their spans stay small.
+        finer = located.withColumns({"__part": _part(), "__base": F.col("below")})
+        sizes = finer.groupBy(*keys, "__slot", "__part").agg(
+            F.count("*").alias("in_cell"), F.min("value").alias("__low"), F.max("value").alias("__high"), F.max("__base").alias("__base"), F.max("n").alias("n")
+        )
+        number_of = (F.col("__slot") * SPLIT + F.col("__part")).alias("cell")
+        cells = sizes.withColumn("below", F.col("__base") + _before("in_cell", [*keys, "__slot"], "__part")).select(
+            *keys, number_of, "in_cell", F.col("__low").alias("low"), F.col("__high").alias("high"), "below", "n"
+        )
+        rows = finer.select(*keys, "value", number_of)
+    counts = located.groupBy(*keys, "cell", "value").agg(F.count("*").alias("freq"), F.max("below").alias("below"), F.max("n").alias("n"))
     upto = W.partitionBy(*keys, "cell").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    located = located.withColumn("__end", F.col("below") + F.sum("freq").over(upto)).withColumn(
+    counts = counts.withColumn("__end", F.col("below") + F.sum("freq").over(upto)).withColumn(
         "__start", F.col("__end") - F.col("freq")
     )
 
@@ -128,7 +110,7 @@ def quantiles_of_counts(
     for i, p in enumerate(probs.values()):
         low, high = ranks(p)
         picks += [at(low).alias(f"__low{i}"), at(high).alias(f"__high{i}")]
-    found = located.groupBy(*keys).agg(*picks)
+    found = counts.groupBy(*keys).agg(*picks)
     return found.select(
         *keys,
         "n",
@@ -142,12 +124,6 @@ def quantiles_of_counts(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
-) -> DataFrame:
-    return quantiles_of_counts(written_once(value_counts(df, keys, value)), keys, probs)
-
-
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     """Exact median per key; a key without any value has no row."""
     return exact_quantiles(df, keys, value, {name: 0.5}).drop("n")

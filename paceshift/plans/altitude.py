@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import recode, round_to
 from ..operators.distribution import kernel_density
-from ..operators.ordered import mean_of_counts, quantiles_of_counts, value_counts
+from ..operators.ordered import cell_counts, exact_quantiles
 from ..operators.periods import in_periods, spread
 from ..operators.reuse import written_once
 from ..operators.regression import entity_effects, entity_sums, merge_sums, solve_fixed_effects
@@ -99,13 +99,14 @@ def flag_summary(
 ) -> DataFrame:
     """Mean and median tempo at the flagged park and elsewhere, by period, larger second median first.
 
-    Both come from the same value counts, so two groups that hold everything cost one scan and no sort.
+    Both start from the same cell counts, so two groups that hold everything are neither shuffled nor sorted as a whole.
     """
     rows = with_park(events.where(in_periods(periods) & pitches(first=False)), parks, "abbr")
     keys = ["place", "year"]
-    counts = written_once(value_counts(rows.withColumn("place", flagged(flag)), keys, TEMPO))
-    means = mean_of_counts(counts, keys)
-    medians = quantiles_of_counts(counts, keys, {"median": 0.5})
+    rows = rows.withColumn("place", flagged(flag))
+    cells = written_once(cell_counts(rows, keys, TEMPO, total=F.sum(TEMPO)))
+    means = cells.where("cell IS NOT NULL").groupBy(*keys).agg((F.sum("total") / F.sum("in_cell")).alias("mean"))
+    medians = exact_quantiles(rows, keys, TEMPO, {"median": 0.5}, cells)
     wide = spread(means, ["place"], ["mean"], periods).join(
         spread(medians, ["place"], ["median"], periods), "place"
     )

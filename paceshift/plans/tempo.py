@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import percent_text, recode, relative_change, round_to
 from ..operators.cohort import qualified_keys
 from ..operators.distribution import histogram, kernel_density
-from ..operators.ordered import quantiles_of_counts, with_cells
+from ..operators.ordered import cell_counts, exact_quantiles
 from ..operators.periods import by_period, change, in_periods, spread
 from ..operators.reuse import written_once
 from ..operators.topk import bottom_k, extreme_k, top_k
@@ -153,18 +153,14 @@ def pitcher_medians(
 ) -> DataFrame:
     """Median tempo per pitcher and period with its change, over pitchers qualifying in both.
 
-    Pitches are counted once per (pitcher, year, value). These counts give the medians and, unless the
-    cohort is defined by another condition or table, the cohort too.
+    Counts per (pitcher, year, cell of tempo) locate the medians and, unless the cohort is defined by another
+    condition or table, give the cohort too.
     """
-    counted = written_once(
-        events.where(in_periods(periods) & F.col("is_pitch"))
-        .groupBy(key, "year", (F.col("pitch_number") != 1).alias("later"), F.col(TEMPO).cast("double").alias("value"))
-        .agg(F.count("*").alias("freq"))
-    )
-    counts = with_cells(counted.where("later")).drop("later")
-    medians = quantiles_of_counts(counts, [key, "year"], {"median_tempo": 0.5})
+    rows = events.where(in_periods(periods) & F.col("is_pitch")).select(key, "year", (F.col("pitch_number") != 1).alias("later"), TEMPO)
+    counted = written_once(cell_counts(rows, [key, "year", "later"], TEMPO))
+    medians = exact_quantiles(rows.where("later"), [key, "year"], TEMPO, {"median_tempo": 0.5}, counted.where("later").drop("later"))
     if population is None and condition is None:
-        pitches_thrown = [F.sum(F.when(F.col("year") == p, F.col("freq"))) > min_pitches for p in periods]
+        pitches_thrown = [F.sum(F.when(F.col("year") == p, F.col("in_cell"))) > min_pitches for p in periods]
         cohort = counted.groupBy(key).agg(*[c.alias(f"__q{i}") for i, c in enumerate(pitches_thrown)])
         cohort = cohort.where(" AND ".join(f"__q{i}" for i in range(len(periods)))).select(key)
     else:

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from paceshift.operators.ordered import exact_median, exact_quantiles, quantiles_of_counts, value_counts
+from paceshift.operators.ordered import exact_median, exact_quantiles
 from paceshift.operators.reuse import join_small
 from paceshift.operators.topk import bottom_k, extreme_k, top_k
 
@@ -70,9 +70,9 @@ def test_tied_rows_do_not_meet_in_one_task(spark):
 def test_crowded_cells_are_cut(spark, max_values):
     rng = random.Random(4)
     rows = [("near", 93.0 + rng.random() * 1e-3) for _ in range(400)] + [("wide", rng.gauss(0, 9)) for _ in range(200)]
-    counts = value_counts(spark.createDataFrame(rows, "k STRING, v DOUBLE"), ["k"], "v")
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
     probs = {"a": 0.1, "b": 0.5, "c": 0.77}
-    for r in quantiles_of_counts(counts, ["k"], probs, max_values).collect():
+    for r in exact_quantiles(df, ["k"], "v", probs, max_rows=max_values).collect():
         sample = [v for k, v in rows if k == r.k]
         assert [r.a, r.b, r.c] == pytest.approx(list(np.quantile(sample, list(probs.values()))), rel=1e-12)
 
@@ -89,3 +89,9 @@ def test_join_with_a_side_too_large_to_broadcast(spark):
         assert sorted(map(str, broadcast.collect())) == sorted(map(str, salted.collect())) and salted.count() == n
     plan = join_small(big, small, ["k"], F.col("v"), broadcast_rows=2)._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan and "__j_salt" in plan
+
+
+def test_a_mass_of_equal_values_needs_no_cut(spark):
+    df = spark.createDataFrame([(1, 5.0)] * 3000 + [(1, float(i)) for i in range(10)], "k INT, v DOUBLE")
+    got = exact_quantiles(df, ["k"], "v", {"m": 0.5, "top": 1.0}, max_rows=10).collect()
+    assert [tuple(r) for r in got] == [(1, 3010, 5.0, 9.0)]
