@@ -72,7 +72,7 @@ def mix_once(h: np.ndarray, seed: int) -> np.ndarray:
 def sketch_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """doc_id, two halves of a digest of the words, number of runs, sketches (null for a text without words)."""
     for batch in batches:
-        raws = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+        raws = batch["raw"].tolist()
         ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
         for part in groups_of(raws):
             some = raws[part]
@@ -93,7 +93,7 @@ def sketch_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """id, labelled runs in order (4 bytes of each hash)."""
     for batch in batches:
-        raws = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+        raws = batch["raw"].tolist()
         ids = batch["id"].tolist()
         for part in groups_of(raws):
             runs, starts = shingles_of(raws[part], WORDS)
@@ -209,7 +209,7 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     open_ = texts.select("id", F.posexplode("sketches").alias("sketch", "key"))
     buckets = open_.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     open_ = written(open_.join(buckets, "key"))
-    runs = docs.select(F.col("doc_id").alias("id"), "text").join(open_.select("id").distinct(), "id", "left_semi")
+    runs = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("raw")).join(open_.select("id").distinct(), "id", "left_semi")
     runs = written(runs.mapInPandas(sequences, "id long, runs binary"))
     pairs = open_.where("members = 2").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").distinct()
     left = runs.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     id are one document: what links one of their texts links them all. Rows without an id are in the class of their
     text, and can't be its smallest.
     """
-    made = written(docs.mapInPandas(sketch_texts, "doc_id long, c1 long, c2 long, n long, sketches array<long>"))
+    raws = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    made = written(raws.mapInPandas(sketch_texts, "doc_id long, c1 long, c2 long, n long, sketches array<long>"))
     texts = made.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("sketches").alias("sketches"))
     texts = written(texts.where("id IS NOT NULL"))
     found = links(texts.select("id", "sketches"), docs)

@@ -9,7 +9,7 @@ import numpy as np
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are worked on in groups of about so many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
