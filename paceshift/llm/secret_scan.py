@@ -11,6 +11,7 @@ All of it is in SQL functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,8 +79,10 @@ def randomness(body: Column) -> Column:
     return F.element_at(F.transform(F.array(found), tests), 1)
 
 
-def matches(docs: DataFrame, kinds: dict[str, tuple[str, int, int]]) -> DataFrame:
-    """(doc_id, mark, kind, start, end, body): matches in code points, leftmost and not overlapping within a kind.
+def matches(docs: DataFrame, kinds: dict[str, tuple[str, int, int]], describe: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, mark, kind, start, end, about): matches in code points, leftmost and not overlapping within a kind.
+
+    about is what describe makes of the match, where the text is read and before anything is shuffled (else null).
 
     mark tells texts of the same doc_id apart. Pieces between matches and matches alternate, so running sums of
     their lengths over a text's matches give the places.
@@ -100,18 +103,19 @@ def matches(docs: DataFrame, kinds: dict[str, tuple[str, int, int]]) -> DataFram
     rows = docs.where(some).select("doc_id", F.xxhash64("text").alias("mark"), F.explode(F.array(*per_kind)).alias("k"))
     rows = rows.select("doc_id", "mark", "k.kind", "k.least", F.posexplode("k.found").alias("at", "x")).where("x.match IS NOT NULL")
     rows = rows.select("doc_id", "mark", "kind", "at", F.length("x.piece").alias("before"), F.length("x.match").alias("n"),
-                       (F.length("x.counted") >= F.col("least")).alias("kept"), F.col("x.match").alias("body"))
+                       (F.length("x.counted") >= F.col("least")).alias("kept"), (describe(F.col("x.match")) if describe else F.lit(None).cast("string")).alias("about"))
     rows = rows.dropDuplicates(["doc_id", "mark", "kind", "at"])  # rows that repeat in full
     upto = Window.partitionBy("doc_id", "mark", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("before") + F.col("n")).over(upto)).where("kept")
-    return rows.select("doc_id", "mark", "kind", (F.col("end") - F.col("n")).alias("start"), "end", "body")
+    return rows.select("doc_id", "mark", "kind", (F.col("end") - F.col("n")).alias("start"), "end", "about")
 
 
-def discoveries(found: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
+def discoveries(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     """Candidates that stay (doc_id, mark, kind random, start, end)."""
-    scored = found.withColumn("p", randomness(F.col("body")))
-    scored = scored.withColumn("size", F.floor(F.log2(F.col("end") - F.col("start")) * PER_OCTAVE).cast("int"))
-    scored = scored.withColumn("cell", F.least(F.floor(F.col("p") * CELLS), F.lit(CELLS - 1)).cast("int")).withColumn("word", F.col("body").rlike("^[A-Za-z]+$"))
+    about = lambda body: F.struct(randomness(body).alias("p"), body.rlike("^[A-Za-z]+$").alias("word"))
+    found = matches(docs, {"random": (CANDIDATE, 0, 16)}, about).select("doc_id", "mark", "start", "end", "about.*")
+    scored = found.withColumn("size", F.floor(F.log2(F.col("end") - F.col("start")) * PER_OCTAVE).cast("int"))
+    scored = scored.withColumn("cell", F.least(F.floor(F.col("p") * CELLS), F.lit(CELLS - 1)).cast("int"))
     scored = written(scored.select("doc_id", "mark", "start", "end", "size", "cell", "word"))
     # At most CELLS rows for each class of length, and texts of up to a gigabyte have 4 * 30 such classes.
     cells = scored.groupBy("size", "cell", "word").agg(F.count("*").alias("n")).collect()
@@ -149,7 +153,7 @@ def find_secrets(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame
     Null and empty texts have none. mark is a hash of the text. Rows that repeat in full are found once.
     """
     base = matches(docs, KINDS).select("doc_id", "mark", "kind", "start", "end")
-    return base.unionByName(discoveries(matches(docs, {"random": (CANDIDATE, 0, 16)}), false_share))
+    return base.unionByName(discoveries(docs, false_share))
 
 
 def scan(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
