@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import edge_rows
+from edge_cases import edge_rows
 
 import corpus_pipeline
 from paceshift.llm.queries import QUERIES
