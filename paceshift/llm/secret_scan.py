@@ -6,15 +6,19 @@ for uniformity, the number of runs above and below the middle, and serial correl
 the three p values. Words pass such tests too when they are short, so candidates of letters alone serve as the
 known negatives: the share of them, up to the candidate's length, that look at least as random is the
 candidate's p value, and a step-up procedure in each class of length keeps the share of false discoveries down.
+Each different string counts once, however many copies it has, and all its copies share its fate. Where too few
+negatives are known to tell anything, letters drawn by their shares in English text are added to them.
 All of it is in SQL functions.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceshift.llm.common import text_of, written
@@ -42,6 +46,9 @@ ALPHABETS = [
 ]
 #: Share of false discoveries, cells of the combined p value, length classes to an octave.
 FALSE_SHARE, CELLS, PER_OCTAVE = 0.05, 1000, 4
+#: Drawn negatives of a class with too few known ones, their greatest length (longer text looks less random), shares of a to z in a thousand.
+DRAWN, DRAWN_LENGTH = 1000, 256
+SHARES = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
 
 
 def tail(z: Column) -> Column:
@@ -112,14 +119,15 @@ def matches(docs: DataFrame, kinds: dict[str, tuple[str, int, int]], describe: C
 
 def discoveries(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     """Candidates that stay (doc_id, mark, kind random, start, end)."""
-    about = lambda body: F.struct(randomness(body).alias("p"), body.rlike("^[A-Za-z]+$").alias("word"))
+    about = lambda body: F.struct(randomness(body).alias("p"), body.rlike("^[A-Za-z]+$").alias("word"), F.xxhash64(body).alias("own"))
     found = matches(docs, {"random": (CANDIDATE, 0, 16)}, about).select("doc_id", "mark", "start", "end", "about.*")
     scored = found.withColumn("size", F.floor(F.log2(F.col("end") - F.col("start")) * PER_OCTAVE).cast("int"))
-    scored = scored.withColumn("cell", F.least(F.floor(F.col("p") * CELLS), F.lit(CELLS - 1)).cast("int"))
-    scored = written(scored.select("doc_id", "mark", "start", "end", "size", "cell", "word"))
-    # At most CELLS rows for each class of length, and texts of up to a gigabyte have 4 * 30 such classes.
-    cells = scored.groupBy("size", "cell", "word").agg(F.count("*").alias("n")).collect()
-    least = least_cells([(r["size"], r["cell"], r["word"], r["n"]) for r in cells], false_share)
+    scored = written(scored.select("doc_id", "mark", "start", "end", "size", cell_of(F.col("p")).alias("cell"), "word", "own"))
+    # At most CELLS rows for each class of length, and texts of up to a gigabyte have 4 * 30 such classes. Copies of a string count once.
+    cells = scored.select("size", "cell", "word", "own").distinct().groupBy("size", "cell", "word").agg(F.count("*").alias("n")).collect()
+    cells = [(r["size"], r["cell"], r["word"], r["n"]) for r in cells]
+    drawn = drawn_negatives(docs.sparkSession, poor_classes(cells, false_share))
+    least = least_cells(cells, false_share, drawn)
     if not least:
         return scored.where("false").select("doc_id", "mark", F.lit("random").alias("kind"), "start", "end")
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("size"))
@@ -127,11 +135,36 @@ def discoveries(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     return kept.select("doc_id", "mark", F.lit("random").alias("kind"), "start", "end")
 
 
-def least_cells(cells: list[tuple[int, int, bool, int]], false_share: float) -> dict[int, int]:
-    """By class of length, the lowest cell that is a discovery (step-up procedure). cells: (class, cell, is a word, count).
+def cell_of(p: Column) -> Column:
+    return F.least(F.floor(p * CELLS), F.lit(CELLS - 1)).cast("int")
+
+
+def poor_classes(cells: list[tuple[int, int, bool, int]], false_share: float) -> list[int]:
+    """Classes with candidates in which even no negative among the known ones would not be enough for a discovery."""
+    known = lambda size: sum(n for s, _, word, n in cells if word and s <= size)
+    return [size for size in sorted({c[0] for c in cells if not c[2]}) if (1 + known(size)) * false_share < 1]
+
+
+def drawn_negatives(spark: SparkSession, sizes: list[int]) -> dict[int, list[int]]:
+    """By class of length, how many of DRAWN strings of its least length fall in each cell. Letters are independent, by their shares in English text."""
+    if not sizes:
+        return {}
+    rows = []
+    for size in sizes:
+        draw, length = random.Random(size), min(DRAWN_LENGTH, math.ceil(2 ** (size / PER_OCTAVE)))
+        rows += [(size, "".join(draw.choices(LOWER, SHARES, k=length))) for _ in range(DRAWN)]
+    found = spark.createDataFrame(rows, "size int, body string").select("size", cell_of(randomness(F.col("body"))).alias("cell"))
+    drawn = {size: [0] * CELLS for size in sizes}
+    for r in found.groupBy("size", "cell").agg(F.count("*").alias("n")).collect():
+        drawn[r["size"]][r["cell"]] = r["n"]
+    return drawn
+
+
+def least_cells(cells: list[tuple[int, int, bool, int]], false_share: float, drawn: dict[int, list[int]] | None = None) -> dict[int, int]:
+    """By class of length, the lowest cell that is a discovery (step-up procedure). cells: (class, cell, is a word, different strings).
 
     Known negatives of a class are the words of that length or shorter: a test has less power on short text, so
-    they look more random than longer ones would. Without any, nothing is claimed.
+    they look more random than longer ones would. drawn has further ones of a class by cell. Without any, nothing is claimed.
     """
     words, least = [0] * CELLS, {}
     for size in sorted({c[0] for c in cells}):
@@ -139,9 +172,10 @@ def least_cells(cells: list[tuple[int, int, bool, int]], false_share: float) ->
         for s, cell, word, n in cells:
             if s == size:
                 (words if word else others)[cell] += n
-        total, m, negatives, found = sum(words), sum(others), 0, 0
+        null = [a + b for a, b in zip(words, (drawn or {}).get(size, [0] * CELLS), strict=True)]
+        total, m, negatives, found = sum(null), sum(others), 0, 0
         for cell in reversed(range(CELLS)):
-            negatives, found = negatives + words[cell], found + others[cell]
+            negatives, found = negatives + null[cell], found + others[cell]
             if found and (1 + negatives) / (1 + total) * m <= false_share * found:
                 least[size] = cell
     return least

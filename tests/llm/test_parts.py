@@ -140,6 +140,33 @@ def test_randomness_and_false_discoveries(spark):
     assert secret_scan.least_cells([(10, 3, True, 500), (12, 900, False, 50)], 0.05) == {12: 4}
 
 
+def random_spans(spark, texts):
+    got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {x.doc_id for x in got if "random:" in x.spans}
+
+
+def test_copies_do_not_decide_what_is_random(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice(["the", "ing", "tion", "and", "er", "es"]) for _ in range(20))[: r.randint(40, 44)] for _ in range(200)]
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44)) for _ in range(30)]
+    slug = "how-to-set-up-a-table-of-all-the-things-here"
+    lone = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    found = random_spans(spark, [*keys, *words])
+    assert len(found) >= 25 and max(found) < 30
+    assert random_spans(spark, [*keys, *words, *[slug + " again"] * 2000]) == found
+    assert len({i for i in random_spans(spark, [*keys, *words, *[lone] * 2000]) if i < 30}) >= 25
+    assert len(random_spans(spark, [*keys[:-1], *[keys[-1]] * 50, *words])) >= 50  # all copies share its fate
+
+
+def test_random_strings_where_no_negative_is_known(spark):
+    r = random.Random(12)
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44)) for _ in range(30)]
+    slugs = [f"{a}-{b}-{a}-and-{b}-of-all-the-{a}-{b}" for a in ("table", "thing", "order") for b in ("house", "tree", "green")]
+    found = random_spans(spark, [*keys, *slugs])
+    assert len(found) >= 10 and max(found) < 30  # none before; the drawn letters are strict
+    assert not random_spans(spark, slugs)
+
+
 def test_simhash_tables_find_all_within_the_radius(spark):
     r = random.Random(7)
     seeds = [r.getrandbits(64) for _ in range(20)]
