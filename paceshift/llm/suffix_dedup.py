@@ -73,9 +73,11 @@ def anchors_of_slice(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray
     h += eight[8 : m + 8]
     h *= np.uint64(0xE7037ED1A0B428DB)
     h += eight[16 : m + 16]
+    h += np.uint64(0xA24BAED4963EE407)  # zeros too are scrambled
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x8EBC6AF09C88C6E3)
     high = (h >> np.uint64(32)).astype(np.uint32)
+    np.maximum(high, 1, out=high)  # 0 is below all hashes: no whole string starts there
     lowest = slide(high, LEFT + 1, np.minimum)  # of the anchors in the string that starts here
     whole = np.zeros(len(lowest) + 1, np.int32)  # strings that lie in one text
     fits = np.diff(starts) >= LENGTH
@@ -84,7 +86,7 @@ def anchors_of_slice(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray
     lowest = np.where(np.cumsum(whole[:-1]) > 0, lowest, 0)
     edge = np.zeros(LEFT, np.uint32)
     chosen = slide(np.concatenate([edge, lowest, edge]), LEFT + 1, np.maximum)
-    places = np.flatnonzero((high == chosen) & (high > 0))
+    places = np.flatnonzero(high == chosen)
     return places, mix(h[places])
 
 

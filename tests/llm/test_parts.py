@@ -54,6 +54,22 @@ def test_repeats_with_crowded_anchors(spark, crowded):
     assert {x.doc_id: bytes(x.kept) for x in got} == want
 
 
+def test_repeats_of_nul_bytes(spark):
+    nul = "\0"
+    docs = [(1, "first " + nul * 60 + " end"), (2, "another " + nul * 60 + " tail"), (3, nul * 55), (4, "x" + nul * 30 + "y" * 30), (5, "z" * 9 + nul * 30 + "y" * 30), (6, nul * 49)]
+    first = {}
+    for i, t in docs:
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    want = {}
+    for i, t in docs:
+        gone = set(itertools.chain.from_iterable(range(p, p + 50) for p in range(len(t) - 49) if first[t[p : p + 50]] < i))
+        want[i] = "".join(c for p, c in enumerate(t) if p not in gone).encode()
+    assert want[2] == b"anothertail" and not want[3] and want[5] == b"z" * 9
+    got = suffix_dedup.remove_repeats(text_of(spark.createDataFrame(docs, "doc_id long, text string"))).collect()
+    assert {x.doc_id: bytes(x.kept) for x in got} == want
+
+
 def test_network_gradient_is_the_slope_of_the_loss():
     counts = np.arange(1500, 0, -1)
     lexicon = lm.Lexicon(np.sort(np.random.default_rng(1).integers(1, 1 << 62, 1500).astype(np.uint64)), counts, int(counts.sum()) + 50, 1600, 20)
