@@ -266,7 +266,7 @@ class Network:
         return out
 
     def train(self, numbers: np.ndarray, lengths: np.ndarray, rule: Adagrad) -> None:
-        """One step for STEP_TOKENS tokens or more, so that windows in which few lanes are left weigh no more than others."""
+        """One step for STEP_TOKENS tokens or more, so that windows in which few lanes are left weigh no more than others; the rest at the end makes a smaller one."""
         flat, seen = np.zeros(SIZE, np.float32), 0
         gradient = views(flat)
         for place, starts, inputs, states, kept in self.windows(numbers, lengths):
@@ -280,6 +280,9 @@ class Network:
                 flat /= seen
                 rule.step(self.flat, flat)
                 flat[:], seen = 0, 0
+        if seen:
+            flat /= seen
+            rule.step(self.flat, flat, seen / STEP_TOKENS)
 
 
 def add_rows(table: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
@@ -296,8 +299,8 @@ class Adagrad:
         self.rate = rate
         self.square: np.ndarray | None = None
 
-    def step(self, flat: np.ndarray, gradient: np.ndarray) -> None:
+    def step(self, flat: np.ndarray, gradient: np.ndarray, weight: float = 1.0) -> None:
         if self.square is None:
             self.square = np.full(SIZE, float((gradient * gradient).mean()) + 1e-12, np.float32)
-        self.square += gradient * gradient
-        flat -= self.rate * gradient / np.sqrt(self.square)
+        self.square += weight * gradient * gradient
+        flat -= weight * self.rate * gradient / np.sqrt(self.square)

@@ -120,6 +120,23 @@ def test_probabilities_add_up_and_training_helps():
     assert np.allclose(net.score(numbers, lengths)[:60], net.score(numbers[:60], lengths[:1]), atol=1e-4)
 
 
+def test_rest_of_the_training_tokens_is_used():
+    r = np.random.default_rng(12)
+    counts = np.arange(1500, 0, -1)
+    lexicon = lm.Lexicon(np.sort(r.integers(1, 1 << 62, 1500).astype(np.uint64)), counts, int(counts.sum()) + 50, 1600, 20)
+    start = lm.untrained(lexicon)
+    moved = []
+    for documents in (1, 40):
+        numbers, lengths = r.integers(1, 9, documents * 50).astype(np.int32), np.full(documents, 50)
+        numbers[np.cumsum(lengths) - 1] = lm.END
+        net = lm.Network(start.copy())
+        before = net.score(numbers, lengths).mean()
+        net.train(numbers, lengths, lm.Adagrad(0.1))
+        assert net.score(numbers, lengths).mean() > before
+        moved.append(np.abs(net.flat - start).max())
+    assert 0 < moved[0] < moved[1] < 0.1
+
+
 def test_rules_nested_deeply_and_hot_hosts(spark):
     r = random.Random(5)
     labels = ["a", "b", "com"]
