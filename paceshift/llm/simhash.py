@@ -22,21 +22,21 @@ BLOCKS, RADIUS = 6, 3
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row for each value of keys: keys, fingerprint (long). Equal texts have equal fingerprints; no words give 0."""
+    """One row for each value of keys: keys, fingerprint (long), n_rows (how many rows have these keys). Equal texts have equal fingerprints; no words give 0."""
     words = F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), SPACE, -1)
     pairs = rows.select(*keys, words.alias("__w")).select(*keys, F.explode(F.arrays_zip(F.col("__w").alias("a"), F.slice("__w", 2, 1 << 30).alias("b"))).alias("t"))
     a, b = F.col("t.a"), F.coalesce("t.b", F.lit(""))
     weight = F.when(a == "", F.lit(0)).otherwise(F.least(F.lit(4), 1 + F.floor((F.length(a) + F.length(b)) / 6))).cast("long")
-    terms = pairs.select(*keys, F.xxhash64(a, b).alias("__h"), weight.alias("__n"))
+    terms = pairs.select(*keys, F.xxhash64(a, b).alias("__h"), weight.alias("__n"), F.col("t.b").isNull().alias("__last"))  # each text has one last word
     two = F.lit((1 << HALF) + 1)
     sums = [F.sum(F.shiftrightunsigned("__h", j).bitwiseAND(two) * F.col("__n")).alias(f"__s{j}") for j in range(HALF)]
-    votes = terms.groupBy(*keys).agg(F.sum("__n").alias("__all"), *sums)
+    votes = terms.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.count_if("__last").alias("n_rows"), *sums)
     low = (1 << 31) - 1
     bit = [
         F.when((F.shiftrightunsigned(f"__s{j % HALF}", HALF * (j // HALF)).bitwiseAND(F.lit(low))) * 2 > F.col("__all"), F.shiftleft(F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))
         for j in range(BITS)
     ]
-    return votes.select(*keys, reduce(lambda x, y: x.bitwiseOR(y), bit).alias("fingerprint"))
+    return votes.select(*keys, reduce(lambda x, y: x.bitwiseOR(y), bit).alias("fingerprint"), "n_rows")
 
 
 def within(prints: DataFrame, others: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -106,26 +106,31 @@ def fingerprint_edits(docs: DataFrame, every: int = 50, radius: int = RADIUS) ->
 
     The edited text has its last quarter replaced by the start of the next document's text. n_within is for ids
     that every divides (else null): how many other rows of docs have a fingerprint within radius. Rows with the
-    same id follow one another by a hash of their text; rows that agree in id, text and next text are one.
+    same id follow one another by a hash of their text; rows that agree in id, text and next text are counted, and come out as often.
     """
     n = max(2, 2 * tasks(docs.sparkSession))
-    rows = with_next(docs.withColumn("mark", F.xxhash64("text")), ["doc_id", "mark"], ["text"], n)
+    rows = with_next(docs.withColumn("mark", F.xxhash64("text")).withColumn("own", F.col("doc_id")), ["doc_id", "mark"], ["text", "own"], n)
+    # Of rows that agree in id and text, the last one is followed by another row, the others by their equal.
+    rows = rows.withColumn("is_last", ~(F.col("own").eqNullSafe(F.col("next_own")) & F.col("text").eqNullSafe(F.col("next_text"))))
     length = F.length("text")
     quarter = F.floor(length / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), length - quarter), F.substring("next_text", F.lit(1), quarter))
-    rows = rows.select("doc_id", "mark", length.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.select("doc_id", "mark", "is_last", length.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["doc_id", "mark", "n_chars", "edited_sha256", "is_edited"]
+    keys = ["doc_id", "mark", "is_last", "n_chars", "edited_sha256", "is_edited"]
     each = F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("body")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("body"))))
-    prints = fingerprints(rows.select("doc_id", "mark", "n_chars", "edited_sha256", each.alias("e")).select(*keys[:4], "e.*"), keys, "body")
-    one = prints.groupBy(*keys[:4]).agg(F.max(F.when(~F.col("is_edited"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited"))
-    one = written(with_next(written(one), ["doc_id", "mark"], ["fingerprint"], n))
+    prints = fingerprints(rows.select(*keys[:5], each.alias("e")).select(*keys[:5], "e.*"), keys, "body")
+    one = prints.groupBy(*keys[:5]).agg(F.max(F.when(~F.col("is_edited"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited"), F.max("n_rows").alias("n_rows"))
+    one = written(with_next(written(one), ["doc_id", "mark", "is_last"], ["fingerprint"], n))
 
-    held = written(one.groupBy("fingerprint").agg(F.count("*").alias("n")))
+    held = written(one.groupBy("fingerprint").agg(F.sum("n_rows").alias("n")))
     asked = one.where(F.col("doc_id") % every == 0).select("fingerprint").distinct()
     near = within(asked, held.select("fingerprint"), radius).join(held.select(F.col("fingerprint").alias("other"), "n"), "other")
     near = written(near.groupBy("fingerprint").agg(F.sum("n").alias("n")))
     out = join_small(one, near, ["fingerprint"], F.xxhash64("doc_id", "mark"), "left")
+    # Two steps, so that no array grows with the copies of a row.
+    out = out.withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_rows") - 1) / 4096))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(4096).cast("long"), F.col("n_rows") - F.col("some") * 4096))))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fingerprint")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),

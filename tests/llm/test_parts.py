@@ -211,6 +211,18 @@ def test_simhash_tables_find_all_within_the_radius(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_equal_rows_have_a_fingerprint_each(spark):
+    rows = [(1, "some words of a text")] * 3 + [(2, "quite another text here")] + [(None, "no id at all for this")] * 5000 + [(None, "nor for that")] + [(50, "some words of a text")]
+    got = simhash.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, _ in rows)
+    assert next(x.n_within for x in got if x.doc_id == 50) == 3
+    mine = [x for x in got if x.doc_id == 1]
+    two = next(int(x.fingerprint, 16) for x in got if x.doc_id == 2)
+    away = 1 - bin(int(mine[0].fingerprint, 16) ^ two).count("1") / 64
+    assert sorted(x.near_next for x in mine) == [away, 1.0, 1.0]
+    assert len({x.edited_sha256 for x in mine if x.near_next == 1}) == 1 and len({x.edited_sha256 for x in mine}) == 2
+
+
 def test_unequal_weights_in_the_mix(spark):
     rows = [(i, "a" if i % 2 else "b", 10 + i % 7, 4.0 if i % 10 == 1 else 1.0) for i in range(3000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long, weight double"), (3, 1)).collect()
