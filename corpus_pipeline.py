@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceshift.llm import mixing, order_minhash, packing, quality, secret_scan
-from paceshift.llm.common import text_of, written
+from paceshift.llm.common import WORD, text_of, written
 from paceshift.operators.reuse import join_small
 
 
@@ -21,13 +21,19 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id. Of rows with one id, the first by text stays; rows without an id all stay."""
-    found = order_minhash.near_duplicates(text_of(docs))
+    """Of each group of near copies, the document with the smallest id. Of rows with one id, the first by text stays.
+
+    Rows without an id are named by a hash of their text, above all ids, so that one of each group stays, and none beside a row with an id.
+    Those without words have no copies and all stay; where ids go beyond 2^62, no names are left and all rows without one stay.
+    """
+    top = max(docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0, 0)
+    name = F.when(F.col("text").rlike(WORD) & F.lit(top < 1 << 62), F.lit(top + 1) + F.pmod(F.xxhash64("text"), F.lit((1 << 63) - 2 - min(top, 1 << 62))))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), name).alias("doc_id"), F.struct("*").alias("row"))  # so that no column's name can clash
+    found = order_minhash.near_duplicates(text_of(rows.select("doc_id", "row.text")))
     kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))
-    rows = docs.select("doc_id", F.struct("*").alias("row"))  # so that no column's name can clash
     named = rows.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("n", first).where("n = 1")
-    return named.select("row.*").union(docs.where("doc_id IS NULL"))
+    return named.select("row.*").union(rows.where("doc_id IS NULL").select("row.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

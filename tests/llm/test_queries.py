@@ -259,6 +259,15 @@ def test_pipeline_over_edge_cases(spark, edge_dir):
     check_pieces([r.asDict() for r in corpus_pipeline.run(spark, edge_dir).collect()], {})
 
 
+def test_copies_without_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(None, a)] * 4 + [(None, a + " more"), (7, b), (None, b), (None, b + " more"), (None, ""), (None, ""), (None, None), (8, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.without_copies(spark, docs, "").collect()]
+    assert sum(i is None and bool(t) for i, t in kept) == 1 and {t for i, t in kept if i is None and t} <= {a, a + " more"}
+    assert multiset((i, t) for i, t in kept if i is not None or not t) == multiset([(7, b), (8, "other words"), (None, ""), (None, ""), (None, None)])
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
 def test_pipeline_against_brute_force(spark, folder, tmp_path):
     """Stage by stage on the test data: what each one keeps and what it changes."""
