@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from paceshift.llm import lattice_hash, lm_scoring, mixing, order_minhash, packing, quality, secret_scan, simhash, suffix_dedup, url_rules
+from paceshift.llm import (
+    collocations,
+    exact_index,
+    lattice_hash,
+    lm_scoring,
+    mixing,
+    order_minhash,
+    packing,
+    periodic_runs,
+    quality,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    url_rules,
+)
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -15,5 +29,8 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_packing": packing.query,
     "op10_near_vectors": lattice_hash.query,
+    "op11_exact_index": exact_index.query,
+    "op12_collocations": collocations.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
-ORACLES = {"op2_url_filter": url_rules.ORACLE, "op7_mix_sources": mixing.ORACLE}
+ORACLES = {"op2_url_filter": url_rules.ORACLE, "op7_mix_sources": mixing.ORACLE, "op11_exact_index": exact_index.ORACLE, "op12_collocations": collocations.ORACLE}
