@@ -124,6 +124,28 @@ def test_collocations_by_shards(spark, shards, threshold, cells):
     assert got == plain_phrases(rows, threshold, 25)
 
 
+def test_long_texts_in_slices(spark):
+    """A text is counted as a whole, whether it is cut between any words or not."""
+    r = random.Random(2)
+    raw = " ".join(r.choice(["New", "york", "a", "b.", "c;d", "\u00e9"]) + r.choice(["", "", "\t", "\n", "!"]) for _ in range(3000)).encode()
+    boards = [np.zeros(64, np.uint8) for _ in range(3)]  # all cells have reached the threshold
+
+    def all_phrases(most):
+        named, hashed = Counter(), Counter()
+        for part, carried in collocations.slices(raw, most):
+            for size, phrases, counts in collocations.named_phrases("en", [part], carried, boards):
+                for p, n in zip(phrases.to_pylist(), counts.tolist(), strict=True):
+                    named[size, p] += n
+            for size, hashes, _ in collocations.active_phrases([part], collocations.seeds_of(["en"]), carried, 0, 4, boards):
+                hashed.update((size, int(h)) for h in hashes)
+        return {k: n for k, n in named.items() if n}, hashed
+
+    whole = all_phrases(1 << 20)
+    assert sorted(whole[1].values()) == sorted(n for (size, _), n in whole[0].items() if size)
+    for most in (1, 7, 50, 1000):
+        assert all_phrases(most) == whole
+
+
 def test_collocation_scores_past_64_bits(spark):
     """a * a and l * r beyond 64 bits, through the same expression."""
     a, left, right = 9 * 10**11, 10**12 - 1, 10**12 - 7
