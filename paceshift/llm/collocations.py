@@ -35,7 +35,7 @@ THRESHOLD, LONGEST, TOP = 10, 3, 2000
 INSIDE = 50
 SHARDS = 4
 #: Cells of a board; a byte each.
-CELL_BITS = 24
+CELL_BITS = 23
 NEVER = 255
 #: Bytes of text that a worker looks at once; longer texts are cut between words.
 SLICE = 2 << 20
@@ -220,11 +220,12 @@ def reached_cells(state: DataFrame, cells: int) -> Iterator[tuple[int, np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(at), pa.array(bits.view(np.int64))], ["size", "at", "bits"])
 
     words = state.where("counts IS NULL").select("size", "keys").mapInArrow(each, "size int, at int, bits long")
-    found = words.groupBy("size", "at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    for size, own in found.groupby("size"):
+    found = words.groupBy("size", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    size, at, bits = (found[c].to_numpy() for c in ("size", "at", "bits"))
+    for k in np.unique(size).tolist():
         board = np.zeros(-(-cells // 64), np.int64)
-        board[own["at"]] = own["bits"]
-        yield size, np.flatnonzero(np.unpackbits(board.view(np.uint8), bitorder="little"))
+        board[at[size == k]] = bits[size == k]
+        yield k, np.flatnonzero(np.unpackbits(board.view(np.uint8), bitorder="little"))
 
 
 class Vocabulary(dict):
