@@ -480,6 +480,24 @@ def delta(measure: str, column: str, where: str) -> str:
     FROM star WHERE is_pitch AND {where} GROUP BY 1, 2 HAVING {n0} > 15 AND {n1} > 15"""
 
 
+def add_ols_summary(name: str, measure: str, points: str) -> None:
+    """The whole summary of a line per type; F is the square of the slope's t, so their tails are one."""
+    y, x = f"diff_{measure}", "diff_tempo"
+    quartiles = ", ".join(f"quantile_cont(y - (b0 + b1 * x), {p}) AS residual_{tag}" for tag, p in (("min", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("max", 1)))
+    rounded = ", ".join(f"{r(f'residual_{tag}')} AS residual_{tag}" for tag in ("min", "q1", "median", "q3", "max"))
+    add(name, ["star"],
+        f"""SELECT pitch_code, n, {r('b0')} AS intercept, {r('b1')} AS slope, {r('r2')} AS r_squared, df, {r('se0')} AS intercept_se, {r('se1')} AS slope_se,
+        {r('b0 / se0')} AS intercept_t, {r(p_value('(b0 / se0)', 'df'))} AS intercept_p, {r('b1 / se1')} AS slope_t, {r(p_value('(b1 / se1)', 'df'))} AS slope_p, {rounded},
+        {r('sqrt(s2)')} AS residual_error, {r('1 - (1 - r2) * (n - 1) / df')} AS adjusted_r_squared, {r('pow(b1 / se1, 2)')} AS f_statistic, CAST(1 AS BIGINT) AS f_df1, df AS f_df2,
+        {r(p_value('(b1 / se1)', 'df'))} AS f_p FROM fitted JOIN residuals USING (pitch_code)""",
+        points=points,
+        fitted=f"""SELECT *, sqrt(s2 / sxx) AS se1, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se0 FROM (SELECT *, (syy - b1 * sxy) / df AS s2 FROM (
+        SELECT pitch_code, CAST(regr_count({y}, {x}) AS BIGINT) AS n, CAST(regr_count({y}, {x}) AS BIGINT) - 2 AS df, regr_intercept({y}, {x}) AS b0, regr_slope({y}, {x}) AS b1,
+        regr_r2({y}, {x}) AS r2, regr_avgx({y}, {x}) AS mx, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy FROM points GROUP BY 1))""",
+        residuals=f"""SELECT pitch_code, {quartiles} FROM (SELECT points.pitch_code, {y} AS y, {x} AS x, b0, b1 FROM points JOIN fitted ON fitted.pitch_code = points.pitch_code
+        WHERE {y} IS NOT NULL AND {x} IS NOT NULL) GROUP BY 1""")
+
+
 def add_ols(name: str, measure: str, points: str, table: int | None = None, published: bool = False) -> None:
     """Line per type; ``table`` asks for the short table with the intercept (0) or the slope (1), ``published`` for the rounded one of named types."""
     y, x = f"diff_{measure}", "diff_tempo"
@@ -509,6 +527,8 @@ for _m, _c, _tag in (("velo", "start_speed", "velo"), ("spin_rate", "spin_rate",
         f"SELECT pitch_code, pitcher_name, {r(f'diff_{_m}')} AS diff_{_m}, {r('diff_tempo')} AS diff_tempo FROM points",
         points=delta(_m, _c, CAPPED))
     add_ols(f"ols_{_tag}", _m, delta(_m, _c, CAPPED))
+add_ols_summary("ols_summary", "velo", delta("velo", "start_speed", CAPPED))
+add_ols_summary("ols_summary_spin", "spin_rate", delta("spin_rate", "spin_rate", CAPPED))
 add_ols("ols_table", "velo", delta("velo", "start_speed", CAPPED), 1)
 add_ols("ols_table_compat", "velo", delta("velo", "start_speed", CAPPED), 0)
 add_ols("ols_table_published", "velo", delta("velo", "start_speed", CAPPED), 1, published=True)
@@ -519,6 +539,7 @@ for _m, _c, _tag in (("velo", "start_speed", "velo"), ("spin_rate", "spin_rate",
         f"SELECT pitch_code, pitcher_name, {r(f'diff_{_m}')} AS diff_{_m}, {r('diff_tempo')} AS diff_tempo FROM points",
         points=delta(_m, _c, VARIANT))
 add_ols("ols_variant", "velo", delta("velo", "start_speed", VARIANT))
+add_ols_summary("ols_summary_variant", "velo", delta("velo", "start_speed", VARIANT))
 add_fit("fit_change", "points", "diff_velo", "diff_tempo", points=delta("velo", "start_speed", CAPPED))
 
 # Parks and fixed effects
@@ -546,7 +567,7 @@ add("flag_summary", ["star_home"],
     + f" FROM star_home WHERE {LATER} GROUP BY 1")
 
 
-def add_fixed_effects(name: str, moderator: str, where: str, scope: str, only: str = "TRUE", effects: bool = False, table: bool = False) -> None:
+def add_fixed_effects(name: str, moderator: str, where: str, scope: str, only: str = "TRUE", effects: bool = False, table: bool = False, coefficients: bool = False) -> None:
     a, b = per("count", "*")
     by_type = scope == "type"
     demeaned = ", ".join(f"{v} - avg({v}) OVER g AS d{v}" for v in "tzy")
@@ -559,9 +580,12 @@ def add_fixed_effects(name: str, moderator: str, where: str, scope: str, only: s
         {r('b_z', 4)} AS pitch_tempo_abbr_coefficient, {r(p_value('(b_z / se_z)', 'df'), 3)} AS pitch_tempo_abbr_p_value, {r('1 - rss / y2', 3)} AS r_squared
         FROM fitted JOIN (SELECT DISTINCT pitch_code, pitch_desc FROM star WHERE is_pitch AND pitch_desc IS NOT NULL) named USING (pitch_code)"""
     if effects:
-        final = f"""SELECT pitch_code, year, pitcher_name, count(*) AS n,
-        {r('avg(y) - any_value(b_t) * avg(t) - any_value(b_z) * avg(z)')} AS effect
-        FROM rows JOIN fitted USING (pitch_code, year) GROUP BY 1, 2, 3"""
+        final = f"""SELECT pitch_code, year, pitcher_name, n, {r('effect')} AS effect, {r('se')} AS effect_se, {r('effect / se')} AS effect_t,
+        {r(f"greatest({p_value('(effect / se)', 'df')}, 0.0)")} AS effect_p FROM effects"""
+    if coefficients:
+        final = " UNION ALL ".join(
+            f"""SELECT pitch_code, year, {term} AS term, {r(b)} AS estimate, {r(se)} AS std_error, {r(f'{b} / {se}')} AS t, {r(f"greatest({p_value(f'({b} / {se})', 'df')}, 0.0)")} AS p FROM {source}"""
+            for term, b, se, source in (("'pitch_tempo'", "b_t", "se_t", "fitted"), ("'pitch_tempo:moderator'", "b_z", "se_z", "fitted"), ("'pitcher_name:' || pitcher_name", "effect", "se", "effects")))
     add(name, ["star_home"], final,
         codes=f"SELECT pitch_code FROM star WHERE is_pitch AND pitch_desc IS NOT NULL GROUP BY 1 HAVING count(*) > {MIN_TYPE_ROWS}",
         q=f"""SELECT pitcher_name, pitch_code FROM star GROUP BY 1, 2 HAVING {a} > {MIN_TYPE_PITCHES} AND {b} > {MIN_TYPE_PITCHES}
@@ -576,7 +600,11 @@ def add_fixed_effects(name: str, moderator: str, where: str, scope: str, only: s
         solved="""SELECT *, (zz * ty - tz * zy) / (tt * zz - tz * tz) AS b_t, (tt * zy - tz * ty) / (tt * zz - tz * tz) AS b_z,
         n - n_groups - 2 AS df FROM sums""",
         fitted="""SELECT *, sqrt(rss / df * zz / (tt * zz - tz * tz)) AS se_t, sqrt(rss / df * tt / (tt * zz - tz * tz)) AS se_z
-        FROM (SELECT *, yy - b_t * ty - b_z * zy AS rss FROM solved)""")
+        FROM (SELECT *, yy - b_t * ty - b_z * zy AS rss FROM solved)""",
+        effects="""SELECT *, my - b_t * mt - b_z * mz AS effect,
+        sqrt(rss / df * (1.0 / n + (mt * mt * zz - 2 * mt * mz * tz + mz * mz * tt) / (tt * zz - tz * tz))) AS se
+        FROM (SELECT pitch_code, year, pitcher_name, count(*) AS n, avg(y) AS my, avg(t) AS mt, avg(z) AS mz FROM rows GROUP BY 1, 2, 3) means
+        JOIN (SELECT * EXCLUDE (n) FROM fitted) f USING (pitch_code, year)""")
 
 
 KEPT = f"is_pitch AND pitch_number <> 1 AND pitch_tempo < {CAP}"
@@ -585,3 +613,37 @@ add_fixed_effects("fe_flag_all_rows", "flag", KEPT, "all")
 add_fixed_effects("fe_flag_table", "flag", KEPT, "all", table=True)
 add_fixed_effects("fe_altitude", "altitude", f"is_pitch AND pitch_tempo < {CAP}", "type", f"q.pitch_code = 'A' AND s.year = {P0}")
 add_fixed_effects("fe_effects", "flag", KEPT, "all", f"q.pitch_code = 'A' AND s.year = {P1}", effects=True)
+add_fixed_effects("fe_coefficients", "flag", KEPT, "type", coefficients=True)
+
+# Files, names, numbers, joins on missing ids
+
+add("landed_payloads", [],
+    f"""SELECT o_orderkey, CASE WHEN o_orderdate NOT BETWEEN DATE '{P0}-01-01' AND DATE '{P0}-12-31' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS o_orderdate,
+    CASE WHEN old THEN floor(o_totalprice) ELSE {r('o_totalprice')} END AS amount, CASE WHEN NOT old THEN o_custkey % 2 = 0 END AS is_even,
+    CASE WHEN NOT old THEN '{{"customer":' || o_custkey || ',"list":[1,2]}}' END AS nested_detail, CASE WHEN NOT old THEN 'note ' || o_orderpriority END AS note,
+    CASE WHEN old THEN o_orderstatus END AS o_orderstatus FROM (SELECT *, year(o_orderdate) = {P0} AS old FROM orders)""")
+add("ingest_order", [], "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ingest_seq FROM orders")
+add("clean_names", [],
+    f"""SELECT o_orderkey AS order_key, o_custkey AS order_key_2, {r('o_totalprice')} AS order_key_3, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS x1st_date,
+    o_orderstatus AS percent_done_number, o_orderpriority AS x FROM orders""")
+add("attach_null_ids", ["ev"],
+    """SELECT ingest_seq, a.play_id, derived_seq FROM (SELECT ingest_seq, CASE WHEN ingest_seq % 40 <> 0 THEN play_id END AS play_id FROM ev) a
+    LEFT JOIN (SELECT CASE WHEN ingest_seq % 4999 <> 1 THEN play_id END AS play_id, ingest_seq AS derived_seq FROM ev WHERE ingest_seq % 3 = 0 OR ingest_seq % 4999 = 1) b
+    ON a.play_id IS NOT DISTINCT FROM b.play_id""")
+RESUMED = "SELECT * REPLACE (CAST(datediff('day', DATE '2024-01-01', game_date) // 2 * 3 + game_pk % 3 AS BIGINT) AS game_pk) FROM ev"
+for _name, _scope in (("tempo_resumed", "year, game_pk"), ("tempo_season_lag", "year")):
+    add(_name, ["ev"],
+        f"""SELECT ingest_seq, inning_count, {r('CASE WHEN inning_count <> 1 THEN gap_us / 1e6 END')} AS pitch_tempo FROM (SELECT ingest_seq,
+        row_number() OVER (PARTITION BY year, pitcher_name, game_pk, inning ORDER BY game_date, start_time NULLS LAST, ingest_seq) AS inning_count,
+        epoch_us(start_time) - lag(epoch_us(start_time)) OVER (PARTITION BY {_scope} ORDER BY game_date, game_pk, start_time NULLS LAST, ingest_seq) AS gap_us
+        FROM resumed WHERE is_pitch) UNION ALL BY NAME SELECT ingest_seq, NULL::BIGINT AS inning_count, NULL::DOUBLE AS pitch_tempo FROM resumed WHERE NOT is_pitch""",
+        resumed=RESUMED)
+add("group_number", ["ev"],
+    """SELECT ingest_seq, pitcher_name, game_pk, inning, dense_rank() OVER (ORDER BY pitcher_name NULLS LAST, game_pk, inning) AS group_number FROM ev WHERE is_pitch""")
+add("group_number_hot", [],
+    """SELECT l_orderkey, l_linenumber, part, dense_rank() OVER (ORDER BY part NULLS LAST) AS group_number
+    FROM (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE nullif(l_partkey, 7) END AS part FROM lineitem)""")
+add("rank_many", [],
+    """SELECT o_orderkey, price, rank() OVER (ORDER BY price DESC) AS position FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 100) AS BIGINT) AS price FROM orders)""")
+add("leaderboard_outputs", ["star"],
+    f"""SELECT *, count(*) OVER (PARTITION BY pitch_code) AS n_rows, 'unchanged' AS status FROM ({BOARD.replace("> 50", "> 25")})""")

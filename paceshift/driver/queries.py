@@ -12,11 +12,12 @@ from ..functions import scalars as S
 from ..operators import profile, reshape
 from ..operators.cohort import qualify
 from ..operators.distribution import histogram, kernel_density
-from ..operators.reuse import written_once
+from ..operators.numbering import group_numbers, rank_descending, split_order
+from ..operators.reuse import shared_folder, written_once
 from ..operators.sequence import add_gap, attach_by_id, enrich, running_counts
 from ..operators.topk import bottom_k, top_k
 from ..plans import altitude, cleaning, quality, tempo
-from ..sources import landing
+from ..sources import landing, outputs, payloads
 from . import roles as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +152,42 @@ def union_seasons(spark, sf_dir):
     return reshape.union_seasons(both, reshape.all_fields(both))
 
 
+def _payload_files(spark, sf_dir):
+    """Orders landed as JSON lines: those of one period with one set of fields, the others with other fields, in another order and with wider numbers."""
+    orders = R.table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date").cast("string"))
+    old = S.in_years(orders, "o_orderdate", R.P0, R.P0)
+    folder = shared_folder(spark)
+    paths = [f"{folder}/old", f"{folder}/new"]
+    orders.where(old).select("o_orderkey", F.floor("o_totalprice").alias("amount"), "o_orderstatus", F.lit(None).cast("string").alias("note")).write.json(paths[0])
+    later = F.struct(F.col("o_custkey").alias("customer"), F.array(F.lit(1), F.lit(2)).alias("list"))
+    extra = [F.col("o_totalprice").alias("amount"), (F.col("o_custkey") % 2 == 0).alias("isEven"), F.concat(F.lit("note "), "o_orderpriority").alias("note"), later.alias("nested.detail")]
+    orders.where(~old).select(*extra, "o_orderkey", "o_orderdate").write.json(paths[1])
+    return paths
+
+
+@query
+def landed_payloads(spark, sf_dir):
+    declared = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderdate", T.DateType())])
+    return S.clean_names(payloads.read_payloads(spark, _payload_files(spark, sf_dir), declared, ["o_orderkey"]))
+
+
+@query
+def ingest_order(spark, sf_dir):
+    """Rows of files that hold the orders sorted by key, numbered in file order."""
+    folder = shared_folder(spark)
+    orders = R.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey")
+    orders.write.csv(folder)
+    rows = spark.read.schema("o_orderkey long, o_custkey long").csv(folder)
+    return split_order(rows.select("*", "_metadata.file_path", "_metadata.file_block_start"), "file_path", "file_block_start").drop("file_path", "file_block_start")
+
+
+@query
+def clean_names(spark, sf_dir):
+    messy = {"o_orderkey": "Order Key", "o_custkey": "order_key", "o_totalprice": "orderKey", "o_orderdate": "1st.Date", "o_orderstatus": "% done#", "o_orderpriority": "--"}
+    orders = R.table(spark, sf_dir, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    return S.clean_names(orders.select(*[F.col(a).alias(b) for a, b in messy.items()]))
+
+
 @query
 def split_name(spark, sf_dir):
     listed = R.table(spark, sf_dir, "customer").select(
@@ -240,6 +277,45 @@ def enrich_selfjoin(spark, sf_dir):
     return out.drop("play_id")
 
 
+@query
+def attach_null_ids(spark, sf_dir):
+    """Event ids are missing on some rows of both sides, and match each other."""
+    seq = F.col("ingest_seq")
+    rows = R.event_rows(spark, sf_dir).select("ingest_seq", F.when(seq % 40 != 0, F.col("play_id")).alias("play_id"))
+    derived = R.event_rows(spark, sf_dir).where((seq % 3 == 0) | (seq % 4999 == 1)).select(F.when(seq % 4999 != 1, F.col("play_id")).alias("play_id"), seq.alias("derived_seq"))
+    return attach_by_id(rows, derived, "play_id", null_ids="match", rows_per_task=2000)
+
+
+def _resumed_games(spark, sf_dir):
+    """Games that go on on the next date, in the same innings."""
+    rows = R.event_rows(spark, sf_dir)
+    return rows.withColumn("game_pk", F.expr("cast(datediff(game_date, date'2024-01-01') div 2 * 3 + game_pk % 3 AS bigint)"))
+
+
+@query
+def tempo_resumed(spark, sf_dir):
+    return enrich(_resumed_games(spark, sf_dir), R.EVENT_COLUMNS).select("ingest_seq", "inning_count", "pitch_tempo")
+
+
+@query
+def tempo_season_lag(spark, sf_dir):
+    return enrich(_resumed_games(spark, sf_dir), R.EVENT_COLUMNS, lag_scope="season").select("ingest_seq", "inning_count", "pitch_tempo")
+
+
+@query
+def group_number(spark, sf_dir):
+    rows = R.event_rows(spark, sf_dir).where("is_pitch").select("ingest_seq", "pitcher_name", "game_pk", "inning")
+    return group_numbers(rows, ["pitcher_name", "game_pk", "inning"])
+
+
+@query
+def group_number_hot(spark, sf_dir):
+    """One key holds a third of the rows, some have none, and numbers are joined by a shuffle."""
+    part = F.when(F.col("l_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.nullif("l_partkey", F.lit(7)))
+    rows = R.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", part.cast("long").alias("part"))
+    return group_numbers(rows, ["part"], broadcast_rows=10)
+
+
 @query
 def topk_ties(spark, sf_dir):
     return tempo.longest_tempos(_enriched(spark, sf_dir), 50).select("ingest_seq", "game_pk", "pitch_tempo")
@@ -453,6 +529,16 @@ def fit_line(spark, sf_dir):
     return _coarse(quality.velo_spin_fit(quality.leaderboards(R.star(spark, sf_dir), None, 50, **PER)))
 
 
+@query
+def leaderboard_outputs(spark, sf_dir):
+    """One output per pitch type, written twice and read back with the status of the second run."""
+    board = written_once(quality.leaderboards(R.star(spark, sf_dir), None, 25, **PER))
+    folder = shared_folder(spark)
+    outputs.write_outputs(board, folder, "pitch_code")
+    again = outputs.write_outputs(board, folder, "pitch_code").select("pitch_code", "n_rows", "status")
+    return outputs.read_outputs(spark, folder, board.schema).join(again, "pitch_code")
+
+
 @query
 def season_velo(spark, sf_dir):
     return quality.by_type(R.star(spark, sf_dir), ["velo"], MIN_PITCHES, MIN_TYPE_ROWS, **PER)
@@ -515,6 +601,22 @@ def ols_variant(spark, sf_dir):
     return _without_sums(quality.change_models(rows, "velo", **options))
 
 
+@query
+def ols_summary(spark, sf_dir):
+    return quality.change_summary(R.star(spark, sf_dir), "velo", **_delta())
+
+
+@query
+def ols_summary_spin(spark, sf_dir):
+    return quality.change_summary(R.star(spark, sf_dir), "spin_rate", **_delta())
+
+
+@query
+def ols_summary_variant(spark, sf_dir):
+    rows = R.star(spark, sf_dir).where(F.col("pitch_code") == "A")
+    return quality.change_summary(rows, "velo", **{**_delta(), "where": F.col("inning_count") != 1})
+
+
 def _variant(spark, sf_dir, measure):
     rows = R.star(spark, sf_dir).where(F.col("pitch_code") == "A")
     return quality.change_points(rows, measure, **{**_delta(), "where": F.col("inning_count") != 1})
@@ -572,6 +674,13 @@ def altitude_rank(spark, sf_dir):
     return altitude.altitude_ranking(R.supplier_parks(spark, sf_dir))
 
 
+@query
+def rank_many(spark, sf_dir):
+    """Orders by price from the top, too many for one window."""
+    price = F.floor(F.col("o_totalprice") / 100).alias("price")
+    return rank_descending(R.table(spark, sf_dir, "orders").select("o_orderkey", price), "price", window_rows=100)
+
+
 @query
 def altitude_bands(spark, sf_dir):
     return altitude.band_counts(R.supplier_parks(spark, sf_dir))
@@ -635,3 +744,8 @@ def fe_altitude(spark, sf_dir):
 @query
 def fe_effects(spark, sf_dir):
     return _grid(spark, sf_dir, "all", types=("A",), model_years=(R.P1,), effects=True)
+
+
+@query
+def fe_coefficients(spark, sf_dir):
+    return _grid(spark, sf_dir, "type", effects="table")

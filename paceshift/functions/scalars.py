@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,3 +59,39 @@ def snake_case(name: str) -> str:
     """``pitchData.startSpeed`` -> ``pitch_data_start_speed``, ``PARKID`` -> ``parkid``."""
     name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
     return re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_").lower()
+
+
+# Signs that become words in a cleaned name, and what stands before a leading digit or for an empty name.
+SIGNS = {"%": "percent", "#": "number"}
+LEADING = "x"
+
+
+def cleaned_names(names: Sequence[str]) -> dict[str, str]:
+    """A clean, distinct name for each name of a table, in order: snake case, signs as words, ``x`` before a leading digit.
+
+    A name that comes out like one before it gets the first free number from 2 on (``a``, ``a_2``); numbers step over names that are there already
+    or come later. The names themselves must be distinct.
+    """
+    plain = []
+    for name in names:
+        for sign, word in SIGNS.items():
+            name = name.replace(sign, f"_{word}_")
+        name = snake_case(name)
+        plain.append(LEADING + name if not name or name[0].isdigit() else name)
+    taken: set[str] = set()
+    out = {}
+    for name, new in zip(names, plain, strict=True):
+        if name in out:
+            raise ValueError(f"the column {name} is there twice")
+        k, free = 1, new
+        while free in taken or (k > 1 and free in plain):
+            k += 1
+            free = f"{new}_{k}"
+        taken.add(free)
+        out[name] = free
+    return out
+
+
+def clean_names(df: DataFrame) -> DataFrame:
+    """The table under ``cleaned_names`` of its columns."""
+    return df.toDF(*cleaned_names(df.columns).values())

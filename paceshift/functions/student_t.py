@@ -1,6 +1,6 @@
-"""Student-t tail probability and quantile.
+"""Tail probabilities of Student's t and of F, and the t quantile.
 
-Spark SQL has no t distribution. Both functions are Arrow-batched and run only on model rows (one per
+Spark SQL has neither distribution. The functions are Arrow-batched and run only on model rows (one per
 fitted line), never on events.
 """
 
@@ -60,6 +60,13 @@ def two_sided_p_value(t: float | None, df: float | None) -> float | None:
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
+def f_tail_value(f: float | None, df1: float | None, df2: float | None) -> float | None:
+    """Probability of a larger F with df1 and df2 degrees of freedom."""
+    if f is None or df1 is None or df2 is None or math.isnan(f) or math.isnan(df1) or math.isnan(df2) or df1 <= 0 or df2 <= 0:
+        return None
+    return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * max(f, 0.0)))
+
+
 def t_quantile_value(p: float, df: float | None) -> float | None:
     """Upper quantile for 0.5 < p < 1 by bisection on the tail probability."""
     if df is None or math.isnan(df) or df <= 0:
@@ -86,6 +93,15 @@ def _t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile_value(a, b) for a, b in zip(p, df)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+    return pd.Series([f_tail_value(*x) for x in zip(f, df1, df2)], dtype="float64")
+
+
+def f_tail(f: str | Column, df1: str | Column, df2: str | Column) -> Column:
+    return _f_tail(col(f).cast("double"), col(df1).cast("double"), col(df2).cast("double"))
+
+
 def two_sided_p(t: str | Column, df: str | Column) -> Column:
     return _two_sided_p(col(t).cast("double"), col(df).cast("double"))
 

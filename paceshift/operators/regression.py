@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.student_t import t_quantile, two_sided_p
+from ..functions.student_t import f_tail, t_quantile, two_sided_p
+from .ordered import exact_quantiles
+from .reuse import join_small, written_once
 
 
 def _positive(x: Column) -> Column:
@@ -58,6 +60,38 @@ def simple_ols(df: DataFrame, keys: Sequence[str], y: str, x: str, p_values: boo
     return out.drop("sxy", "syy", "min_x", "max_x")
 
 
+def line_summary(df: DataFrame, keys: Sequence[str], y: str, x: str, p_values: bool = True) -> DataFrame:
+    """The whole printed summary of a line per group: coefficients, the least, greatest and quartiles of the residuals, residual
+    error, both forms of R squared, and F with its degrees of freedom and tail.
+
+    Residuals take a second pass, in which the fitted lines (a row for each group) join the points; the quartiles are exact, found through
+    cell counts, so that a group of any size is neither sorted nor gathered as a whole. Rows lacking y or x are ignored.
+    """
+    lines = written_once(simple_ols(df, keys, y, x, p_values))
+    points = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    fitted = join_small(points, lines.select(*keys, F.col("intercept").alias("__b0"), F.col("slope").alias("__b1")), list(keys), F.xxhash64(y, x))
+    residuals = fitted.select(*keys, (F.col(y) - (F.col("__b0") + F.col("__b1") * F.col(x))).alias("residual"))
+    probs = {"residual_min": 0.0, "residual_q1": 0.25, "residual_median": 0.5, "residual_q3": 0.75, "residual_max": 1.0}
+    quartiles = exact_quantiles(residuals, keys, "residual", probs).drop("n").withColumnsRenamed({k: f"__q_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__q_{k}"))
+    out = lines.join(quartiles, match, "left").drop(*[f"__q_{k}" for k in keys])
+    df_resid = F.when(F.col("df") > 0, F.col("df"))
+    out = out.withColumns(
+        {
+            "residual_error": F.sqrt("sigma2"),
+            "adjusted_r_squared": 1.0 - (1.0 - F.col("r_squared")) * (F.col("n") - 1) / df_resid,
+            "f_statistic": F.col("slope") * F.col("slope") * F.col("sxx") / F.nullif(F.col("sigma2"), F.lit(0.0)),
+            "f_df1": F.when(F.col("slope").isNotNull(), F.lit(1).cast("long")),
+            "f_df2": F.col("df"),
+        }
+    )
+    if p_values:
+        out = out.withColumn("f_p", f_tail("f_statistic", "f_df1", "f_df2"))
+    return out.drop("sxx", "mean_x", "sigma2")
+
+
 def fit_band(
     df: DataFrame, keys: Sequence[str], y: str, x: str, points: int = 80, level: float = 0.95
 ) -> DataFrame:
@@ -130,12 +164,15 @@ def merge_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def solve_fixed_effects(sums: DataFrame, keys: Sequence[str], p_values: bool = True) -> DataFrame:
+COVARIANCE = ["sigma2", "v_tt", "v_tz", "v_zz"]
+
+
+def solve_fixed_effects(sums: DataFrame, keys: Sequence[str], p_values: bool = True, covariance: bool = False) -> DataFrame:
     """Fit ``y ~ t + z + one intercept per entity`` per model, from one row of sums per (model, entity).
 
     Where the moderator never varies within an entity, only t is fitted and the z columns are null.
     R squared comes in three forms: against zero, as for any model without a common intercept; within
-    entities; and against the common mean.
+    entities; and against the common mean. ``covariance=True`` adds the residual variance and the variances and covariance of the two coefficients.
     """
     size = F.col("n")
     model = (
@@ -176,6 +213,8 @@ def solve_fixed_effects(sums: DataFrame, keys: Sequence[str], p_values: bool = T
             "r2_centered": 1.0 - c("rss") / _positive(c("y2") - c("y1") * c("y1") / size),
         }
     )
+    inverse = {"v_tt": F.when(both, sigma2 * c("zz") / solvable).otherwise(sigma2 / _positive(c("tt"))), "v_tz": -sigma2 * c("tz") / solvable, "v_zz": sigma2 * c("tt") / solvable}
+    model = model.withColumns({"sigma2": sigma2, **inverse})
     columns = []
     for v in "tz":
         model = model.withColumn(f"t_{v}", c(f"b_{v}") / F.nullif(c(f"se_{v}"), F.lit(0.0)))
@@ -184,19 +223,48 @@ def solve_fixed_effects(sums: DataFrame, keys: Sequence[str], p_values: bool = T
             model = model.withColumn(f"p_{v}", two_sided_p(f"t_{v}", "df"))
             columns.append(f"p_{v}")
     return model.select(
-        *keys, *columns, "df", "n_groups", "n", "r2_uncentered", "r2_within", "r2_centered"
+        *keys, *columns, "df", "n_groups", "n", "r2_uncentered", "r2_within", "r2_centered", *(COVARIANCE if covariance else [])
     )
 
 
-def entity_effects(sums: DataFrame, model: DataFrame, keys: Sequence[str], entity: str) -> DataFrame:
-    """The intercept of each entity in its model."""
-    coefficients = model.select(*[F.col(k).alias(f"__{k}") for k in keys], "b_t", "b_z")
+def entity_effects(sums: DataFrame, model: DataFrame, keys: Sequence[str], entity: str, p_values: bool = True) -> DataFrame:
+    """The intercept of each entity in its model, with standard error, t and p. ``model`` was solved with ``covariance=True``.
+
+    An intercept is the entity's mean of y less the coefficients times its means, so its variance is that of the mean plus that
+    of the coefficients seen from there: no model matrix with a column for each entity is needed.
+    """
+    coefficients = model.select(*[F.col(k).alias(f"__{k}") for k in keys], "b_t", "b_z", "df", *COVARIANCE)
     match = F.lit(True)
     for k in keys:
         match = match & (F.col(k) == F.col(f"__{k}"))
-    effect = (
-        F.col("mean_y")
-        - F.col("b_t") * F.col("mean_t")
-        - F.coalesce(F.col("b_z") * F.col("mean_z"), F.lit(0.0))
-    )
-    return sums.where(F.col("n") > 0).join(coefficients, match).select(*keys, entity, "n", effect.alias("effect"))
+    c, none = F.col, F.lit(0.0)
+    effect = c("mean_y") - c("b_t") * c("mean_t") - F.coalesce(c("b_z") * c("mean_z"), none)
+    slopes = c("mean_t") * c("mean_t") * c("v_tt") + F.coalesce(2.0 * c("mean_t") * c("mean_z") * c("v_tz") + c("mean_z") * c("mean_z") * c("v_zz"), none)
+    out = sums.where(c("n") > 0).join(coefficients, match)
+    out = out.withColumns({"effect": effect, "effect_se": F.sqrt(c("sigma2") / c("n") + slopes)})
+    out = out.withColumn("effect_t", c("effect") / F.nullif(c("effect_se"), none))
+    columns = ["n", "effect", "effect_se", "effect_t"]
+    if p_values:
+        out = out.withColumn("effect_p", two_sided_p("effect_t", "df"))
+        columns.append("effect_p")
+    return out.select(*keys, entity, *columns)
+
+
+def coefficient_table(
+    sums: DataFrame, model: DataFrame, keys: Sequence[str], entity: str, terms: tuple[str, str] = ("tempo", "moderator")
+) -> DataFrame:
+    """All coefficients of each model as rows: term, estimate, std_error, t and p; the term of an entity's intercept is its name after ``entity:``.
+
+    A moderator that cannot be fitted has no row.
+    """
+    columns = ["estimate", "std_error", "t", "p"]
+    parts = [
+        model.where(F.col(f"b_{v}").isNotNull()).select(
+            *keys, F.lit(term).alias("term"), *[F.col(f"{a}_{v}").alias(name) for a, name in zip(("b", "se", "t", "p"), columns, strict=True)]
+        )
+        for v, term in zip("tz", terms, strict=True)
+    ]
+    effects = entity_effects(sums, model, keys, entity)
+    named = F.concat(F.lit(f"{entity}:"), F.col(entity).cast("string")).alias("term")
+    parts.append(effects.select(*keys, named, *[F.col(a).alias(name) for a, name in zip(("effect", "effect_se", "effect_t", "effect_p"), columns, strict=True)]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

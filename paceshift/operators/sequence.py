@@ -204,18 +204,50 @@ def _gap_starts(cells: DataFrame, c: EventColumns) -> DataFrame:
     )
 
 
+def _season_gap_starts(cells: DataFrame, c: EventColumns) -> DataFrame:
+    """One row per slice with the start time of the last pitch before it in the whole season.
+
+    The last start is carried down levels: a date's first game takes it from the date before, a game's first slice from the
+    game before, and every other child from its neighbour. So a window holds the dates of a season, the games of a date, or the slices of a game on a date.
+    """
+    levels = [[c.season], [c.date], [c.game], ["__slice", *CUTS]]
+    level = cells.groupBy(*c.slice_keys).agg(F.max("last_start").alias("last_start"))
+    tables = [level]
+    for depth in (2, 1):  # the last slice of each game of a date, then of each date
+        keys = [k for part in levels[: depth + 1] for k in part]
+        ends = W.partitionBy(*keys).orderBy(*[F.col(k).desc_nulls_first() for k in levels[depth + 1]])
+        level = level.withColumn("__n", F.row_number().over(ends)).where(F.col("__n") == 1).select(*keys, "last_start")
+        tables.insert(0, level)
+    carried = None
+    for depth, table in enumerate(tables, 1):
+        parent, order = [k for part in levels[:depth] for k in part], levels[depth]
+        within = W.partitionBy(*parent).orderBy(*_ordered(*order))
+        # The first child has no neighbour; others take their neighbour's value even where that is missing.
+        table = table.withColumns({"__first": F.row_number().over(within) == 1, "__before": F.lag("last_start").over(within)})
+        if carried is not None:
+            above = carried.select(*[F.col(k).alias(f"__p_{k}") for k in parent], F.col("__before").alias("__above"))
+            match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__p_{k}")) for k in parent])
+            table = table.join(above, match).withColumn("__before", F.when(F.col("__first"), F.col("__above")).otherwise(F.col("__before")))
+            table = table.drop("__above", *[f"__p_{k}" for k in parent])
+        carried = table.drop("__first")
+    return carried.select(*c.slice_keys, F.col("__before").alias(c.start), F.lit(1).alias("__kind"))
+
+
 def enrich(
-    df: DataFrame, c: EventColumns = EventColumns(), counts: bool = True, gap: str | None = "pitch_tempo"
+    df: DataFrame, c: EventColumns = EventColumns(), counts: bool = True, gap: str | None = "pitch_tempo", lag_scope: str = "game"
 ) -> DataFrame:
     """Add running pitch counts and the seconds since the previous pitch.
 
     Order within a season is date, game, start time (missing last), sequence number. The season count is
     null for an unnamed pitcher, game and inning counts treat unnamed pitchers as one. The gap is null on
     a pitcher's first pitch of an inning, and everything is null on rows that are not pitches. A game
-    resumed on a later date gets the gap to that game's own previous pitch.
+    resumed on a later date gets the gap to that game's own previous pitch; with ``lag_scope="season"``, to the
+    previous pitch of the season, of whichever game, as the published table has it.
 
     With ``counts=False`` the table must already hold ``inning_count``.
     """
+    if lag_scope not in ("game", "season"):
+        raise ValueError("lag_scope is 'game' or 'season'")
     is_pitch = F.col(c.is_pitch)
     pitches = _with_slices(df.where(is_pitch), c)
     pitches, cells = _cut_large_slices(pitches, _cells(pitches, c), c)
@@ -225,7 +257,7 @@ def enrich(
         rows = rows.withColumns({name: F.lit(1).cast("long") for name in COUNTS})
         starts += _count_starts(cells, c)
     if gap:
-        starts.append(_gap_starts(cells, c))
+        starts.append(_gap_starts(cells, c) if lag_scope == "game" else _season_gap_starts(cells, c))
     carried = written_once(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), starts))
     rows = rows.unionByName(carried, allowMissingColumns=True).repartition(*c.slice_keys)
 
@@ -261,20 +293,46 @@ def running_counts(df: DataFrame, c: EventColumns = EventColumns()) -> DataFrame
     return enrich(df, c, counts=True, gap=None)
 
 
-def add_gap(df: DataFrame, c: EventColumns = EventColumns(), name: str = "pitch_tempo") -> DataFrame:
-    """Seconds since the previous pitch of the game; needs ``inning_count``."""
-    return enrich(df, c, counts=False, gap=name)
+def add_gap(df: DataFrame, c: EventColumns = EventColumns(), name: str = "pitch_tempo", lag_scope: str = "game") -> DataFrame:
+    """Seconds since the previous pitch of the game, or of the season; needs ``inning_count``."""
+    return enrich(df, c, counts=False, gap=name, lag_scope=lag_scope)
 
 
-def attach_by_id(df: DataFrame, derived: DataFrame, key: str) -> DataFrame:
+def attach_by_id(
+    df: DataFrame, derived: DataFrame, key: str, null_ids: str = "error", max_null_pairs: int = 100_000_000, rows_per_task: int = 1_000_000
+) -> DataFrame:
     """Left-join a derived per-event frame back on an event id; a repeated id multiplies rows.
 
-    Derived rows must have an id: a missing one would pair with every row that has none. The windows above
-    need no such join; this one is for frames derived elsewhere.
+    By default derived rows must have an id: a missing one would pair with every row that has none. The windows above
+    need no such join; this one is for frames derived elsewhere. ``null_ids="match"`` lets missing ids match missing
+    ids. The pairs that this makes are counted first, and more than ``max_null_pairs`` are an error. Both sides are dealt over a grid of
+    tasks by a hash of their rows, so that no task holds all rows without an id nor makes many more than ``rows_per_task`` pairs.
     """
-    checked = derived.withColumn(
-        "__id", F.when(F.col(key).isNotNull(), F.col(key)).otherwise(F.raise_error(F.lit(f"derived row without {key}")))
-    ).drop(key)
-    with_id = df.where(F.col(key).isNotNull())
-    joined = with_id.join(checked, with_id[key] == F.col("__id"), "left").drop("__id")
-    return joined.unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
+    if null_ids not in ("error", "match"):
+        raise ValueError("null_ids is 'error' or 'match'")
+    with_id, without = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
+    if null_ids == "error":
+        checked = F.when(F.col(key).isNotNull(), F.col(key)).otherwise(F.raise_error(F.lit(f"derived row without {key}")))
+        named = derived.withColumn("__id", checked).drop(key)
+    else:
+        named = derived.where(F.col(key).isNotNull()).withColumnRenamed(key, "__id")
+    joined = with_id.join(named, with_id[key] == F.col("__id"), "left").drop("__id")
+    if null_ids == "error":
+        return joined.unionByName(without, allowMissingColumns=True)
+    loose = derived.where(F.col(key).isNull()).drop(key)
+    n, m = without.count(), loose.count()
+    if n * m > max_null_pairs:
+        raise ValueError(f"{n} rows without {key} and {m} derived ones make {n * m} pairs, more than {max_null_pairs}")
+    if not m:
+        return joined.unionByName(without, allowMissingColumns=True)
+    cells = -(-n * m // rows_per_task)
+    # Of cells tasks, so many rows and columns that a cell is about square; rows are repeated for each column and the other way round.
+    down = max(1, min(cells, round((cells * n / m) ** 0.5))) if n else 1
+    across = -(-cells // down) if cells else 1
+
+    def grid(side: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(own_n))
+        return side.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long"))))
+
+    pairs = grid(without, "__row", down, "__column", across).join(grid(loose, "__column", across, "__row", down), ["__row", "__column"])
+    return joined.unionByName(pairs.drop("__row", "__column"))

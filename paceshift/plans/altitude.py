@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import recode, round_to
 from ..operators.distribution import kernel_density
+from ..operators.numbering import rank_descending
 from ..operators.ordered import cell_counts, exact_quantiles
 from ..operators.periods import in_periods, spread
 from ..operators.reuse import written_once
-from ..operators.regression import entity_effects, entity_sums, merge_sums, solve_fixed_effects
+from ..operators.regression import coefficient_table, entity_effects, entity_sums, merge_sums, solve_fixed_effects
 from .tempo import CAP, PERIODS, PITCHER, TEMPO, mean_tempo, pitches
 
 # Abbreviations that differ between the park list and the team list.
@@ -46,11 +46,12 @@ def altitude_band(altitude: str = "altitude") -> Column:
 def altitude_ranking(parks: DataFrame) -> DataFrame:
     """Complete parks from high to low, with label and band; parks of equal altitude share a position.
 
-    The label has the abbreviation as the list of parks gives it. Parks number in the dozens, so one window ranks them.
+    The label has the abbreviation as the list of parks gives it. Parks usually number in the dozens: they are counted, and one window ranks them
+    only if they are few.
     """
     label = F.concat("park_name", F.lit(" ("), "abbr", F.lit(")"))
     complete = parks.withColumn("label", label).withColumn("abbr", clean_abbr()).dropna()
-    ranked = complete.withColumn("position", F.rank().over(W.orderBy(F.desc("altitude"))).cast("long"))
+    ranked = rank_descending(written_once(complete), "altitude")
     return ranked.select(
         "position", "home_team", "park_name", "abbr", "altitude", altitude_band().alias("band"), "label"
     ).orderBy(F.desc("altitude"), "home_team")
@@ -176,14 +177,15 @@ def fixed_effects_grid(
     outcome: str = "start_speed",
     key: str = PITCHER,
     p_values: bool = True,
-    effects: bool = False,
+    effects: bool | str = False,
 ) -> DataFrame:
     """Velocity on tempo, tempo at the flagged park, and one intercept per pitcher, for each pitch type
     and season, over pitchers who qualify on that type in both seasons.
 
     ``row_scope="type"`` fits pitches of the type; ``"all"`` fits all pitches of those pitchers, as the
     published table does. The events are read once for all models; the cohort joins sums per pitcher.
-    ``effects=True`` returns the pitchers' intercepts instead.
+    ``effects=True`` returns the pitchers' intercepts instead, with standard error, t and p; ``effects="table"`` the whole
+    coefficient table.
     """
     rows = with_park(events.where(in_periods(periods)), parks, "abbr")
     moderator = F.when(flag, 1.0).when(~flag, 0.0)
@@ -219,7 +221,7 @@ def altitude_model(
     outcome: str = "start_speed",
     key: str = PITCHER,
     p_values: bool = True,
-    effects: bool = False,
+    effects: bool | str = False,
 ) -> DataFrame:
     """The same model with altitude as the moderator. By default the first pitch of a plate appearance is
     included and only the first period is fitted."""
@@ -246,7 +248,11 @@ def _grid(
     entities = _model_entities(sums, periods, min_pitches, row_scope, min_type_rows, types, key)
     if model_years is not None:
         entities = entities.where(F.col("year").isin(*model_years))
-    model = solve_fixed_effects(entities, ["pitch_code", "year"], p_values)
-    if effects:
-        return entity_effects(entities, model, ["pitch_code", "year"], key)
-    return model
+    keys = ["pitch_code", "year"]
+    if not effects:
+        return solve_fixed_effects(entities, keys, p_values)
+    entities = written_once(entities)
+    model = written_once(solve_fixed_effects(entities, keys, effects == "table" or p_values, covariance=True))
+    if effects == "table":
+        return coefficient_table(entities, model, keys, key, ("pitch_tempo", "pitch_tempo:moderator"))
+    return entity_effects(entities, model, keys, key, p_values)

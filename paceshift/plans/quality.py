@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import round_to
 from ..operators.periods import by_period, change, in_periods
-from ..operators.regression import fit_band, simple_ols
+from ..operators.regression import fit_band, line_summary, simple_ols
 from ..operators.reuse import written_once
 from .tempo import CAP, PERIODS, PITCHER, TEMPO
 
@@ -161,6 +161,12 @@ def change_models(events: DataFrame, measure: str = "velo", p_values: bool = Tru
     return simple_ols(points, ["pitch_code"], f"diff_{measure}", "diff_tempo", p_values)
 
 
+def change_summary(events: DataFrame, measure: str = "velo", p_values: bool = True, **options) -> DataFrame:
+    """The whole printed summary of the same lines: coefficients, residuals, residual error, R squared, F."""
+    points = written_once(change_points(events, measure, **options))  # a row for each pitcher and type
+    return line_summary(points, ["pitch_code"], f"diff_{measure}", "diff_tempo", p_values)
+
+
 def change_table(models: DataFrame, compat: bool = False) -> DataFrame:
     """The short result table. ``compat=True`` reports the intercept and its p-value under the name of the
     tempo coefficient, as the published table does; the default reports the slope."""

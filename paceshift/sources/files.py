@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schemas import ENRICHED, EVENT_HEADER, EVENTS, REQUIRED
+from ..functions.scalars import clean_names
+from ..operators.numbering import split_order
+from .schemas import ENRICHED, EVENT_HEADER, EVENTS, PARKS_RAW, REQUIRED
 
 CORRUPT = "_corrupt_record"
+#: Columns that say which file and which place in it a row was read from.
+PLACE = ["__file", "__start"]
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
@@ -21,7 +25,7 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType, null_value: str | None = "NA",
-    fail_on_bad_rows: bool = True, optional: Collection[str] = (),
+    fail_on_bad_rows: bool = True, optional: Collection[str] = (), with_place: bool = False,
 ) -> DataFrame:
     """CSV with a header, under a declared schema; empty fields, ``null_value`` and NaN are missing.
 
@@ -29,7 +33,8 @@ def read_csv(
     error). A column of the schema that a header lacks is an error unless ``optional`` names it, in which case it
     is null; columns that the schema lacks are left out. ``null_value=None`` keeps the text ``NA``. A row that
     does not parse is an error unless ``fail_on_bad_rows`` is off, in which case it is kept with its text in
-    ``_corrupt_record``. One line is read of each path when this is called.
+    ``_corrupt_record``. ``with_place`` adds the path and the first byte of the split of each row as ``__file`` and ``__start``. One
+    line is read of each path when this is called.
     """
     fields = {f.name: f for f in schema.fields}
     out = list(schema.fields)
@@ -49,7 +54,8 @@ def read_csv(
         if not fail_on_bad_rows:
             reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
         read = reader.schema(declared).csv(one)
-        parts.append(read.select(*[(F.col(f"`{f.name}`") if f.name in declared.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in out]))
+        place = [F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1])] if with_place else []
+        parts.append(read.select(*[(F.col(f"`{f.name}`") if f.name in declared.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in out], *place))
     df = reduce(lambda a, b: a.unionByName(b), parts)
     texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     numbers = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
@@ -73,12 +79,17 @@ def read_raw_events(spark: SparkSession, path: str | Sequence[str], rename: Mapp
     """Raw event files, each with the header it has, cut to the known columns.
 
     Columns that a header lacks become typed nulls, but a missing required one is an error. ``ingest_seq`` numbers the
-    rows: in file order within a file, and the files in the order of their paths where each is one split. It is fixed once,
-    when the table is written; do not use it before.
+    rows densely from 0, the files in the order of their paths and rows in file order, however large files are split. Rows are counted by split when this is called.
     """
     paths = [path] if isinstance(path, str) else sorted(path)
-    raw = read_csv(spark, paths, raw_schema(rename), optional=set(rename) - set(required))
-    return renamed(raw, rename).select(*[f.name for f in EVENTS.fields], F.monotonically_increasing_id().alias("ingest_seq"))
+    raw = read_csv(spark, paths, raw_schema(rename), optional=set(rename) - set(required), with_place=True)
+    known = renamed(raw, {**rename, **{p: p for p in PLACE}}).select(*[f.name for f in EVENTS.fields], *PLACE)
+    return split_order(known, *PLACE)
+
+
+def read_parks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The park list under clean names; the text ``NA`` is a league, not a missing value."""
+    return clean_names(read_csv(spark, path, PARKS_RAW, null_value=None))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import in_years
-from . import files
-from .schemas import EVENTS, REQUIRED
+from ..functions.scalars import cleaned_names, in_years
+from . import files, payloads
+from .schemas import EVENT_HEADER, EVENTS, REQUIRED
 
 
 def calendar(bounds: DataFrame, start: str = "start", end: str = "end", name: str = "date") -> DataFrame:
@@ -48,16 +48,22 @@ def games_on_days(schedule: DataFrame, days: DataFrame, game: str = "game_pk", d
     return rows.groupBy(game).agg(F.count("*").alias("n"))
 
 
-def landed_events(spark: SparkSession, paths: Sequence[str], fmt: str = "json", required: Sequence[str] = REQUIRED) -> DataFrame:
+def landed_events(spark: SparkSession, paths: Sequence[str], fmt: str = "json", required: Sequence[str] = REQUIRED, unknown: str = "drop") -> DataFrame:
     """All landed event files (JSON lines or CSV, under the raw field names) as one table.
 
     Columns a file lacks are null, but a required field that no row of the files has is an error. For JSON that
-    takes a look at the field names of all rows when this is called; for CSV, at each header.
+    takes a look at the field names of all rows when this is called; for CSV, at each header. ``unknown="keep"`` (JSON) also keeps every field that the
+    event schema does not have, under a clean name and with the type that its values have; see ``payloads``.
     """
+    if unknown not in ("drop", "keep") or (unknown == "keep" and fmt != "json"):
+        raise ValueError("unknown is 'drop' or, for json, 'keep'")
     if fmt == "csv":
         return files.read_raw_events(spark, list(paths), required=required).drop("ingest_seq")
     if fmt != "json":
         raise ValueError("landed files are json or csv")
+    if unknown == "keep":
+        rows = payloads.read_payloads(spark, paths, files.raw_schema(), required)
+        return payloads.renamed_fields(rows, EVENT_HEADER, cleaned_names(rows.columns))
     names = spark.read.text(list(paths)).select(F.explode(F.json_object_keys("value")).alias("name")).distinct()
     found = {r["name"] for r in names.collect()}  # as many as there are field names
     missing = [f for f in required if f not in found]

@@ -8,11 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paceshift.functions.student_t import t_quantile_value, two_sided_p_value
+from paceshift.functions.student_t import f_tail_value, t_quantile_value, two_sided_p_value
 from paceshift.operators.regression import (
+    coefficient_table,
     entity_effects,
     entity_sums,
     fit_band,
+    line_summary,
     merge_sums,
     simple_ols,
     solve_fixed_effects,
@@ -100,7 +102,7 @@ def test_fixed_effects_match_a_dense_fit(spark, merged):
     if merged:
         sums = merge_sums(sums, ["p"])
     sums = sums.withColumn("model", F.lit(1))
-    model = solve_fixed_effects(sums, ["model"])
+    model = solve_fixed_effects(sums, ["model"], covariance=True)
     r = model.collect()[0]
     names, design, y = dense(rows)
     beta, se, rss, dof = least_squares(design, y)
@@ -117,7 +119,7 @@ def test_fixed_effects_match_a_dense_fit(spark, merged):
 def test_moderator_that_never_varies_is_left_out(spark):
     rows = panel(8, flagged=False)
     sums = entity_sums(frame(spark, rows), ["p"], F.col("y"), F.col("t"), F.col("t") * F.col("flag"))
-    r = solve_fixed_effects(sums.withColumn("model", F.lit(1)), ["model"]).collect()[0]
+    r = solve_fixed_effects(sums.withColumn("model", F.lit(1)), ["model"], covariance=True).collect()[0]
     names, design, y = dense(rows)
     beta, se, _, dof = least_squares([[d[0], *d[2:]] for d in design], y)
     assert r.b_z is None and r.p_z is None and r.df == dof
@@ -152,3 +154,55 @@ def test_intermediates_use_the_sessions_folder_or_are_kept(spark, tmp_path):
         context.setCheckpointDir(str(tmp_path))
         written = written_once(df)
         assert not written.is_cached and written.count() == 10
+
+
+@pytest.mark.parametrize("flagged", [True, False])
+def test_whole_coefficient_table_matches_a_dense_fit(spark, flagged):
+    """Estimate, standard error, t and p of the slopes and of each entity's intercept, against the whole model matrix."""
+    rows = panel(5, flagged=flagged)
+    sums = entity_sums(frame(spark, rows).withColumn("m", F.lit(1)), ["m", "p"], F.col("y"), F.col("t"), F.col("t") * F.col("flag"))
+    model = solve_fixed_effects(sums, ["m"], covariance=True)
+    table = {r.term: r for r in coefficient_table(sums, model, ["m"], "p").collect()}
+    names, design, y = dense(rows)
+    terms = ["tempo", "moderator", *[f"p:{n}" for n in names]]
+    if not flagged:
+        terms, design = [t for t in terms if t != "moderator"], [[r[0], *r[2:]] for r in design]
+    design, y = np.array(design), np.array(y)
+    inverse = np.linalg.inv(design.T @ design)
+    b = inverse @ design.T @ y
+    df = len(y) - design.shape[1]
+    se = np.sqrt(np.diag(inverse) * ((y - design @ b) ** 2).sum() / df)
+    assert set(table) == set(terms)
+    for k, term in enumerate(terms):
+        row = table[term]
+        assert (row.estimate, row.std_error, row.t) == pytest.approx((b[k], se[k], b[k] / se[k]), rel=1e-7)
+        assert row.p == pytest.approx(two_sided_p_value(b[k] / se[k], df), abs=1e-12)
+
+
+def test_line_summary_against_a_dense_fit(spark):
+    r = random.Random(11)
+    rows = [(g, x, 3 + 0.5 * x + r.gauss(0, 1)) for g in "ab" for x in [r.uniform(0, 9) for _ in range(50 if g == "a" else 7)]]
+    rows += [("a", None, 1.0), ("b", 2.0, None), ("c", 1.0, 2.0), ("d", None, None)]
+    got = {x.g: x for x in line_summary(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "y", "x").collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g in "ab":
+        x, y = np.array([(a, b) for k, a, b in rows if k == g and a is not None and b is not None]).T
+        design = np.column_stack([np.ones(len(x)), x])
+        b, n = np.linalg.lstsq(design, y, rcond=None)[0], len(x)
+        e = y - design @ b
+        rss, tss = (e**2).sum(), ((y - y.mean()) ** 2).sum()
+        f = (tss - rss) / (rss / (n - 2))
+        quartiles = [getattr(got[g], f"residual_{q}") for q in ("min", "q1", "median", "q3", "max")]
+        assert quartiles == pytest.approx(np.quantile(e, [0, 0.25, 0.5, 0.75, 1]).tolist(), abs=1e-9)
+        row = got[g]
+        assert (row.residual_error, row.r_squared, row.f_statistic) == pytest.approx((np.sqrt(rss / (n - 2)), 1 - rss / tss, f))
+        assert row.adjusted_r_squared == pytest.approx(1 - rss / (n - 2) / (tss / (n - 1)))
+        assert (row.f_df1, row.f_df2) == (1, n - 2) and row.f_p == pytest.approx(row.slope_p)
+    assert got["c"].residual_error is None and got["c"].f_p is None and got["c"].n == 1
+
+
+def test_f_tail_against_printed_tables():
+    # Upper 5 % points of F.
+    for f, df1, df2 in ((4.965, 1, 10), (3.490, 3, 12), (2.711, 5, 20), (161.448, 1, 1)):
+        assert f_tail_value(f, df1, df2) == pytest.approx(0.05, abs=2e-5)
+    assert f_tail_value(0.0, 2, 9) == 1.0 and f_tail_value(None, 1, 2) is None and f_tail_value(1.0, 1, 0) is None

@@ -58,7 +58,7 @@ def test_hand_computed_table(spark, columns):
     assert not [c for c in out.columns if c.startswith("__")]
 
 
-def plain(df):
+def plain(df, lag_scope="game"):
     """The definition, with whole-season and whole-game windows."""
     order = [F.col("game_date"), F.asc_nulls_last("start_time"), F.col("ingest_seq")]
     pitches = df.where("is_pitch")
@@ -67,7 +67,8 @@ def plain(df):
         by = [F.col("game_date"), F.col("game_pk"), *order[1:]] if season else order
         return F.row_number().over(W.partitionBy("year", *keys).orderBy(*by))
 
-    last = F.lag("start_time").over(W.partitionBy("year", "game_pk").orderBy(*order))
+    scope = {"game": W.partitionBy("year", "game_pk").orderBy(*order), "season": W.partitionBy("year").orderBy("game_date", "game_pk", *order[1:])}
+    last = F.lag("start_time").over(scope[lag_scope])
     out = pitches.select(
         "*",
         F.when(F.col("pitcher_name").isNotNull(), number("pitcher_name", season=True)).alias("season_count"),
@@ -108,6 +109,15 @@ def test_same_as_plain_windows_on_skewed_random_events(spark, seed, columns):
     assert result(enrich(rows, columns)) == result(plain(rows))
 
 
+@pytest.mark.parametrize("seed,columns", list(enumerate(GRAINS)))
+def test_season_wide_lag_is_carried_over_games_and_dates(spark, seed, columns):
+    rows = spark.createDataFrame(random_events(seed + 50, 500), SCHEMA).repartition(5)
+    got = result(enrich(rows, columns, lag_scope="season"))
+    assert got == result(plain(rows, "season")) and got != result(plain(rows))
+    plan = enrich(rows, columns, lag_scope="season")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 @pytest.mark.parametrize("columns", GRAINS[3:])
 def test_slice_that_holds_one_instant_is_cut_by_sequence(spark, columns):
     rows = spark.createDataFrame(random_events(11, 400, instants=2), SCHEMA).repartition(3)
@@ -168,3 +178,17 @@ def test_attach_by_id(spark):
     unnamed = spark.createDataFrame([(None, 1)], "play_id STRING, y INT")
     with pytest.raises(Exception, match="derived row without play_id"):
         attach_by_id(left, unnamed, "play_id").collect()
+
+
+@pytest.mark.parametrize("per_task", [1, 7, 10_000])
+def test_missing_ids_match_missing_ids_where_asked(spark, per_task):
+    left = [(None if i % 3 == 0 else f"k{i % 7}", i) for i in range(60)]
+    right = [(None if i % 4 == 0 else f"k{i % 9}", i) for i in range(40)]
+    a, b = spark.createDataFrame(left, "play_id STRING, x INT"), spark.createDataFrame(right, "play_id STRING, y INT")
+    got = sorted((r.play_id or "", r.x, r.y or -1) for r in attach_by_id(a, b, "play_id", null_ids="match", rows_per_task=per_task).collect())
+    want = [(k or "", x, y or -1) for k, x in left for y in ([y for j, y in right if j == k] or [None])]
+    assert got == sorted(want)
+    only = sorted((r.x, r.y) for r in attach_by_id(a, b.where("play_id IS NOT NULL"), "play_id", null_ids="match").where("play_id IS NULL").collect())
+    assert only == [(x, None) for k, x in left if k is None]
+    with pytest.raises(ValueError, match="make 200 pairs, more than 199"):
+        attach_by_id(a, b, "play_id", null_ids="match", max_null_pairs=199)
