@@ -278,29 +278,22 @@ add("histogram_unit", ["ev"], histogram("ev", "start_speed", 120, 1))
 
 
 def add_density(name: str, views: list[str], rows: str, keys: list[str], high: int) -> None:
-    """Kernel density over `rows`, which yields the keys and `v`."""
+    """Kernel density over `rows`, which yields the keys and `v`: mass on 512 positions, smoothed from there."""
     k = ", ".join(keys)
     on = " AND ".join("{a}.%s IS NOT DISTINCT FROM {b}.%s" % (x, x) for x in keys)
     add(
         name,
         views,
-        f"""SELECT {', '.join('o.' + x for x in keys)}, CAST(o.i AS INTEGER) AS i, {r('o.x')} AS x,
-        {r('a.y + (o.pos - o.k) * (b.y - a.y)')} AS density, o.n, {r('o.bw')} AS bw
-        FROM o JOIN curve a ON {on.format(a='a', b='o')} AND a.k = o.k
-        JOIN curve b ON {on.format(a='b', b='o')} AND b.k = o.k + 1""",
+        f"""SELECT {', '.join('s.' + x for x in keys)}, CAST(p.i AS INTEGER) AS i, {r(f'p.i * ({high} / 511.0)')} AS x,
+        {r(f"sum(w * exp(-0.5 * pow((p.i - j) * ({high} / 511.0) / bw, 2))) / any_value(bw) / any_value(n) / sqrt(2 * pi())")} AS density,
+        any_value(n) AS n, {r('any_value(bw)')} AS bw
+        FROM s JOIN mass ON {on.format(a='mass', b='s')}, (SELECT range AS i FROM range(512)) p GROUP BY {', '.join('s.' + x for x in keys)}, p.i""",
         kept=f"SELECT {k}, v FROM ({rows}) WHERE v BETWEEN 0 AND {high}",
         s=f"""SELECT {k}, n, 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) AS bw FROM (SELECT {k}, count(*) AS n,
         stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM kept GROUP BY {k})""",
-        g=f"SELECT *, -4.0 * bw AS lo, ({high} + 8.0 * bw) / 511 AS step FROM s",
-        placed=f"""SELECT g.*, (kept.v - lo) / step AS pos FROM kept JOIN g ON {on.format(a='kept', b='g')}""",
-        cells=f"""SELECT {k}, n, bw, step, j, sum(w) AS w FROM (
-        SELECT *, floor(pos) AS j, (1 - (pos - floor(pos))) / n AS w FROM placed
-        UNION ALL SELECT *, floor(pos) + 1, (pos - floor(pos)) / n FROM placed) GROUP BY ALL""",
-        curve=f"""SELECT {k}, q.k, sum(w * exp(-0.5 * pow((q.k - j) * step / bw, 2))) / any_value(bw) / sqrt(2 * pi()) AS y
-        FROM cells, (SELECT CAST(range AS INTEGER) AS k FROM range(512)) q GROUP BY {k}, q.k""",
-        o=f"""SELECT *, least(floor(pos), 510) AS k FROM (
-        SELECT {k}, n, bw, i, i * ({high} / 511.0) AS x, (i * ({high} / 511.0) - lo) / step AS pos
-        FROM g, (SELECT range AS i FROM range(512)) p)""",
+        placed=f"SELECT *, least(floor(pos), 510) AS j FROM (SELECT {k}, v / ({high} / 511.0) AS pos FROM kept)",
+        mass=f"""SELECT {k}, j, sum(w) AS w FROM (SELECT {k}, j, 1 - (pos - j) AS w FROM placed
+        UNION ALL SELECT {k}, j + 1, pos - j FROM placed) GROUP BY ALL""",
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import GAUSS_NORM, cell_counts, exact_quantiles, nrd0
-from .reuse import join_small, written_once
+from .reuse import written_once
 
 
 def histogram(
@@ -28,67 +28,52 @@ def histogram(
     )
 
 
-def kernel_density(
-    df: DataFrame,
-    value: str,
-    low: float,
-    high: float,
-    keys: Sequence[str],
-    points: int = 512,
-    lattice: int = 512,
-) -> DataFrame:
-    """Gaussian kernel density per key on ``points`` positions from ``low`` to ``high``.
+def kernel_density(df: DataFrame, value: str, low: float, high: float, keys: Sequence[str], points: int = 512) -> DataFrame:
+    """Gaussian kernel density per key on ``points`` positions from ``low`` to ``high``, over the rows within these limits.
 
-    The mass of each group is spread linearly over a fixed lattice that reaches four bandwidths beyond the
-    limits, smoothed there, and interpolated. The rows are read three times (cells, quartile cells, lattice) and not
-    shuffled: each group shrinks to at most ``lattice`` weights before anything is gathered, and the smoothing costs the same for a thousand rows and for a trillion.
+    Each row's mass goes to the two positions around it, in proportion, and is smoothed from there. As positions do not depend on the
+    bandwidth, one scan gives the mass, the moments and the cells for the quartiles, combined where the rows are read: cells and
+    positions both rise with the value, so a group has no more rows than cells and positions together. A second scan opens the
+    cells that hold a quartile. No rows are kept or shuffled, and the smoothing costs the same for a thousand rows and for a trillion.
     """
     if not keys:
         raise ValueError("a density needs at least one grouping key")
     keys = list(keys)
     rows = df.where(F.col(value).between(low, high)).select(*keys, F.col(value).cast("double").alias("value"))
-    centre = (low + high) / 2.0
+    centre, step = (low + high) / 2.0, (high - low) / (points - 1)
     shifted = F.col("value") - F.lit(centre)
-    cells = written_once(cell_counts(rows, keys, "value", s1=F.sum(shifted), s2=F.sum(shifted * shifted)))
-    moments = cells.groupBy(*keys).agg(F.sum("in_cell").alias("__n"), F.sum("s1").alias("__s1"), F.sum("s2").alias("__s2"))
+    at = (F.col("value") - F.lit(low)) / F.lit(step)
+    j = F.least(F.floor(at), F.lit(points - 2)).cast("int")
+    placed = rows.withColumns({"j": j, "__share": at - j})
+    sums = {"s1": F.sum(shifted), "s2": F.sum(shifted * shifted), "w0": F.sum(1.0 - F.col("__share")), "w1": F.sum("__share")}
+    counted = written_once(cell_counts(placed, [*keys, "j"], "value", **sums))
+    cells = counted.groupBy(*keys, "cell").agg(F.sum("in_cell").alias("in_cell"), F.min("low").alias("low"), F.max("high").alias("high"))
+    moments = counted.groupBy(*keys).agg(F.sum("in_cell").alias("__n"), F.sum("s1").alias("__s1"), F.sum("s2").alias("__s2"))
     quartiles = exact_quantiles(rows, keys, "value", {"q1": 0.25, "q3": 0.75}, cells)
     quartiles = quartiles.drop("n").withColumnsRenamed({k: f"__q_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__q_{k}")) for k in keys])
+
+    def same(prefix: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+
     n = F.col("__n")
     variance = (F.col("__s2") - F.col("__s1") * F.col("__s1") / n) / (n - 1)
     sd = F.sqrt(F.greatest(variance, F.lit(0.0)))
     mean = F.lit(centre) + F.col("__s1") / n
     width = nrd0(sd, F.col("q3") - F.col("q1"), n, mean)
-    spread = written_once(moments.where(n > 1).join(quartiles, same).select(*keys, n, width.alias("bw")))
-    start = F.lit(low) - 4.0 * F.col("bw")
-    step = (F.lit(high - low) + 8.0 * F.col("bw")) / F.lit(lattice - 1)
-    placed = join_small(rows, spread, keys, F.col("value"))
-    placed = placed.withColumn("__at", (F.col("value") - start) / step)
-    share = F.col("__at") - F.floor("__at")
-    # Each row adds to the two lattice points around it: one sum for each point, combined where the rows are read.
-    sums = placed.groupBy(*keys, n, "bw", F.floor("__at").cast("int").alias("j")).agg(F.sum((1.0 - share) / n).alias("w0"), F.sum(share / n).alias("w1"))
     both = F.array(F.struct(F.col("j"), F.col("w0").alias("w")), F.struct((F.col("j") + 1).alias("j"), F.col("w1").alias("w")))
-    weights = sums.select(*keys, n, "bw", F.explode(both).alias("p")).groupBy(*keys, "__n", "bw", "p.j").agg(F.sum("p.w").alias("w"))
-    # At most `lattice` + 1 elements per group, whatever its number of rows.
-    gathered = weights.groupBy(*keys, "__n", "bw").agg(
-        F.sort_array(F.collect_list(F.struct("j", "w"))).alias("cells")
-    )
+    weights = counted.select(*keys, F.explode(both).alias("p")).groupBy(*keys, "p.j").agg(F.sum("p.w").alias("w"))
+    # At most `points` elements per group, whatever its number of rows.
+    gathered = weights.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("mass"))
+    gathered = gathered.withColumnsRenamed({k: f"__g_{k}" for k in keys})
+    widths = moments.where(n > 1).join(quartiles, same("__q_")).select(*keys, n, width.alias("bw"))
+    groups = widths.join(gathered, same("__g_")).select(*keys, "__n", "bw", "mass")
 
-    def smooth(k: Column) -> Column:
-        def add(total: Column, cell: Column) -> Column:
-            z = (k - cell["j"]) * step / F.col("bw")
-            return total + cell["w"] * F.exp(F.lit(-0.5) * z * z)
+    def add(total: Column, cell: Column) -> Column:
+        z = (F.col("i") - cell["j"]) * F.lit(step) / F.col("bw")
+        return total + cell["w"] * F.exp(F.lit(-0.5) * z * z)
 
-        return F.aggregate(F.col("cells"), F.lit(0.0), add) * F.lit(GAUSS_NORM) / F.col("bw")
-
-    at_points = gathered.select(
-        *keys, "__n", "bw", "cells", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    )
-    x = F.lit(low) + F.col("i") * F.lit((high - low) / (points - 1))
-    located = at_points.withColumn("x", x).withColumn("__at", (F.col("x") - start) / step)
-    located = located.withColumn("__k", F.least(F.floor("__at"), F.lit(lattice - 2)))
-    here, there = smooth(F.col("__k")), smooth(F.col("__k") + 1)
-    part = F.col("__at") - F.col("__k")
-    return located.select(
-        *keys, F.col("i"), "x", ((1.0 - part) * here + part * there).alias("density"), F.col("__n").alias("n"), "bw"
-    )
+    # Spread again, as a few groups would otherwise be smoothed in a few tasks.
+    located = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).repartition(*keys, "i")
+    curve = F.aggregate(F.col("mass"), F.lit(0.0), add) * F.lit(GAUSS_NORM) / (F.col("bw") * n)
+    x = F.lit(low) + F.col("i") * F.lit(step)
+    return located.select(*keys, "i", x.alias("x"), curve.alias("density"), n.alias("n"), "bw")

@@ -57,7 +57,7 @@ def exact_quantiles(
     """Interpolated quantiles (the default rule of R and of SQL percentile_cont) per key, with the number of values ``n``.
 
     A first pass counts rows per cell (or ``cells`` holds that already, as ``cell_counts`` of the same rows gives it). A
-    second pass reads only the rows of the cells that hold a wanted rank. As long as one of these has more than
+    second pass reads only the rows of the cells that hold a wanted rank; where all of these hold one value each, there is none. As long as one has more than
     ``max_rows`` rows that are not all equal, it is cut into equal spans and counted again. Missing values and NaN are left out.
     """
     keys = list(keys)
@@ -79,11 +79,18 @@ def exact_quantiles(
     counted = written_once(cell_counts(df, keys, value)) if cells is None else cells
     cells = counted.where(F.col("cell").isNotNull()).select(*keys, "cell", "in_cell", "low", "high")
     cells = cells.withColumns({"below": _before("in_cell", keys, "cell"), "n": F.sum("in_cell").over(W.partitionBy(*keys))})
+    known = []
     while True:
         slot = F.row_number().over(W.partitionBy(*keys).orderBy("cell")) - 1
         cells = written_once(cells.where(wanted).withColumn("__slot", slot.cast("long")))
-        n_cells, crowd = cells.agg(F.count("*"), F.max(F.when(F.col("low") < F.col("high"), in_cell))).first()
-        crowded = crowd is not None and crowd > max_rows
+        # Where the lowest and the highest value are one, the cell need not be opened.
+        settled = cells.where(F.col("low") == F.col("high"))
+        known.append(settled.select(*keys, F.col("low").alias("value"), "n", F.col("below").alias("__start"), (F.col("below") + F.col("in_cell")).alias("__end")))
+        cells = cells.where(F.col("low") < F.col("high"))
+        n_cells, crowd = cells.agg(F.count("*"), F.max("in_cell")).first()
+        if not n_cells:
+            break
+        crowded = crowd > max_rows
         located = join_small(rows, cells, [*keys, "cell"], F.col("value"), small_rows=n_cells, salts=SALTS if crowded else 1)
         if not crowded:
             break
@@ -97,11 +104,12 @@ def exact_quantiles(
             *keys, number_of, "in_cell", F.col("__low").alias("low"), F.col("__high").alias("high"), "below", "n"
         )
         rows = finer.select(*keys, "value", number_of)
-    counts = located.groupBy(*keys, "cell", "value").agg(F.count("*").alias("freq"), F.max("below").alias("below"), F.max("n").alias("n"))
-    upto = W.partitionBy(*keys, "cell").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counts = counts.withColumn("__end", F.col("below") + F.sum("freq").over(upto)).withColumn(
-        "__start", F.col("__end") - F.col("freq")
-    )
+    if n_cells:
+        counts = located.groupBy(*keys, "cell", "value").agg(F.count("*").alias("freq"), F.max("below").alias("below"), F.max("n").alias("n"))
+        upto = W.partitionBy(*keys, "cell").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+        counts = counts.withColumn("__end", F.col("below") + F.sum("freq").over(upto))
+        known.append(counts.select(*keys, "value", "n", (F.col("__end") - F.col("freq")).alias("__start"), "__end"))
+    counts = reduce(lambda a, b: a.unionByName(b), known)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("__start")) & (rank < F.col("__end")), F.col("value")))
