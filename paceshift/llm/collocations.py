@@ -26,9 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceshift.llm.common import parts_for, removed, shared_folder, stored, tasks
+from paceshift.llm.common import parts_for, removed, stored, tasks
 from paceshift.llm.shingles import mix, powers
-from paceshift.operators.reuse import join_small
+from paceshift.operators.reuse import join_small, shared_folder
 
 THRESHOLD, LONGEST, TOP = 10, 3, 2000
 #: Share of a phrase's count that a longer one must have to replace it, in percent.

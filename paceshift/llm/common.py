@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,16 +40,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The name of a new folder below the session's checkpoint folder; a temporary one only in a local session that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="paceshift-")
-    return f"{root}/paceshift-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, path: str) -> DataFrame:
     """df as a Parquet table at path, which lies in a shared folder: written by committed tasks and read from there."""
     df.write.parquet(path)

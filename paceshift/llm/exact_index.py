@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceshift.llm.common import parts_for, shared_folder, stored, tasks, text_of
+from paceshift.llm.common import parts_for, stored, tasks, text_of
+from paceshift.operators.reuse import shared_folder
 
 #: A text is compared without these. Fixed values, as the query defines them.
 BLANKS = b" \t\n\x0b\x0c\r"
