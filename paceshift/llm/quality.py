@@ -25,10 +25,12 @@ REACH = 8.0
 THRESHOLD = 0.3
 
 STATISTICS = (
-    "log_words log_chars word_length letters upper digits symbols lines distinct top_word repeats "
-    "ending_marks bars compressed log_line"
+    "log_words log_chars word_length letters upper digits lines distinct top_word repeats "
+    "sentence brackets quotes other_marks marked_ends compressed log_line"
 ).split()
-SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~", np.uint8))
+#: ASCII punctuation by use; together all of it.
+MARKS = [np.isin(np.arange(256), np.frombuffer(m, np.uint8)) for m in (b".,;:!?", b"()[]{}<>", b"'\"`", b"#$%&*+-/=@\\^_|~")]
+PUNCTUATION = np.logical_or.reduce(MARKS)
 UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 LETTER = UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange(256) >= 128)
 DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
@@ -42,7 +44,7 @@ def statistics(text: str) -> list[float]:
     size = max(1, len(raw))
     counts = Counter(words)
     equal = sum(map(str.__eq__, words, words[1:]))
-    tail = sum(w[-1] in "!#$%&*" for w in words)
+    tail = sum(ord(w[-1]) < 128 and bool(PUNCTUATION[ord(w[-1])]) for w in words)
 
     def share(x: float, of: float) -> float:
         return float(np.arcsin(np.sqrt(min(1.0, x / max(1.0, of)))))
@@ -51,8 +53,8 @@ def statistics(text: str) -> list[float]:
     return [
         float(np.log1p(n)), float(np.log1p(len(raw))), float(np.log1p((len(raw) - n) / max(1, n))),
         share(bytes_[LETTER].sum(), size), share(bytes_[UPPER].sum(), max(1, bytes_[LETTER].sum())), share(bytes_[DIGIT].sum(), size),
-        share(bytes_[SYMBOLS].sum(), size), float(np.log1p(lines)), float(np.log1p(len(counts)) - 0.8 * np.log1p(n)),
-        share(max(counts.values(), default=0), n), share(equal, n), share(tail, n), share(raw.count(b"|"), max(1, n)),
+        float(np.log1p(lines)), float(np.log1p(len(counts)) - 0.8 * np.log1p(n)),
+        share(max(counts.values(), default=0), n), share(equal, n), *[share(bytes_[m].sum(), size) for m in MARKS], share(tail, n),
         share(len(zlib.compress(raw, 1)), size), float(np.log1p(len(raw) / lines)),
     ]
 
@@ -105,10 +107,16 @@ def statistics_of(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discriminant:
-    """Fit on at most fit_rows of labels (doc_id, quality) and their documents (doc_id, text). Labels other than 0 and 1 are left out."""
-    chosen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
-    chosen = chosen.select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int"))
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))  # at most fit_rows rows
+    """Fit on at most fit_rows of labels (doc_id, quality) and their documents (doc_id, text).
+
+    Labels other than 0 and 1, and labels without an id, are left out; a label that is given twice counts once. Of rows that share a labelled id, one
+    is used, that with the smallest text hash, so at most fit_rows rows reach the driver however often an id occurs. Null texts are empty; rows without an id are not used.
+    """
+    chosen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int")).distinct()
+    chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(fit_rows)
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))  # at most fit_rows labels
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text")))
+    rows = rows.groupBy("labelled", "quality").agg(first.alias("one")).select("quality", "one.text")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,7 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discr
 
 
 def score(docs: DataFrame, model: Discriminant, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text and the columns in keep) with score, from the text alone. Null texts score as empty ones."""
+    """docs (doc_id, text and the columns in keep) with score, from the text alone. Null texts score as empty ones.
+
+    Every row is scored by itself: repeated rows and ids get equal scores for equal texts, and ids may be null.
+    """
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)], "score double"])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
