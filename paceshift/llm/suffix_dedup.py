@@ -383,7 +383,8 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     blocks = max(2 * n, size // BLOCK_BYTES + 1)
     parts = blocks
     rows = docs.select(F.coalesce("doc_id", F.lit(last)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("binary").alias("raw"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks))).repartition(n, "block")
+    # By id and text, so that rows without an id, or with one id, are not all in one block.
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc", "raw"), F.lit(blocks))).repartition(max(n, blocks // 4), "block")
     named = rows.groupBy("block").applyInPandas(name_anchors(parts), "part long, block long, names binary, counts binary")
     answers = named.groupBy("part").applyInPandas(answer(crowded), "part long, block long, names binary, crowded binary")
     told = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(contexts(parts), "part long, block long, blob binary, n long")
