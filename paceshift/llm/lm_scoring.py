@@ -2,7 +2,9 @@
 
 Word counts of all training documents come first, as a shuffled table by a 64-bit hash of the word; a fixed number of the most frequent ones
 goes to the tasks. Training passes over every training document once: in each round the tasks go on from the
-same weights on documents of their own, and their weights are averaged. Scoring passes over all documents; words outside
+same weights on documents of their own, and their weights are averaged. A corpus of fewer than LEAST_TOKENS is
+passed over again, by one task, until so many have been seen. A small share of the training documents is held back, and where the network does not
+give these a better likelihood than the counts that it starts from, the counts' shares are used. Scoring passes over all documents; words outside
 the list are joined with the table of counts.
 """
 
@@ -24,6 +26,8 @@ from paceshift.llm.shingles import groups_of, words_of
 LISTED, DISTINCT_HELD, TOKENS_HELD, COMBINERS = 1 << 19, 2_000_000, 3_000_000, 16
 #: Documents dealt to the rounds, of SHARES, and the learning rate of each round.
 SHARES, ROUNDS = 8, ((0, 1, 0.1), (1, 8, 0.1))
+#: Tokens to train on at least, passes over a small corpus at most, and one in how many training documents is held back.
+LEAST_TOKENS, MOST_PASSES, HELD_BACK = 4_000_000, 24, 64
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,22 +95,27 @@ class Gathered:
         return words, at, numbers, counts + 1
 
 
-def train_on(values: tuple, flat: np.ndarray, rate: float):
-    """One row from each task: tokens and weights times tokens."""
+def train_on(values: tuple, flat: np.ndarray, rate: float, passes: int = 1):
+    """One row from each task: tokens and weights times tokens. What a task has gathered is passed over several times."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = lexicon_of(values)
         net, rule, held, tokens = lm.Network(flat.copy()), lm.Adagrad(rate), Gathered(lexicon), 0
+
+        def learn(gathered: tuple) -> None:
+            for _ in range(passes):
+                net.train(*gathered, rule)
+
         for batch in batches:
             raws = [r.lower() for r in batch["raw"]]
             for part in groups_of(raws):
                 held.add(raws[part])
                 if held.size >= TOKENS_HELD:
                     tokens += held.size
-                    net.train(*held.take()[2:], rule)
+                    learn(held.take()[2:])
         if held.size:
             tokens += held.size
-            net.train(*held.take()[2:], rule)
+            learn(held.take()[2:])
         if tokens:
             yield pd.DataFrame({"tokens": [tokens], "weights": [(net.flat.astype(np.float64) * tokens).tobytes()]})
 
@@ -122,18 +131,39 @@ def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"tokens": [tokens], "weights": [total.tobytes()]})
 
 
-def score_with(values: tuple, flat: np.ndarray):
-    """One row for each document, without what words outside the list add; those with their counts in the document."""
+def compare(values: tuple, flat: np.ndarray):
+    """How much more likely the network makes the documents than the counts do: a row for each task."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, net, part = lexicon_of(values), lm.Network(flat), TaskContext.get().partitionId()
+        lexicon, gain = lexicon_of(values), 0.0
+        net, held = lm.Network(flat), Gathered(lexicon)
+        for batch in batches:
+            raws = [r.lower() for r in batch["raw"]]
+            for part in groups_of(raws):
+                held.add(raws[part])
+                if held.size >= TOKENS_HELD:
+                    numbers, lengths = held.take()[2:]
+                    gain += float((net.score(numbers, lengths) - lexicon.by_counts[numbers]).sum())
+        if held.size:
+            numbers, lengths = held.take()[2:]
+            gain += float((net.score(numbers, lengths) - lexicon.by_counts[numbers]).sum())
+        yield pd.DataFrame({"gain": [gain]})
+
+    return each
+
+
+def score_with(values: tuple, flat: np.ndarray | None):
+    """One row for each document, without what words outside the list add; those with their counts in the document. Without weights, by the counts' shares."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, net, part = lexicon_of(values), None if flat is None else lm.Network(flat), TaskContext.get().partitionId()
         listed_base, end_base = lexicon.base(lexicon.counts), float(lexicon.base(np.array([lexicon.ends]))[0])
         done = 0
 
         def scored(ids: list) -> pd.DataFrame:
             nonlocal done
             words, at, numbers, lengths = held.take()
-            log = net.score(numbers, lengths)
+            log = lexicon.by_counts[numbers] if net is None else net.score(numbers, lengths)
             firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             score = np.add.reduceat(log, firsts)
             owner = np.repeat(np.arange(len(lengths)), lengths - 1)
@@ -205,13 +235,20 @@ def score_documents(docs: DataFrame, learnt: Column, share: Column, listed: int
     lexicon = lm.Lexicon(*values)
 
     flat = lm.untrained(lexicon)
-    for first, last, rate in ROUNDS:
-        some = docs.where(F.col("learnt") & (F.col("share") >= first) & (F.col("share") < last)).select("raw")
+    back = F.pmod(F.xxhash64("raw"), F.lit(HELD_BACK)) == 0  # copies of a text together
+    passes = min(MOST_PASSES, -(-LEAST_TOKENS // max(1, tokens)))
+    for first, last, rate in ROUNDS if passes == 1 else ((0, SHARES, 0.1),):
+        some = docs.where(F.col("learnt") & ~back & (F.col("share") >= first) & (F.col("share") < last)).select("raw")
+        if passes > 1:
+            some = some.coalesce(1)  # fewer than LEAST_TOKENS
         kind = "tokens long, weights binary"
-        sums = some.mapInPandas(train_on(values, flat, rate), kind).repartition(COMBINERS).mapInPandas(add_up, kind).collect()  # at most COMBINERS rows
+        sums = some.mapInPandas(train_on(values, flat, rate, passes), kind).repartition(COMBINERS).mapInPandas(add_up, kind).collect()  # at most COMBINERS rows
         if sums:
             flat = (sum(np.frombuffer(r["weights"]) for r in sums) / sum(r["tokens"] for r in sums)).astype(np.float32)
 
+    gain = docs.where(F.col("learnt") & back).select("raw").mapInPandas(compare(values, flat), "gain double").agg(F.sum("gain")).first()[0]
+    flat = flat if gain and gain > 0 else None
+
     schema = "part long, at long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"
     scored = written(docs.select("doc_id", "raw").mapInPandas(score_with(values, flat), schema))
     rare = scored.select("part", "at", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("part", "at", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))

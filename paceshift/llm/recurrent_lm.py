@@ -55,6 +55,9 @@ class Lexicon:
         # log of the count's share of its class, for listed words that have no softmax of their own
         self.within = np.zeros(len(order))
         self.within[tail] = np.log(self.counts[tail]) - np.log(others[self.numbers[tail] - WORDS])
+        # log of the counts' share, by number; of a class for words that have no softmax of their own
+        shares = np.concatenate([self.frequent, self.mass[CLASSES:]])
+        self.by_counts = np.log(np.maximum(shares, 1e-6) / max(1.0, self.mass.sum()))
         # Each slot names the last of the hashes with these leading bits; where that is another word, it is searched for.
         self.shift = np.uint64(64 - max(4, int(len(order) * 4).bit_length()))
         slots = (self.hashes >> self.shift).astype(np.int64)
