@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceshift.llm.common import SPACE, text_of, unit_hash, written
+from paceshift.operators.numbering import running_total
 from paceshift.operators.reuse import join_small
 
 #: Ranks are found through this many cells a level; the rank in one cell of the last level is exact.
@@ -29,23 +30,25 @@ def source_targets(docs: DataFrame, weights: Sequence[int], cap: float) -> DataF
     """(source, source_size, target): the whole size shared by weight, no target above cap times its source.
 
     A target is min(cap * size, level * weight) with one level for all. Sorted by cap * size / weight, the capped
-    sources come first, so the level follows from running sums over one row per source.
+    sources come first, so the level follows from running sums over one row per source. These are made by ranges, so a table with a source for each host is not gathered.
     """
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    given = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (order % len(weights) + 1).cast("int"))
-    sums = sums.withColumn("weight", given).withColumn("most", F.col("source_size") * F.lit(cap))
-    by_ratio = Window.orderBy(F.col("most") / F.col("weight"), "weight", F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    sums = sums.withColumn("level", level)
-    # The first source that is not capped sets the level of all later ones.
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), F.col("level")).alias("x"))
-    sums = sums.withColumn("level", F.min(fits).over(whole)["level"])
-    return sums.select("source", "source_size", F.coalesce(F.least("most", F.col("level") * F.col("weight")), "most").alias("target"))
+    sums = written(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+    order = running_total(sums, ["source"], F.lit(1), "order")
+    given = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("order") % len(weights) + 1).cast("int"))
+    sums = order.withColumn("weight", given).withColumn("most", F.col("source_size") * F.lit(cap))
+    sums = sums.withColumn("ratio", F.col("most") / F.col("weight")).drop("order")
+    by_ratio = ["ratio", "weight", "source"]
+    sums = running_total(running_total(sums, by_ratio, F.col("source_size"), "size_before"), by_ratio, F.col("weight"), "weight_before")
+    sums = written(sums)
+    size, weight = sums.agg(F.sum("source_size"), F.sum("weight")).first()
+    if size is None:
+        return sums.select("source", "source_size", F.col("most").alias("target"))
+    level = (F.lit(size) - F.lit(cap) * F.col("size_before")) / (F.lit(weight) - F.col("weight_before"))
+    # The first source that is not capped sets the level of all later ones; of those with one ratio it has the highest level.
+    fits = sums.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("most"))
+    first = fits.agg(F.min(F.struct("ratio", (-F.col("level")).alias("less")))["less"]).first()[0]
+    target = F.col("most") if first is None else F.least("most", F.lit(-first) * F.col("weight"))
+    return sums.select("source", "source_size", target.alias("target"))
 
 
 def copy_levels(docs: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
@@ -63,13 +66,14 @@ def copy_levels(docs: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, seed: str = "mix") -> DataFrame:
-    """One row for each row of docs (doc_id, source, size; optional weight): doc_id, size, source_size, target,
+    """One row for each row of docs (doc_id, source, size; optional weight and tie): doc_id, size, source_size, target,
     copies and taken = copies * size.
 
     weights go to the sources by code point, null last, repeating. weight (null or absent: 1) makes a document's
     expected copies larger or smaller, in proportion and up to cap; it is rounded to a 64th of an octave, and without
     a positive weight nothing is taken. Null sizes count as 0. A source without
-    words has target 0, and nothing is taken from it. Rows with the same doc_id share their random number; of
+    words has target 0, and nothing is taken from it. Rows with the same doc_id and tie (a hash of the text) share their random number, so rows
+    without an id are spread by their texts; of
     rows that agree in all columns it does not matter which one is taken. Reruns agree, on any partitioning.
 
     No source is sorted or gathered: words per cell of the ranking come from a map-side combined sum, the cell at
@@ -77,7 +81,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, s
     """
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in docs.columns else F.lit(1.0)
     weight = F.when(F.isnan(weight) | (weight <= 0), F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.round(F.log2(weight) * 64) / 64))
-    docs = docs.select("doc_id", "source", F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("size"), weight.alias("weight"), unit_hash(F.col("doc_id"), seed=seed).alias("random"))
+    random = unit_hash(F.col("doc_id"), *([F.col("tie")] if "tie" in docs.columns else []), seed=seed)
+    docs = docs.select("doc_id", "source", F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("size"), weight.alias("weight"), random.alias("random"))
     docs = written(docs)
     targets = source_targets(docs, weights, cap)
     targets = written(copy_levels(docs, targets, cap))
@@ -122,8 +127,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, s
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of documents; size counts words."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
+    """(doc_id, source, size, weight, tie) of documents; size counts words.
+
+    A document weighs as much as its number of words has digits: of two documents of one source, one with thousands of words is expected
+    to be taken up to twice as often as one with tens.
+    """
+    size = words_in(F.col("text"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
+    return sized.withColumn("weight", F.length(F.col("size").cast("string")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -133,7 +144,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-    ('0x' || substr(md5('mix|' || doc_id), 1, 13))::BIGINT AS random
+    ('0x' || substr(md5(concat_ws('|', 'mix', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT AS random
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::BIGINT AS most,
@@ -144,14 +155,26 @@ WITH d AS (
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM s
 ), t AS (
-  SELECT source, source_size, least(most, weight * (SELECT arg_min(level, most / weight) FROM l WHERE level * weight <= most)) AS target FROM l
+  SELECT source, source_size, least(most, weight * (SELECT level FROM l WHERE level * weight <= most ORDER BY most / weight, weight, source NULLS LAST LIMIT 1)) AS target FROM l
+), w AS (  -- the documents' own weights, rounded to a 64th of an octave
+  SELECT *, pow(2.0::DOUBLE, round(log2(length(size::VARCHAR)::DOUBLE) * 64) / 64) AS own FROM d
+), c AS (  -- words of a source by weight
+  SELECT w.source, own, sum(size)::BIGINT AS n, any_value(target) AS target FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source GROUP BY w.source, own
+), v AS (
+  SELECT *, (target - 3.0::DOUBLE * coalesce(sum(n) OVER (PARTITION BY source ORDER BY own DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / nullif(sum(own * n) OVER (PARTITION BY source ORDER BY own DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+  FROM c
+), k AS (
+  SELECT source, arg_max(level, own) AS level FROM v WHERE level * own <= 3.0::DOUBLE * (1 + 1e-12) GROUP BY source
 ), e AS (
-  SELECT d.*, source_size, target, least(3.0, coalesce(target / nullif(source_size, 0), 0.0)) AS expected
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT w.*, source_size, target, least(3.0::DOUBLE, coalesce(level * own, 0.0)) AS expected
+  FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON w.source IS NOT DISTINCT FROM k.source
+), o AS (  -- random odds over inclusion odds
+  SELECT *, floor(expected)::BIGINT AS whole, expected - floor(expected) AS part, (random + 0.5) / 4503599627370496.0::DOUBLE AS u FROM e
 ), r AS (
-  SELECT *, floor(expected)::BIGINT AS whole, target - sum(floor(expected)::BIGINT * size) OVER (PARTITION BY source) AS room,
-    sum(size) OVER (PARTITION BY source ORDER BY random, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM e
+  SELECT *, CASE WHEN part > 0 THEN u / (1 - u) * (1 - part) / part END AS odds, target - sum(whole * size) OVER (PARTITION BY source) AS room FROM o
+), p AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds / (1 + odds), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r
 )
-SELECT doc_id, size, source_size, target, (whole + (expected > whole AND upto - size / 2.0 <= room)::BIGINT) * size AS taken FROM r
+SELECT doc_id, size, source_size, target, (whole + (odds IS NOT NULL AND upto - size / 2.0 <= room)::BIGINT) * size AS taken FROM p
 """
