@@ -2,7 +2,7 @@
 
 A term is a word and the word that follows it. Its 64-bit hash votes for or against each bit of the fingerprint, with a weight that
 grows with the term's letters, as long words carry more. Votes are counted in one aggregation: a sum of hash bits
-taken two at a time, 32 bits apart, holds two counters of 31 bits. All of it is in SQL functions.
+taken two at a time, 32 bits apart, holds two counters of 31 bits, enough for any text; of rows that agree in everything only one votes. All of it is in SQL functions.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceshift.llm.common import SPACE, tasks, text_of, written
+from paceshift.llm.common import SPACE, parts_for, tasks, text_of, written
 from paceshift.operators.reuse import join_small
 
 BITS, HALF = 64, 32
 #: Fingerprints are cut in BLOCKS blocks. Within RADIUS at least BLOCKS - RADIUS of them agree.
 BLOCKS, RADIUS = 6, 3
+#: Documents are put in order in ranges of about so many bytes; beyond RANGES ranges these grow.
+RANGE_BYTES, RANGES = 64 << 20, 4096
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -77,20 +79,21 @@ def bucket_of(rows: DataFrame, column: str, n: int) -> Column:
     return F.when(value.isNull(), F.lit(0)).otherwise(passed * side + F.greatest(inside, F.lit(0)))
 
 
-def with_next(rows: DataFrame, order: list[str], take: list[str], n: int) -> DataFrame:
+def with_next(rows: DataFrame, order: list[str], take: list[str], n: int, before: tuple[str, ...] = ()) -> DataFrame:
     """rows with next_<c> for c in take: the values of the row that follows by order (its first column a whole number, null first); after the last comes the first.
 
-    Each range of the first column is ordered by itself; the first row of a range also goes to the end of the range before.
+    last_<c> for c in before are the values of the row ahead, if that has the same first column, and may be null else. Each range of the first column is ordered by itself; the first row of a range also goes to the end of the range before.
     """
     ranged = rows.withColumn("__b", bucket_of(rows, order[0], n))
     firsts = ranged.groupBy("__b").agg(F.min(F.struct(*order, *take)).alias("__f"))  # one row for each range
     firsts = written(firsts)
     round_ = Window.orderBy("__b")
-    before = firsts.select("__b").select(F.col("__b").alias("__own"), F.coalesce(F.lag("__b").over(round_), F.max("__b").over(Window.partitionBy())).alias("__to"))
-    ends = firsts.join(F.broadcast(before), F.col("__b") == F.col("__own")).select(F.col("__to").alias("__b"), "__f.*", F.lit(True).alias("__end"))  # no more rows than ranges
+    wraps = firsts.select("__b").select(F.col("__b").alias("__own"), F.coalesce(F.lag("__b").over(round_), F.max("__b").over(Window.partitionBy())).alias("__to"))
+    ends = firsts.join(F.broadcast(wraps), F.col("__b") == F.col("__own")).select(F.col("__to").alias("__b"), "__f.*", F.lit(True).alias("__end"))  # no more rows than ranges
     both = ranged.withColumn("__end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
     following = Window.partitionBy("__b").orderBy("__end", *[F.col(c).asc_nulls_first() for c in order])
-    return both.select("*", *[F.lead(c).over(following).alias(f"next_{c}") for c in take]).where(~F.col("__end")).drop("__b", "__end")
+    found = [F.lead(c).over(following).alias(f"next_{c}") for c in take] + [F.lag(c).over(following).alias(f"last_{c}") for c in before]
+    return both.select("*", *found).where(~F.col("__end")).drop("__b", "__end")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,18 +111,22 @@ def fingerprint_edits(docs: DataFrame, every: int = 50, radius: int = RADIUS) ->
     that every divides (else null): how many other rows of docs have a fingerprint within radius. Rows with the
     same id follow one another by a hash of their text; rows that agree in id, text and next text are counted, and come out as often.
     """
-    n = max(2, 2 * tasks(docs.sparkSession))
-    rows = with_next(docs.withColumn("mark", F.xxhash64("text")).withColumn("own", F.col("doc_id")), ["doc_id", "mark"], ["text", "own"], n)
-    # Of rows that agree in id and text, the last one is followed by another row, the others by their equal.
+    least = 2 * tasks(docs.sparkSession)
+    n = min(max(least, RANGES), parts_for(docs, F.octet_length("text"), RANGE_BYTES, max(2, least)))
+    rows = docs.withColumn("mark", F.xxhash64("text")).withColumn("own", F.col("doc_id"))
+    rows = with_next(rows, ["doc_id", "mark"], ["text", "own"], n, ("text", "own"))
+    # Of rows that agree in id and text, the last one is followed by another row, the others by their equal; of these only the first votes.
     rows = rows.withColumn("is_last", ~(F.col("own").eqNullSafe(F.col("next_own")) & F.col("text").eqNullSafe(F.col("next_text"))))
+    rows = rows.withColumn("votes", F.col("is_last") | ~(F.col("own").eqNullSafe(F.col("last_own")) & F.col("text").eqNullSafe(F.col("last_text"))))
     length = F.length("text")
     quarter = F.floor(length / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), length - quarter), F.substring("next_text", F.lit(1), quarter))
-    rows = rows.select("doc_id", "mark", "is_last", length.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.select("doc_id", "mark", "is_last", "votes", length.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     keys = ["doc_id", "mark", "is_last", "n_chars", "edited_sha256", "is_edited"]
     each = F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("body")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("body"))))
-    prints = fingerprints(rows.select(*keys[:5], each.alias("e")).select(*keys[:5], "e.*"), keys, "body")
+    bodies = rows.select(*keys[:5], "votes", each.alias("e")).select(*keys[:5], "e.is_edited", F.when(F.col("votes"), F.col("e.body")).otherwise(F.lit("")).alias("body"))
+    prints = fingerprints(bodies, keys, "body")
     one = prints.groupBy(*keys[:5]).agg(F.max(F.when(~F.col("is_edited"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited"), F.max("n_rows").alias("n_rows"))
     one = written(with_next(written(one), ["doc_id", "mark", "is_last"], ["fingerprint"], n))
 
