@@ -15,7 +15,7 @@ from paceshift.operators.reuse import join_small
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels, does not reject. Null texts are judged as empty ones."""
+    """Documents that the quality classifier, fitted on the labels, does not reject. Null texts are judged as empty ones; each row is judged by its text alone, so repeated rows stay or go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long"), "quality")
     return quality.keep_good(docs, quality.train(text_of(docs), labels))
 
@@ -37,7 +37,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their text and n_chars counted anew where that changed it."""
+    """All documents, with secrets masked in their text and n_chars counted anew where that changed it. Null and empty texts stay as they are; repeated rows are masked alike, and all stay."""
     rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
     after = secret_scan.redact(rows)
     changed = ~F.col("text").eqNullSafe(F.col("row.text"))
@@ -55,7 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences. Null texts are packed as empty ones, of which the end alone is a piece; each of repeated rows is packed, under its id."""
     return packing.pack(text_of(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
