@@ -28,6 +28,8 @@ LISTED, DISTINCT_HELD, TOKENS_HELD, COMBINERS = 1 << 19, 2_000_000, 3_000_000, 1
 SHARES, ROUNDS = 8, ((0, 1, 0.1), (1, 8, 0.1))
 #: Tokens to train on at least, passes over a small corpus at most, and one in how many training documents is held back.
 LEAST_TOKENS, MOST_PASSES, HELD_BACK = 4_000_000, 24, 64
+#: Words of the longest document times passes: its words come one after another, so that many passes over one would take long.
+MOST_STEPS = 100_000
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +105,7 @@ def train_on(values: tuple, flat: np.ndarray, rate: float, passes: int = 1):
         net, rule, held, tokens = lm.Network(flat.copy()), lm.Adagrad(rate), Gathered(lexicon), 0
 
         def learn(gathered: tuple) -> None:
-            for _ in range(passes):
+            for _ in range(max(1, min(passes, MOST_STEPS // int(gathered[1].max())))):
                 net.train(*gathered, rule)
 
         for batch in batches:
