@@ -205,9 +205,12 @@ def contexts(parts: int):
         column = np.arange(WIDTH)
         text[:, :WIDTH][(column < (LEFT - left)[:, None]) | (column >= (LEFT + right)[:, None])] = 0
         text[:, WIDTH], text[:, WIDTH + 1] = left, right
-        order = np.lexsort((places, row_hash(text)))
+        order = np.argsort(places, kind="stable")
         places, hashes, slots, left, right, text = (x[order] for x in (places, hashes, slots, left, right, text))
-        new = np.concatenate([[True], (text[1:] != text[:-1]).any(axis=1)])
+        # The block's own contexts in the order of what follows and what precedes the anchor; equal ones lie together, by place.
+        order = deep_shallow_order(around(text), hashes)
+        places, hashes, slots, left, right, text = (x[order] for x in (places, hashes, slots, left, right, text))
+        new = np.concatenate([[True], (text[1:] != text[:-1]).any(axis=1) | (hashes[1:] != hashes[:-1])])
         heads = np.flatnonzero(new)
         owner = np.cumsum(new) - 1
         ids = block.ids[slots]
@@ -258,13 +261,17 @@ def row_hash(rows: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def around(text: np.ndarray) -> np.ndarray:
+    """One string for both directions: what the anchor starts, then what is before it, backwards, then the two lengths."""
+    return np.concatenate([text[:, LEFT:WIDTH], text[:, :LEFT][:, ::-1], text[:, WIDTH:]], axis=1)
+
+
 def earlier_strings(text: np.ndarray, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each context, the least and the greatest number of bytes before the anchor at which a string starts that a context of its group
     with a smaller id also has; -1 where there is none."""
     n = len(ids)
     least, greatest = np.full(n, LENGTH, np.int64), np.full(n, -1, np.int64)
-    # One string for both directions: what the anchor starts, then what is before it, backwards.
-    string = np.concatenate([text[:, LEFT:WIDTH], text[:, :LEFT][:, ::-1], text[:, WIDTH:]], axis=1)
+    string = around(text)
     order = deep_shallow_order(string, group)
     prefix = common_prefixes(string, order, group)
     new = prefix < string.shape[1]

@@ -1,6 +1,7 @@
 """Deep-shallow sorting of suffixes.
 
-Multikey quicksort, eight bytes at a time, orders suffixes to a shallow depth. Groups that still agree there
+Multikey quicksort, eight bytes at a time, orders suffixes to a shallow depth: each open set of suffixes is parted in three by
+a pivot, and the middle part goes on eight bytes deeper. All open sets are parted in one pass over their rows. Groups that still agree at that depth
 have long common prefixes; each is ordered by a blind trie, which keeps only the depths at which its suffixes
 part, and looks at the text once for each insertion.
 """
@@ -57,6 +58,43 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(words: np.ndarray, order: np.ndarray, starts: np.ndarray, levels: int) -> np.ndarray:
+    """Sort order, in place, within the sets that begin at starts, by the first levels of words (a row each). Equal rows keep their order.
+    Returns where the sets of rows that agree in all levels begin."""
+    random = np.random.default_rng(len(order))
+    begin, size = starts, np.diff(np.append(starts, len(order)))
+    level = np.zeros(len(begin), np.int64)
+    closed = []
+    while True:
+        done = (size < 2) | (level >= levels)
+        closed.append(begin[done])
+        begin, size, level = begin[~done], size[~done], level[~done]
+        if not len(begin):
+            return np.sort(np.concatenate(closed))
+        head = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(own)) - head[own] + begin[own]
+        rows = order[place]
+        key = words[rows, level[own]].astype(np.uint64)
+        pivot = np.sort(key[head + (random.random((3, len(size))) * size).astype(np.int64)], axis=0)[1]
+        side = (key >= pivot[own]).astype(np.int8) + (key > pivot[own])
+        counts, to = np.empty((3, len(size)), np.int64), np.empty(len(own), np.int64)
+        before = begin
+        for s in range(3):
+            mine = side == s
+            passed = np.cumsum(mine)
+            ahead = passed[head] - mine[head]
+            counts[s] = passed[head + size - 1] - ahead
+            to[mine] = (before - ahead - 1)[own[mine]] + passed[mine]
+            before = before + counts[s]
+        order[to] = rows
+        begin = np.concatenate([begin, begin + counts[0], begin + counts[0] + counts[1]])
+        level = np.concatenate([level, level + 1, level])
+        size = counts.reshape(-1)
+        some = size > 0
+        begin, size, level = begin[some], size[some], level[some]
+
+
 def deep_shallow_order(rows: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """Order of rows (bytes, one string a row, all of one width) by group and string; equal strings keep their order."""
     n, width = rows.shape
@@ -65,36 +103,18 @@ def deep_shallow_order(rows: np.ndarray, group: np.ndarray, shallow: int = SHALL
         return order
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = rows
-    words = padded.view(">u8")
-    # run: number of the set of rows that agree so far
-    run = np.concatenate([[0], np.cumsum(group[order][1:] != group[order][:-1])])
-
-    def tied() -> np.ndarray:
-        same = run[1:] == run[:-1]
-        return np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-
-    depth = 0
-    while depth < min(shallow, width):
-        at = tied()
-        if not len(at):
-            return order
-        mine, key = order[at], words[order[at], depth // 8].astype(np.uint64)
-        by = np.lexsort((key, run[at]))
-        order[at] = mine[by]
-        key, own = key[by], run[at]
-        new = np.concatenate([[False], (key[1:] != key[:-1]) & (own[1:] == own[:-1])])
-        step = np.zeros(n, np.int64)
-        step[at] = new
-        run = run + np.cumsum(step)
-        depth += 8
-    at = tied()
-    if not len(at) or depth >= width:
+    starts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    levels = -(-min(shallow, width) // 8)
+    begin = multikey_quicksort(padded.view(">u8"), order, starts, levels)
+    size = np.diff(np.append(begin, n))
+    begin, size = begin[size > 1], size[size > 1]
+    if not len(begin) or 8 * levels >= width:
         return order
-    heads = np.flatnonzero(np.concatenate([[True], run[at][1:] != run[at][:-1]]))
-    sizes = np.diff(np.concatenate([heads, [len(at)]]))
-    like_first = (rows[order[at]] == np.repeat(rows[order[at[heads]]], sizes, axis=0)).all(axis=1)
+    heads = np.cumsum(size) - size
+    at = np.arange(size.sum()) + np.repeat(begin - heads, size)
+    like_first = (rows[order[at]] == np.repeat(rows[order[begin]], size, axis=0)).all(axis=1)
     for k in np.flatnonzero(~np.logical_and.reduceat(like_first, heads)).tolist():
-        places = at[heads[k] : heads[k] + sizes[k]]
+        places = slice(begin[k], begin[k] + size[k])
         members: dict[bytes, list[int]] = {}
         for i in order[places].tolist():
             members.setdefault(rows[i].tobytes(), []).append(i)
