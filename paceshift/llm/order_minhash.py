@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceshift.llm.common import components, tasks, text_of, written
@@ -155,13 +155,14 @@ def common_runs(runs: list[np.ndarray]) -> np.ndarray:
 
 
 def compare_step(ids: np.ndarray, side: np.ndarray, runs: list[np.ndarray], sketch: int, made: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the similar texts of a step: a text with the smallest id of its class. Pairs that share an earlier sketch are left to its bucket."""
+    """Links that join the similar texts of a step, each a pair that was aligned. Pairs that share an earlier sketch are left to its bucket."""
     sizes = np.array([len(r) for r in runs])
     need = SIMILARITY * (sizes[:, None] + sizes[None, :]) / (1 + SIMILARITY) - 1e-9
     meet = (side[:, None] != side[None, :]) | (side[:, None] == 2)
     a, b = np.nonzero(np.triu((common_runs(runs) >= need) & meet, 1))
     first = (made[a] == made[b]).argmax(axis=1) == sketch
     label = list(range(len(ids)))
+    joined = []
 
     def root(i: int) -> int:
         while label[i] != i:
@@ -172,9 +173,9 @@ def compare_step(ids: np.ndarray, side: np.ndarray, runs: list[np.ndarray], sket
     for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
         x, y = root(i), root(j)
         if x != y and similar(runs[i], runs[j]):
-            x, y = (x, y) if ids[x] < ids[y] else (y, x)
             label[y] = x
-    return [(int(ids[root(i)]), int(ids[i])) for i in range(len(ids)) if root(i) != i]
+            joined.append((int(ids[i]), int(ids[j])))
+    return joined
 
 
 def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,13 +199,33 @@ def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done(held)
 
 
-def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): links that join all texts (id, sketches) that share a sketch and are similar.
+def meetings(rows: DataFrame, data: DataFrame) -> DataFrame:
+    """(a, b): links between texts that meet. rows: id, sketch, key, block, blocks, hubs. Of the blocks of a key, each two meet in a step of its own
+    if one of them is among the first hubs; a text takes part in each step of its block."""
+    steps = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least("block", o) < F.col("hubs")),
+        lambda o: F.struct(
+            (F.least("block", o).cast("long") * (1 << 31) + F.greatest("block", o)).alias("step"),
+            F.when(F.col("block") == o, F.lit(2)).when(F.col("block") < o, F.lit(0)).otherwise(F.lit(1)).alias("side"),
+        ),
+    )
+    open_ = rows.select("id", "sketch", "key", F.explode(steps).alias("s")).select("id", "sketch", "key", "s.step", "s.side")
+    work = open_.join(data, "id").repartition(2 * tasks(rows.sparkSession), "key", "step").sortWithinPartitions("key", "step")
+    return work.mapInPandas(compare_buckets, "a long, b long")
+
+
+def dealt(column: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
+
+
+def links(texts: DataFrame, docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): links that join all texts (id, sketches) that share a sketch and are similar; each is a pair that was aligned.
 
     Two texts alone in a bucket are a pair, which is verified once for all buckets that hold it. Larger buckets are cut
-    into blocks, and each two blocks meet in a step of its own, so a group of many near copies is neither gathered in one
-    task nor written as pairs: a step counts common runs of all its texts at once, aligns those that are not joined yet,
-    and gives one link for each text.
+    into blocks, so a group of many near copies is neither gathered in one task nor written as pairs: a step counts common runs of all its texts
+    at once, and aligns those that are not joined yet. First all blocks meet the first one, whose texts represent the bucket.
+    Where several blocks are needed, texts that are then in the bucket's largest class need not meet each other; the rest meets that class and itself, block by block.
+    So the steps of a bucket grow with its members where one group fills it, and with the square only of what the representatives did not join.
     """
     open_ = texts.select("id", F.posexplode("sketches").alias("sketch", "key"))
     buckets = open_.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -217,25 +238,31 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.where("a < b").join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b")
     alone = both.mapInPandas(verify, "a long, b long, linked boolean").where("linked").select("a", "b")
 
-    large = open_.where("members > 2").withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    steps = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(
-            (F.least("block", o).cast("long") * (1 << 31) + F.greatest("block", o)).alias("step"),
-            F.when(F.col("block") == o, F.lit(2)).when(F.col("block") < o, F.lit(0)).otherwise(F.lit(1)).alias("side"),
-        ),
-    )
-    large = large.select("id", "sketch", "key", F.explode(steps).alias("s")).select("id", "sketch", "key", "s.step", "s.side")
     data = runs.join(texts.select("id", "sketches"), "id")
-    work = large.join(data, "id").repartition(2 * tasks(docs.sparkSession), "key", "step").sortWithinPartitions("key", "step")
-    return alone.union(work.mapInPandas(compare_buckets, "a long, b long"))
+    large = open_.where("members > 2").withColumn("blocks", F.ceil(F.col("members") / block_rows).cast("int"))
+    found = alone.union(meetings(large.withColumn("block", dealt("id", "blocks")).withColumn("hubs", F.lit(1)), data))
+    several = large.where("blocks > 1").select("id", "sketch", "key")
+    if several.isEmpty():
+        return found
+    found = written(found)
+    several = several.join(components(several.select("id").distinct(), found), "id")
+    classes = several.groupBy("key", "component").agg(F.count("*").alias("n"))
+    classes = classes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"))
+    classes = classes.where("members > largest.n").select(
+        "key", F.col("largest.component").alias("main"),
+        F.ceil((F.col("members") - F.col("largest.n")) / block_rows).cast("int").alias("hubs"), F.ceil(F.col("largest.n") / block_rows).cast("int").alias("others"),
+    )
+    rest = written(several.join(classes, "key"))
+    block = F.when(F.col("component") == F.col("main"), F.col("hubs") + dealt("id", "others")).otherwise(dealt("id", "hubs"))
+    rest = rest.withColumn("block", block).withColumn("blocks", F.col("hubs") + F.col("others"))
+    return found.union(meetings(rest, data))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, component_id (the smallest id of its class) and kept (it is that id).
+    """One row for each row of docs (doc_id, text): doc_id, component_id (the smallest id of its class), kept (it is that id) and linked_id.
 
-    Texts with the same words are one text. Texts without words are left alone, each in a class of its own. Rows with the same
+    linked_id is the smallest id that this one is tied to directly: the document whose equal text was compared for this one, else a document whose text was
+    aligned with this one's and found similar. The first holder of a text has null if nothing but equal texts is like it, and so has a text without words. Texts with the same words are one text. Texts without words are left alone, each in a class of its own. Rows with the same
     id are one document: what links one of their texts links them all. Rows without an id are in the class of their
     text, and can't be its smallest.
     """
@@ -243,15 +270,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     made = written(raws.mapInPandas(sketch_texts, "doc_id long, c1 long, c2 long, n long, sketches array<long>"))
     texts = made.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("sketches").alias("sketches"))
     texts = written(texts.where("id IS NOT NULL"))
-    found = links(texts.select("id", "sketches"), docs)
+    found = written(links(texts.select("id", "sketches"), docs))
     # Rows with one id and several texts: their texts' classes are one.
     own = made.where("n > 0").select("doc_id", "c1", "c2").join(texts.select("c1", "c2", "id"), ["c1", "c2"])
     several = own.where("doc_id IS NOT NULL AND doc_id <> id").join(texts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     several = several.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     label = components(texts.select("id").distinct(), written(found.union(several).distinct()))
-    found = texts.join(label, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
-    out = made.join(found, ["c1", "c2"], "left").select("doc_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    direct = found.union(found.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("direct"))
+    found = texts.join(label, "id", "left").join(direct, "id", "left").select("c1", "c2", "id", "direct", F.coalesce("component", "id").alias("component"))
+    out = made.join(found, ["c1", "c2"], "left")
+    copy = F.col("doc_id").isNull() | (F.col("doc_id") != F.col("id"))
+    out = out.select("doc_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(copy, F.col("id")).otherwise(F.col("direct")).alias("linked_id"))
+    return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "linked_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
