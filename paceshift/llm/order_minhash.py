@@ -154,15 +154,15 @@ def common_runs(runs: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def compare_step(ids: np.ndarray, side: np.ndarray, runs: list[np.ndarray], sketch: int, made: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the similar texts of a step, each a pair that was aligned. Pairs that share an earlier sketch are left to its bucket."""
+def compare_step(ids: np.ndarray, side: np.ndarray, runs: list[np.ndarray], sketch: int, made: np.ndarray) -> list[tuple[int, int, int]]:
+    """For each text that is similar to another of a step: the smallest id of its class, its id, and the smallest id that it was aligned with and is similar to. Pairs that share an earlier sketch are left to its bucket."""
     sizes = np.array([len(r) for r in runs])
     need = SIMILARITY * (sizes[:, None] + sizes[None, :]) / (1 + SIMILARITY) - 1e-9
     meet = (side[:, None] != side[None, :]) | (side[:, None] == 2)
     a, b = np.nonzero(np.triu((common_runs(runs) >= need) & meet, 1))
     first = (made[a] == made[b]).argmax(axis=1) == sketch
     label = list(range(len(ids)))
-    joined = []
+    direct = [None] * len(ids)
 
     def root(i: int) -> int:
         while label[i] != i:
@@ -173,9 +173,11 @@ def compare_step(ids: np.ndarray, side: np.ndarray, runs: list[np.ndarray], sket
     for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
         x, y = root(i), root(j)
         if x != y and similar(runs[i], runs[j]):
+            x, y = (x, y) if ids[x] < ids[y] else (y, x)
             label[y] = x
-            joined.append((int(ids[i]), int(ids[j])))
-    return joined
+            for one, other in ((i, j), (j, i)):
+                direct[one] = int(ids[other]) if direct[one] is None else min(direct[one], int(ids[other]))
+    return [(int(ids[root(i)]), int(ids[i]), d) for i, d in enumerate(direct) if d is not None]
 
 
 def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +189,7 @@ def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, part in rows.groupby(["key", "step"], sort=False):
             runs = [np.frombuffer(r, "<u4") for r in part["runs"]]
             found += compare_step(part["id"].to_numpy(), part["side"].to_numpy(), runs, int(part["sketch"].iloc[0]), np.array(part["sketches"].tolist()))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(found, columns=["a", "b", "direct"], dtype="int64")
 
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -200,7 +202,7 @@ def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def meetings(rows: DataFrame, data: DataFrame) -> DataFrame:
-    """(a, b): links between texts that meet. rows: id, sketch, key, block, blocks, hubs. Of the blocks of a key, each two meet in a step of its own
+    """(a, b, direct): what compare_step finds between texts that meet. rows: id, sketch, key, block, blocks, hubs. Of the blocks of a key, each two meet in a step of its own
     if one of them is among the first hubs; a text takes part in each step of its block."""
     steps = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least("block", o) < F.col("hubs")),
@@ -211,7 +213,7 @@ def meetings(rows: DataFrame, data: DataFrame) -> DataFrame:
     )
     open_ = rows.select("id", "sketch", "key", F.explode(steps).alias("s")).select("id", "sketch", "key", "s.step", "s.side")
     work = open_.join(data, "id").repartition(2 * tasks(rows.sparkSession), "key", "step").sortWithinPartitions("key", "step")
-    return work.mapInPandas(compare_buckets, "a long, b long")
+    return work.mapInPandas(compare_buckets, "a long, b long, direct long")
 
 
 def dealt(column: str, blocks: str) -> Column:
@@ -219,7 +221,7 @@ def dealt(column: str, blocks: str) -> Column:
 
 
 def links(texts: DataFrame, docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): links that join all texts (id, sketches) that share a sketch and are similar; each is a pair that was aligned.
+    """(a, b, direct): links a - b that join all texts (id, sketches) that share a sketch and are similar; b was aligned with direct. Rows with a = b only tell that.
 
     Two texts alone in a bucket are a pair, which is verified once for all buckets that hold it. Larger buckets are cut
     into blocks, so a group of many near copies is neither gathered in one task nor written as pairs: a step counts common runs of all its texts
@@ -236,7 +238,8 @@ def links(texts: DataFrame, docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Da
     left = runs.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
     right = runs.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
     both = pairs.where("a < b").join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b")
-    alone = both.mapInPandas(verify, "a long, b long, linked boolean").where("linked").select("a", "b")
+    alone = both.mapInPandas(verify, "a long, b long, linked boolean").where("linked")
+    alone = alone.select(F.explode(F.array(F.struct("a", "b", F.col("a").alias("direct")), F.struct("a", F.col("a").alias("b"), F.col("b").alias("direct")))).alias("x")).select("x.*")
 
     data = runs.join(texts.select("id", "sketches"), "id")
     large = open_.where("members > 2").withColumn("blocks", F.ceil(F.col("members") / block_rows).cast("int"))
@@ -245,7 +248,7 @@ def links(texts: DataFrame, docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Da
     if several.isEmpty():
         return found
     found = written(found)
-    several = several.join(components(several.select("id").distinct(), found), "id")
+    several = several.join(components(several.select("id").distinct(), found.select("a", "b").where("a <> b").distinct()), "id")
     classes = several.groupBy("key", "component").agg(F.count("*").alias("n"))
     classes = classes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"))
     classes = classes.where("members > largest.n").select(
@@ -275,8 +278,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = made.where("n > 0").select("doc_id", "c1", "c2").join(texts.select("c1", "c2", "id"), ["c1", "c2"])
     several = own.where("doc_id IS NOT NULL AND doc_id <> id").join(texts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     several = several.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    label = components(texts.select("id").distinct(), written(found.union(several).distinct()))
-    direct = found.union(found.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("direct"))
+    label = components(texts.select("id").distinct(), written(found.select("a", "b").where("a <> b").union(several).distinct()))
+    direct = found.groupBy(F.col("b").alias("id")).agg(F.min("direct").alias("direct"))
     found = texts.join(label, "id", "left").join(direct, "id", "left").select("c1", "c2", "id", "direct", F.coalesce("component", "id").alias("component"))
     out = made.join(found, ["c1", "c2"], "left")
     copy = F.col("doc_id").isNull() | (F.col("doc_id") != F.col("id"))
