@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceshift.llm.common import components, tasks, text_of, written
@@ -201,33 +201,13 @@ def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done(held)
 
 
-def meetings(rows: DataFrame, data: DataFrame) -> DataFrame:
-    """(a, b, direct): what compare_step finds between texts that meet. rows: id, sketch, key, block, blocks, hubs. Of the blocks of a key, each two meet in a step of its own
-    if one of them is among the first hubs; a text takes part in each step of its block."""
-    steps = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least("block", o) < F.col("hubs")),
-        lambda o: F.struct(
-            (F.least("block", o).cast("long") * (1 << 31) + F.greatest("block", o)).alias("step"),
-            F.when(F.col("block") == o, F.lit(2)).when(F.col("block") < o, F.lit(0)).otherwise(F.lit(1)).alias("side"),
-        ),
-    )
-    open_ = rows.select("id", "sketch", "key", F.explode(steps).alias("s")).select("id", "sketch", "key", "s.step", "s.side")
-    work = open_.join(data, "id").repartition(2 * tasks(rows.sparkSession), "key", "step").sortWithinPartitions("key", "step")
-    return work.mapInPandas(compare_buckets, "a long, b long, direct long")
-
-
-def dealt(column: str, blocks: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
-
-
 def links(texts: DataFrame, docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, direct): links a - b that join all texts (id, sketches) that share a sketch and are similar; b was aligned with direct. Rows with a = b only tell that.
 
     Two texts alone in a bucket are a pair, which is verified once for all buckets that hold it. Larger buckets are cut
-    into blocks, so a group of many near copies is neither gathered in one task nor written as pairs: a step counts common runs of all its texts
-    at once, and aligns those that are not joined yet. First all blocks meet the first one, whose texts represent the bucket.
-    Where several blocks are needed, texts that are then in the bucket's largest class need not meet each other; the rest meets that class and itself, block by block.
-    So the steps of a bucket grow with its members where one group fills it, and with the square only of what the representatives did not join.
+    into blocks, and each two blocks meet in a step of its own, so a group of many near copies is neither gathered in one
+    task nor written as pairs: a step counts common runs of all its texts at once, aligns those that are not joined yet,
+    and gives one link for each text.
     """
     open_ = texts.select("id", F.posexplode("sketches").alias("sketch", "key"))
     buckets = open_.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -241,24 +221,19 @@ def links(texts: DataFrame, docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Da
     alone = both.mapInPandas(verify, "a long, b long, linked boolean").where("linked")
     alone = alone.select(F.explode(F.array(F.struct("a", "b", F.col("a").alias("direct")), F.struct("a", F.col("a").alias("b"), F.col("b").alias("direct")))).alias("x")).select("x.*")
 
-    data = runs.join(texts.select("id", "sketches"), "id")
     large = open_.where("members > 2").withColumn("blocks", F.ceil(F.col("members") / block_rows).cast("int"))
-    found = alone.union(meetings(large.withColumn("block", dealt("id", "blocks")).withColumn("hubs", F.lit(1)), data))
-    several = large.where("blocks > 1").select("id", "sketch", "key")
-    if several.isEmpty():
-        return found
-    found = written(found)
-    several = several.join(components(several.select("id").distinct(), found.select("a", "b").where("a <> b").distinct()), "id")
-    classes = several.groupBy("key", "component").agg(F.count("*").alias("n"))
-    classes = classes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"))
-    classes = classes.where("members > largest.n").select(
-        "key", F.col("largest.component").alias("main"),
-        F.ceil((F.col("members") - F.col("largest.n")) / block_rows).cast("int").alias("hubs"), F.ceil(F.col("largest.n") / block_rows).cast("int").alias("others"),
-    )
-    rest = written(several.join(classes, "key"))
-    block = F.when(F.col("component") == F.col("main"), F.col("hubs") + dealt("id", "others")).otherwise(dealt("id", "hubs"))
-    rest = rest.withColumn("block", block).withColumn("blocks", F.col("hubs") + F.col("others"))
-    return found.union(meetings(rest, data))
+    large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    steps = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(
+            (F.least("block", o).cast("long") * (1 << 31) + F.greatest("block", o)).alias("step"),
+            F.when(F.col("block") == o, F.lit(2)).when(F.col("block") < o, F.lit(0)).otherwise(F.lit(1)).alias("side"),
+        ),
+    )
+    large = large.select("id", "sketch", "key", F.explode(steps).alias("s")).select("id", "sketch", "key", "s.step", "s.side")
+    data = runs.join(texts.select("id", "sketches"), "id")
+    work = large.join(data, "id").repartition(2 * tasks(docs.sparkSession), "key", "step").sortWithinPartitions("key", "step")
+    return alone.union(work.mapInPandas(compare_buckets, "a long, b long, direct long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Large buckets of near copies: representatives first, then what they did not join."""
+"""Large buckets of near copies, in blocks of any size."""
 
 import itertools
 import random
