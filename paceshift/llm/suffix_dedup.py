@@ -29,6 +29,10 @@ LENGTH, ANCHOR = 50, 24
 LEFT = LENGTH - ANCHOR  # bytes before an anchor that a string around it can reach
 WIDTH = LEFT + LENGTH
 BLOCK_BYTES = 8 << 20
+#: Anchors are compared by hash in parts of the anchors of about so many bytes of text.
+NAMES_BYTES = 64 << 20
+#: Blocks and parts are dealt to one task each, up to TASKS tasks; beyond that a task takes several, one after the other.
+TASKS = 16_384
 #: Documents with an anchor from which on it is dealt out by the strings around it, as one part could not hold its contexts.
 CROWDED = 20_000
 SLICE = 1 << 20
@@ -166,9 +170,9 @@ def answer(limit: int):
     return each
 
 
-def contexts(parts: int):
+def contexts(names: int, parts: int):
     """Third round: contexts of anchors that several documents have, once for each block; and what the block can tell by itself: of a context,
-    all documents but those with the smallest id repeat it."""
+    all documents but those with the smallest id repeat it. Anchors were named in names parts, contexts go to parts."""
 
     def each(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["part", "block", "blob", "n"]
@@ -180,7 +184,7 @@ def contexts(parts: int):
         crowded = np.concatenate([np.frombuffer(x, np.uint8) for x in answers["crowded"]])
         order = np.argsort(known)
         known, crowded = known[order], crowded[order]
-        own = ((hashes % np.uint64(parts)) << np.uint64(32)) + ((hashes // np.uint64(parts)) & np.uint64(0xFFFFFFFF))
+        own = ((hashes % np.uint64(names)) << np.uint64(32)) + ((hashes // np.uint64(names)) & np.uint64(0xFFFFFFFF))
         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
         mine = np.flatnonzero(known[at] == own)
         places, hashes, slots, crowded = places[mine], hashes[mine], slots[mine], crowded[at[mine]] > 0
@@ -388,13 +392,14 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = tasks(spark)
     blocks = max(2 * n, size // BLOCK_BYTES + 1)
-    parts = blocks
+    names = max(n, size // NAMES_BYTES + 1)
+    dealt = max(n, min(blocks, TASKS))
     rows = docs.select(F.coalesce("doc_id", F.lit(last)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("binary").alias("raw"))
     # By id and text, so that rows without an id, or with one id, are not all in one block.
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc", "raw"), F.lit(blocks))).repartition(max(n, blocks // 4), "block")
-    named = rows.groupBy("block").applyInPandas(name_anchors(parts), "part long, block long, names binary, counts binary")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc", "raw"), F.lit(blocks))).repartition(dealt, "block")
+    named = rows.groupBy("block").applyInPandas(name_anchors(names), "part long, block long, names binary, counts binary").repartition(names, "part")
     answers = named.groupBy("part").applyInPandas(answer(crowded), "part long, block long, names binary, crowded binary")
-    told = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(contexts(parts), "part long, block long, blob binary, n long")
+    told = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(contexts(names, blocks), "part long, block long, blob binary, n long").repartition(dealt, "part")
     found = told.groupBy("part").applyInPandas(compare, "block long, blob binary")
     out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(cut, "doc long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

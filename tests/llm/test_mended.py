@@ -147,3 +147,17 @@ def test_mix_of_many_sources_and_of_rows_without_ids(spark):
 def test_language_model_beats_its_base(spark, folder):
     got = lm_scoring.query(spark, folder).groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("score"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).collect()
     assert len(got) == 2 and all(r.score > r.base + 0.1 for r in got)
+
+
+def test_repeats_do_not_depend_on_blocks_parts_and_tasks(spark, monkeypatch):
+    r = random.Random(12)
+    passages = ["".join(r.choice("abc ") for _ in range(r.randint(40, 160))) for _ in range(8)]
+    texts = [(i * 11 % 120 if i % 3 else None, "".join(r.choice(passages)[r.randint(0, 30) :] for _ in range(4))) for i in range(120)]
+    docs = text_of(spark.createDataFrame(texts, "doc_id long, text string"))
+    one = sorted(suffix_dedup.remove_repeats(docs).collect(), key=str)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 512)
+    monkeypatch.setattr(suffix_dedup, "NAMES_BYTES", 4096)
+    monkeypatch.setattr(suffix_dedup, "TASKS", 9)
+    many = suffix_dedup.remove_repeats(docs)
+    assert sorted(many.collect(), key=str) == one
+    assert sum(x.n_removed for x in one) > 0
