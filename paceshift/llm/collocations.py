@@ -6,7 +6,7 @@ from there through one full cycle of shards, and then is done. So the scans of l
 interleave. A phrase that reaches the threshold has parts that reach it too, so none is missed.
 
 When a phrase becomes active must be known where its words are read. Each phrase has a cell, by its hash, and a board holds the
-boundary at which the first phrase of each cell reached the threshold. A phrase is active from the later of its parts' cells on. Boards
+boundary at which the first phrase of each cell reached the threshold. A phrase is active from the latest of the cells of its parts, and of their parts, on. Boards
 have a fixed size. The counters of active phrases are kept by hash, in parts of arrays that are merged after each shard; those that are done are dropped.
 
 Phrases that share a hash or a cell can only make more phrases candidates, never fewer. So the cells that reached the threshold hold every
@@ -124,7 +124,8 @@ def active_phrases(texts: list[bytes], seeds: np.ndarray, carried: int, step: in
     hashes = longer(words[at], words[at + 1])
     now = (start[at] <= step) & (step < start[at].astype(int) + shards) & (at + 1 >= carried)
     yield 2, hashes[now], start[at[now]]
-    reached = boards[1][cells_of(hashes, boards[1])]
+    # Other pairs may have reached a pair's cell before its own words did; till then the pair is not seen here.
+    reached = np.maximum(boards[1][cells_of(hashes, boards[1])], start[at])
     next_to = np.flatnonzero(at[:-1] + 1 == at[1:])
     start = np.maximum(reached[next_to], reached[next_to + 1])
     now = (start != NEVER) & (start <= step) & (step < start.astype(int) + shards) & (at[next_to] + 2 >= carried)

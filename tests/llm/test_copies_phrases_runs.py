@@ -124,6 +124,33 @@ def test_collocations_by_shards(spark, shards, threshold, cells):
     assert got == plain_phrases(rows, threshold, 25)
 
 
+def test_phrases_are_counted_for_a_whole_cycle():
+    """Also where other phrases reached the cells of a phrase's parts long before its words did."""
+    texts, seeds, shards = [b"a b c"], collocations.seeds_of(["en"]), 4
+    words, _ = collocations.words_of(texts, seeds)
+    pairs = collocations.longer(words[:-1], words[1:])
+    for reached in itertools.product((1, 3, 5), repeat=5):
+        steps = Counter()
+        for step in range(12):
+            boards = [np.full(1 << 12, collocations.NEVER, np.uint8) for _ in range(2)]
+            for board, hashes, at in ((boards[0], words, reached[:3]), (boards[1], pairs, reached[3:])):
+                known = [x <= step for x in at]
+                board[collocations.cells_of(hashes, board)[known]] = np.array(at)[known]
+            for size, hashes, _ in collocations.active_phrases(texts, seeds, 0, step, shards, boards):
+                steps.update((size, int(h)) for h in hashes)
+        assert len(steps) == 6 and set(steps.values()) == {shards}, reached
+
+
+def test_collocations_with_cells_that_rare_words_share(spark):
+    """Words that become frequent late, in pairs whose cells others have reached."""
+    r = random.Random(8)
+    rows = [("x", " ".join(f"{r.choice('abcdefgh')}{int(r.paretovariate(0.7))}" for _ in range(40))) for _ in range(300)]
+    rows += [("x", f"p{i % 60} q{i % 60} r{i % 60}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = sorted(tuple(x) for x in collocations.collocations(docs, 4, cell_bits=9).collect())
+    assert got == plain_phrases(rows, 4)
+
+
 def test_long_texts_in_slices(spark):
     """A text is counted as a whole, whether it is cut between any words or not."""
     r = random.Random(2)
