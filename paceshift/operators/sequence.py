@@ -299,13 +299,13 @@ def add_gap(df: DataFrame, c: EventColumns = EventColumns(), name: str = "pitch_
 
 
 def attach_by_id(
-    df: DataFrame, derived: DataFrame, key: str, null_ids: str = "error", max_null_pairs: int = 100_000_000, rows_per_task: int = 1_000_000
+    df: DataFrame, derived: DataFrame, key: str, null_ids: str = "error", max_null_pairs: int | None = None, rows_per_task: int = 1_000_000
 ) -> DataFrame:
     """Left-join a derived per-event frame back on an event id; a repeated id multiplies rows.
 
     By default derived rows must have an id: a missing one would pair with every row that has none. The windows above
     need no such join; this one is for frames derived elsewhere. ``null_ids="match"`` lets missing ids match missing
-    ids. The pairs that this makes are counted first, and more than ``max_null_pairs`` are an error. Both sides are dealt over a grid of
+    ids. The pairs that this makes are counted first, and more than ``max_null_pairs``, where that is given, are an error. Both sides are dealt over a grid of
     tasks by a hash of their rows, so that no task holds all rows without an id nor makes many more than ``rows_per_task`` pairs.
     """
     if null_ids not in ("error", "match"):
@@ -321,7 +321,7 @@ def attach_by_id(
         return joined.unionByName(without, allowMissingColumns=True)
     loose = derived.where(F.col(key).isNull()).drop(key)
     n, m = without.count(), loose.count()
-    if n * m > max_null_pairs:
+    if max_null_pairs is not None and n * m > max_null_pairs:
         raise ValueError(f"{n} rows without {key} and {m} derived ones make {n * m} pairs, more than {max_null_pairs}")
     if not m:
         return joined.unionByName(without, allowMissingColumns=True)

@@ -192,3 +192,9 @@ def test_missing_ids_match_missing_ids_where_asked(spark, per_task):
     assert only == [(x, None) for k, x in left if k is None]
     with pytest.raises(ValueError, match="make 200 pairs, more than 199"):
         attach_by_id(a, b, "play_id", null_ids="match", max_null_pairs=199)
+
+
+def test_pairs_of_missing_ids_have_no_limit_unless_one_is_given(spark):
+    a = spark.range(10_001).selectExpr("cast(null AS string) AS play_id", "id AS x")
+    b = spark.range(10_000).selectExpr("cast(null AS string) AS play_id", "id AS y")
+    assert attach_by_id(a, b, "play_id", null_ids="match").count() == 100_010_000
