@@ -33,7 +33,9 @@ def found_fields(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "DOUBLE")
         .otherwise(schema)
     )
-    return fields.groupBy("name", kind.alias("kind")).agg(F.count("*").alias("n"), F.min("file").alias("file"))
+    # By file first: a count is kept by hash, while the smallest of texts would have all fields of a task sorted. What is left has a row for each file, field and kind.
+    counted = fields.groupBy("name", kind.alias("kind"), "file").agg(F.count("*").alias("n"))
+    return counted.groupBy("name", "kind").agg(F.sum("n").alias("n"), F.min("file").alias("file"))
 
 
 def merged_fields(found: DataFrame, declared: T.StructType | None = None) -> T.StructType:

@@ -1,4 +1,5 @@
 import pathlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,14 @@ def test_park_reader_has_clean_names(spark, tmp_path):
     assert parks.columns == "parkid name city state start end league notes aka exact latitude longitude altitude".split()
     assert cleaning.park_dimension(parks, cleaning.home_teams(spark), None).first().home_team == "Colorado Rockies"
     assert clean_names(spark.createDataFrame([(1, 2)], "`a b` long, a_b long")).first().asDict() == {"a_b": 1, "a_b_2": 2}
+
+
+def test_fields_are_counted_by_hash_and_not_sorted(spark, tmp_path):
+    """A sort of all fields of a task would grow with its lines."""
+    for i, line in enumerate(['{"a": 1, "b": null}\n{"a": 2}\n', '{"a": 3, "c": "x"}\n']):
+        (tmp_path / f"{i}.json").write_text(line)
+    found = payloads.found_fields(spark, [str(tmp_path)])
+    rows = {(r["name"], r["kind"]): (r["n"], r["file"].rpartition("/")[2]) for r in found.collect()}
+    assert rows == {("a", "BIGINT"): (3, "0.json"), ("b", "VOID"): (1, "0.json"), ("c", "STRING"): (1, "1.json")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w*Aggregate)\(", plan)[-1] == "HashAggregate"  # the lowest in the plan, which reads the fields
