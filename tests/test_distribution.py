@@ -29,6 +29,20 @@ def test_density_is_close_to_the_exact_sum(spark):
         assert np.trapezoid([c[1] for c in curve], x) == pytest.approx(1.0, abs=0.02)
 
 
+def test_density_goes_by_a_lattice_beyond_the_limits(spark):
+    """As R does it: mass on 512 positions from four bandwidths below the lower limit to four above the upper one, smoothed there, then interpolated."""
+    values = np.array(sample(4, 40, 30))
+    out = sorted((r.i, r.density) for r in kernel_density(spark.createDataFrame([(1, v) for v in values.tolist()], "k INT, v DOUBLE"), "v", 0.0, 60.0, ["k"]).collect())
+    q1, q3 = np.quantile(values, [0.25, 0.75])
+    bw = 0.9 * min(values.std(ddof=1), (q3 - q1) / 1.34) * len(values) ** -0.2
+    lattice = np.linspace(-4 * bw, 60 + 4 * bw, 512)
+    at = (values - lattice[0]) / (lattice[1] - lattice[0])
+    j = np.floor(at).astype(int)
+    mass = (np.bincount(j, 1 - (at - j), 512) + np.bincount(j + 1, at - j, 512)) / len(values)
+    smooth = (mass * np.exp(-0.5 * ((lattice[:, None] - lattice) / bw) ** 2)).sum(axis=1) / bw / math.sqrt(2 * math.pi)
+    assert [d for _, d in out] == pytest.approx(np.interp(np.linspace(0, 60, 512), lattice, smooth), rel=1e-9, abs=1e-15)
+
+
 def test_density_of_constant_and_single_values(spark):
     rows = [("same", 5.0)] * 4 + [("single", 7.0)]
     out = kernel_density(spark.createDataFrame(rows, "k STRING, v DOUBLE"), "v", 0.0, 10.0, ["k"]).collect()
